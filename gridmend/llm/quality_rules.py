@@ -129,7 +129,8 @@ def apply_rules(stats: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.withColumn("base_failed", failed).withColumn("kept", safe).drop("_lang", "_source", *[f"max_{r}" for r in _ratios()])
 
 
-def quality_rules(docs: DataFrame) -> DataFrame:
-    """docs with their counts, base_failed and kept."""
-    stats = cut(text_stats(docs), "quality")
+def quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """docs, or their columns `keep` (lang and source among them), with their counts, base_failed and kept."""
+    stats = text_stats(docs)
+    stats = cut(stats.select(*keep, *COUNTS) if keep else stats, "quality")
     return apply_rules(stats, cut(thresholds(stats), "fences"))

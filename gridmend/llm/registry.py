@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
-from .common import table
+from . import byte_bpe, quality_rules, token_counts, token_files
+from .common import shared_path, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    out = quality_rules.quality_rules(table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", token_files.ids_crc32("ids").alias("ids_crc32"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+    decoded = byte_bpe.decode(encoded.drop("text", "token_starts"), ranks)
+    packed = decoded.withColumn("packed", byte_bpe.pack_ids("ids"))
+    return packed.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), byte_bpe.sha256(F.col("packed")).alias("ids_sha256"), byte_bpe.sha256(F.col("decoded")).alias("decoded_sha256"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
