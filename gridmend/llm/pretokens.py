@@ -44,16 +44,22 @@ def _step(state: int, kind: int) -> tuple[int, bool]:
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class by code point; next state and piece start by (state, symbol); function by symbol; composition; state after a function from FRESH.
+def kinds() -> np.ndarray:
+    """LETTER, NUMBER, BLANK or OTHER for each code point."""
+    out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    by_category = {"L": LETTER, "N": NUMBER}
+    for c in range(sys.maxunicode + 1):
+        out[c] = by_category.get(unicodedata.category(chr(c))[0], OTHER)
+    out[WHITE] = BLANK
+    return out
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Next state and piece start by (state, symbol); function by symbol; composition; state after a function from FRESH.
 
     A symbol is a class, plus 8 where a text begins: there the function is constant, as if the state were FRESH.
     """
-    kinds = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-    by_category = {"L": LETTER, "N": NUMBER}
-    for c in range(sys.maxunicode + 1):
-        kinds[c] = by_category.get(unicodedata.category(chr(c))[0], OTHER)
-    kinds[WHITE] = BLANK
     steps = [[_step(s if x < 8 else FRESH, x % 8) for x in range(16)] for s in range(8)]
     after = np.array([[a for a, _ in row] for row in steps], np.uint8)
     begins = np.array([[b for _, b in row] for row in steps])
@@ -66,7 +72,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarra
             number[f] = len(number)
             queue += [tuple(g[s] for s in f) for g in symbols]
     compose = np.array([[number[tuple(g[s] for s in f)] for g in number] for f in number], np.int32)
-    return kinds, after.ravel(), begins.ravel(), np.array([number[f] for f in symbols], np.int32), compose, np.array([f[FRESH] for f in number], np.uint8)
+    return after.ravel(), begins.ravel(), np.array([number[f] for f in symbols], np.int32), compose, np.array([f[FRESH] for f in number], np.uint8)
 
 
 def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,9 +92,8 @@ def code_points(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _symbols(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """The symbol of each code point; firsts: where texts begin."""
-    kinds = _tables()[0]
     n = len(points)
-    out = kinds[points]
+    out = kinds()[points]
     begins = np.zeros(n + 3, bool)
     begins[firsts] = True
     begins[n:] = True
@@ -111,7 +116,7 @@ def _symbols(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 def pieces(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The bytes at which pieces begin, in texts of UTF-8 that lie one after another between offsets."""
-    _, after, begins, functions, compose, from_fresh = _tables()
+    after, begins, functions, compose, from_fresh = _tables()
     points, at = code_points(raw)
     n = len(points)
     if not n:

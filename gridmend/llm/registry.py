@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_rules, token_counts, token_files
+from . import byte_bpe, decontamination, language_id, ngram_join, quality_classifier, quality_rules, span_dedup, token_counts, token_files
 from .common import shared_path, table
 
 
@@ -15,6 +15,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify_languages(docs.drop("lang"), language_id.fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -26,6 +31,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens", token_files.ids_crc32("ids").alias("ids_crc32"))
 
 
+def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the text that stays; SQL has no such cut into sentences, tests hold it against brute force."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return span_dedup.span_dedup(docs).select("doc_id", "text", "n_chars", "n_sentences", "n_removed")
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.ngram_join(docs).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
@@ -34,6 +50,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), byte_bpe.sha256(F.col("packed")).alias("ids_sha256"), byte_bpe.sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each benchmark item that a document has."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality_classifier.classify_quality(docs, table(spark, sf_dir, "labels"), ["doc_id"])
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
