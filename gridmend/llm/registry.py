@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, language_id, ngram_join, quality_classifier, quality_rules, span_dedup, token_counts, token_files
+from . import byte_bpe, decontamination, language_id, ngram_join, quality_classifier, quality_rules, span_dedup, token_counts, token_files, warc
 from .common import shared_path, table
 
 
@@ -37,6 +37,12 @@ def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.span_dedup(docs).select("doc_id", "text", "n_chars", "n_sentences", "n_removed")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "warc")
+    files = warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(spark, folder, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.ngram_join(docs).select("doc_id", "class_id", "n_links", "n_copies")
