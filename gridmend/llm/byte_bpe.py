@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by a public rank file.
 
-Pieces come from `pretokens`; each distinct piece is merged once and kept, as packed ids, in a cache of bounded size in the
-Python worker. `encode` adds ids and byte offsets of each token, `decode` the bytes of ids. Every stage is one pass over
+Pieces come from `pretokens`; each distinct piece is merged once and its ids are kept in a table of bounded size in the Python
+worker (`piece_table`), in which all pieces of a batch are looked up at once. `encode` adds ids and byte offsets of each token, `decode` the bytes of ids. Every stage is one pass over
 the rows, with no shuffle.
 
 Defined results: a null or empty text has no tokens, and null or empty ids decode to no bytes. Rows that repeat are each
@@ -21,31 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import pretokens
+from .piece_table import TableEncoder
 from .textarrays import texts
 
-CACHE_PIECES = 250_000
 #: Pieces of more bytes than this are merged with a heap.
 LONG_PIECE = 48
 
 
-class PieceCache(dict):
-    """Piece -> packed ids. When it is full it becomes the old generation, from which pieces still in use return."""
-
-    def __init__(self, encode, limit: int = CACHE_PIECES):
-        super().__init__()
-        self.encode, self.limit, self.old = encode, limit, {}
-
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        found = self.old.get(piece)
-        self[piece] = found = self.encode(piece) if found is None else found
-        return found
-
-
-class Ranks:
+class Ranks(TableEncoder):
     """A rank file: token bytes -> id, where a lower id merges earlier."""
 
     def __init__(self, path: str):
@@ -55,11 +38,8 @@ class Ranks:
         by_id = [b""] * size
         for token, i in self.ids.items():
             by_id[i] = token
-        self.lengths = np.fromiter(map(len, by_id), np.int64, size)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.table = np.frombuffer(b"".join(by_id), np.uint8)
         self.packed = {token: i.to_bytes(4, "little") for token, i in self.ids.items()}
-        self.cache = PieceCache(self.merge)
+        super().__init__(lambda pieces: [self.merge(p) for p in pieces], by_id)
 
     def merge(self, piece: bytes) -> bytes:
         if piece in self.packed:
@@ -68,7 +48,7 @@ class Ranks:
         return b"".join([self.packed[p] for p in parts])
 
     def _merge(self, piece: bytes) -> list[bytes]:
-        rank, none = self.ids.get, len(self.lengths)
+        rank, none = self.ids.get, len(self.packed)
         parts = [piece[i : i + 1] for i in range(len(piece))]
         near = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
         while near and (best := min(near)) < none:
@@ -101,22 +81,6 @@ class Ranks:
                 heapq.heappush(heap, (r, p, to))
         return [piece[i : end[i]] for i in range(n) if not gone[i]]
 
-    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and the place in them at which each text ends, after a 0."""
-        begins = pretokens.pieces(raw, offsets)
-        data, ends = raw.tobytes(), np.append(begins[1:], len(raw)) if len(begins) else begins
-        packed = [self.cache[data[a:b]] for a, b in zip(begins.tolist(), ends.tolist())]
-        sizes = np.zeros(len(packed) + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)), out=sizes[1:])
-        return np.frombuffer(b"".join(packed), "<u4"), sizes[np.searchsorted(begins, offsets)] // 4
-
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of ids, and the byte at which each id ends, after a 0."""
-        lengths = self.lengths[ids]
-        ends = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(lengths, out=ends[1:])
-        return self.table[np.repeat(self.starts[ids] - ends[:-1], lengths) + np.arange(ends[-1])], ends
-
 
 @cache
 def ranks(path: str) -> Ranks:
@@ -170,11 +134,12 @@ def _decoder(path: str):
 
 
 @F.arrow_udf(T.BinaryType())
-def pack_ids(column: pa.Array) -> pa.Array:
+def pack_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The ids of each list as little-endian unsigned 32-bit integers."""
-    ids = column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-    ends = 4 * np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
-    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+    for column in batches:
+        ids = column.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        ends = 4 * np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        yield pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -183,9 +148,14 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return made.withColumns({c: F.col("_encoded")[c] for c in ("ids", "token_starts")}).drop("_encoded")
 
 
+def decoded_bytes(ids: Column, path: str) -> Column:
+    """The bytes of a column of ids."""
+    return _decoder(path)(ids)
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """encoded with decoded: the bytes of the ids."""
-    return encoded.withColumn("decoded", _decoder(path)(F.col(ids)))
+    return encoded.withColumn("decoded", decoded_bytes(F.col(ids), path))
 
 
 def sha256(col: Column) -> Column:

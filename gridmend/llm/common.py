@@ -14,7 +14,14 @@ _own_dirs: dict[str, str] = {}
 BROADCAST_ROWS = 200_000
 
 
+#: What one Arrow batch may hold on its way to a Python worker: texts are long, so fewer rows than Spark's default.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; from here on the session's Arrow batches are of a size for texts."""
+    for key, most in BATCH.items():
+        spark.conf.set(key, str(most))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -51,9 +51,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
-    decoded = byte_bpe.decode(encoded.drop("text", "token_starts"), ranks)
-    packed = decoded.withColumn("packed", byte_bpe.pack_ids("ids"))
-    return packed.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), byte_bpe.sha256(F.col("packed")).alias("ids_sha256"), byte_bpe.sha256(F.col("decoded")).alias("decoded_sha256"))
+    both = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), byte_bpe.pack_ids("ids").alias("packed"), byte_bpe.decoded_bytes(F.col("ids"), ranks).alias("decoded"))
+    return both.select("doc_id", "n_tokens", byte_bpe.sha256(F.col("packed")).alias("ids_sha256"), byte_bpe.sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
