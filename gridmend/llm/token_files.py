@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import pretokens
-from .byte_bpe import PieceCache
 from .common import digest, join_small
+from .piece_table import TableEncoder
 from .textarrays import texts
+from .token_counts import byte_letters
 
 END_ID = 2
 #: Bytes; a page is the least that a selective read takes.
@@ -36,34 +36,34 @@ ROW_GROUP, PAGE, DICTIONARY = 32 << 20, 128 << 10, 512 << 10
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("part", T.IntegerType(), False), T.StructField("place", T.LongType(), False), T.StructField("start_in_part", T.LongType(), False), T.StructField("n_tokens", T.LongType(), False), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
 
-class Encoder:
-    """The tokenizers library behind a cache of pieces: each distinct piece is encoded by it once."""
+class Encoder(TableEncoder):
+    """The tokenizers library behind a table of pieces: each distinct piece is encoded by it once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = sorted((t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.cache = PieceCache(self.piece)
-
-    def piece(self, data: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, raw: np.ndarray, offsets: np.ndarray, end_id: int) -> list[bytes]:
-        """Packed ids of each text, end id included."""
-        data, end = raw.tobytes(), end_id.to_bytes(4, "little")
-        if any(s in data for s in self.special):  # the library splits such texts at these strings, then into pieces
-            return [(self.piece(data[a:b]) if any(s in data[a:b] for s in self.special) else self._whole(data[a:b])) + end for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
-        begins = pretokens.pieces(raw, offsets)
-        bounds = [*begins.tolist(), len(data)]
-        packed = [self.cache[data[a:b]] for a, b in zip(bounds, bounds[1:])]
-        at = np.searchsorted(begins, offsets).tolist()
-        return [b"".join(packed[a:b]) + end for a, b in zip(at, at[1:])]
-
-    def _whole(self, data: bytes) -> bytes:
-        raw = np.frombuffer(data, np.uint8)
-        bounds = [*pretokens.pieces(raw, np.array([0, len(raw)])).tolist(), len(raw)]
-        return b"".join([self.cache[data[a:b]] for a, b in zip(bounds, bounds[1:])])
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        by_letter = {c: i for i, c in enumerate(byte_letters())}
+        by_id = [b""] * self.tokenizer.get_vocab_size()
+        for token, i in self.tokenizer.get_vocab().items():
+            by_id[i] = token.encode() if token.encode() in self.special else bytes([by_letter[c] for c in token])
+        super().__init__(self.library, by_id)
+
+    def library(self, pieces: list[bytes]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in made]
+
+    def encode_ended(self, raw: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, and the place at which each text ends, after a 0."""
+        data = raw.tobytes()
+        if any(s in data for s in self.special):  # the library splits texts at these strings, then into pieces
+            bounds = offsets.tolist()
+            own = [np.frombuffer(x, "<u4") for x in self.library([data[a:b] for a, b in zip(bounds, bounds[1:])])]
+            ids, ends = np.concatenate(own), np.append(0, np.cumsum(list(map(len, own))))
+        else:
+            ids, ends = self.encode(raw, offsets)
+        return np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
 
 
 @cache
@@ -78,10 +78,9 @@ def _writer(path: str, end_id: int):
         place = tokens = 0
         for batch in batches:
             for a, b, raw, offsets in texts(batch.column("text")):
-                packed = own.encode(raw, offsets, end_id)
-                counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-                ends = np.append(0, np.cumsum(counts))
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
+                ids, ends = own.encode_ended(raw, offsets, end_id)
+                counts = np.diff(ends)
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("part").slice(a, b - a), pa.array(place + np.arange(b - a)), pa.array(tokens + ends[:-1]), pa.array(counts), ids], names=SCHEMA.names)
                 place, tokens = place + b - a, tokens + int(ends[-1])
 
