@@ -173,7 +173,8 @@ def _text_classes(docs: DataFrame, n: int, threshold: tuple[int, int], recall: f
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")))
     own = docs.select(F.col("doc_id"), "text", digest(F.col("text")).alias("_key"))
-    with_text = placed.join(own, (F.col("key") == F.col("_key")) & F.col("rep").eqNullSafe(F.col("doc_id"))).drop("_key", "doc_id", "rep")
+    # always by shuffle: how many texts have candidates isn't bounded
+    with_text = own.join(placed.hint("shuffle_hash"), (F.col("key") == F.col("_key")) & F.col("rep").eqNullSafe(F.col("doc_id"))).drop("_key", "doc_id", "rep")
     dealt = with_text.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other")
     dealt = dealt.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
