@@ -244,10 +244,16 @@ REGISTRY: list[Rule] = [
 ]
 
 
+def can_run(rule: Rule, df: DataFrame) -> bool:
+    has = lambda columns: any(c in df.columns for c in columns)
+    some = {"DQ-12": ["year_built", "storeys", *S.VALUE_COLUMNS], "DQ-15": S.VALUE_COLUMNS, "DQ-16": S.VALUE_COLUMNS}.get(rule.name)
+    return all(n in df.columns for n in rule.needs) and (some is None or has(some))
+
+
 def run_rules(df: DataFrame, year: int, only: list[str] | None = None) -> DataFrame:
     """All findings of the rules that can run; df may be raw or with_clean."""
     df = df if any(c.startswith("c_") for c in df.columns) else with_clean(df)
-    usable = [r for r in REGISTRY if (only is None or r.name in only) and all(n in df.columns for n in r.needs)]
+    usable = [r for r in REGISTRY if (only is None or r.name in only) and can_run(r, df)]
     local = [c for r in usable if not r.across_rows for c in r.apply(df, year)]
     parts = ([_explode(df, local)] if local else []) + [r.apply(df, year) for r in usable if r.across_rows]
     return reduce(DataFrame.unionByName, parts)
@@ -255,5 +261,5 @@ def run_rules(df: DataFrame, year: int, only: list[str] | None = None) -> DataFr
 
 def rule_status(df: DataFrame) -> DataFrame:
     """(rule, evaluated, reason) of every rule; a driver-side list of eighteen."""
-    rows = [(r.name, not (gone := [n for n in r.needs if n not in df.columns]), "needs " + ", ".join(gone) if gone else None) for r in REGISTRY]
+    rows = [(r.name, can_run(r, df), None if can_run(r, df) else "needs " + (", ".join(n for n in r.needs if n not in df.columns) or "a field to read")) for r in REGISTRY]
     return df.sparkSession.createDataFrame(rows, "rule string, evaluated boolean, reason string")
