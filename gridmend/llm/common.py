@@ -15,7 +15,7 @@ BROADCAST_ROWS = 200_000
 
 
 #: What one Arrow batch may hold on its way to a Python worker: texts are long, so fewer rows than Spark's default.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 256, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
