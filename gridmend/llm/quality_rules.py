@@ -26,6 +26,8 @@ from .common import cut, join_small
 
 SPACES = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
+#: How far from its median a ratio's fence lies at least.
+LEAST_SPREAD = {"symbols": 0.1, "exclaims": 0.2, "dup_lines": 0.5, "repeats": 0.4, "word_length": 5.0}
 MIN_GROUP = 50
 REACH = 8.0
 SKETCH_K = 4096
@@ -34,13 +36,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def _ratios() -> dict[str, tuple[Column, float]]:
     n = F.col("n_words")
-    return {
-        "symbols": (F.col("n_symbols") / n, 0.1),
-        "exclaims": (F.col("n_exclaims") / n, 0.2),
-        "dup_lines": (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), 0.5),
-        "repeats": (F.col("n_repeat_words") / n, 0.4),
-        "word_length": (F.col("word_chars") / n, 5.0),
-    }
+    values = {"symbols": F.col("n_symbols") / n, "exclaims": F.col("n_exclaims") / n, "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), "repeats": F.col("n_repeat_words") / n, "word_length": F.col("word_chars") / n}
+    return {name: (values[name], least) for name, least in LEAST_SPREAD.items()}
 
 
 def _let(value: Column, body) -> Column:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, language_id, ngram_join, quality_classifier, quality_rules, span_dedup, token_counts, token_files, warc
+from . import byte_bpe, decontamination, language_id, ngram_join, quality_classifier, quality_rules, span_dedup, sql, token_counts, token_files, warc
 from .common import shared_path, table
 
 
@@ -71,4 +71,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.QUERIES)
