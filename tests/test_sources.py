@@ -6,7 +6,7 @@ from gridmend.sources import grid
 
 
 def test_csv_and_xlsx_cells(spark, tmp_path):
-    (tmp_path / "a.csv").write_bytes("﻿Loc;City\n1;Bos ton\n2\n".encode())
+    (tmp_path / "a.csv").write_bytes("﻿Loc;City\n1;Bos ton\n2;\n".encode())
     (tmp_path / "b.xlsx").write_bytes(grid.write_xlsx([["Loc", "City"], ["1", None], ["<&>", "x"]]))
     (tmp_path / "c.xlsx").write_bytes(b"not a zip")
     (tmp_path / "d.csv").write_bytes(b"")
