@@ -21,9 +21,13 @@ def is_null(c: Column, tokens: list[str] = S.NULL_TOKENS) -> Column:
     return c.isNull() | F.lower(strip(c)).isin(tokens)
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(key: Column, entries: dict[str, str]) -> Column:
-    """The entry of a key, else null. A literal map of a fixed table."""
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])[key]
+    """The entry of a key, else null. A literal map of a fixed table, parsed at once."""
+    return F.expr("map(" + ", ".join(quoted(x) for pair in entries.items() for x in pair) + ")")[key]
 
 
 def clean_amount(c: Column) -> Column:
@@ -108,8 +112,8 @@ def zip_compact(c: Column) -> Column:
 
 def prefix_in_state(prefix: Column, state: Column) -> Column:
     """Whether a three-digit prefix is one of the state's; null if the state is unknown."""
-    cases = [(state == s) & reduce(lambda a, b: a | b, [prefix.between(lo, hi) for lo, hi in found]) for s, found in S.ZIP_RANGES.items()]
-    return F.when(state.isin(list(S.ZIP_RANGES)), reduce(lambda a, b: a | b, cases))
+    ranges = ", ".join(f"{quoted(s)}, array(" + ", ".join(f"named_struct('lo', {lo}, 'hi', {hi})" for lo, hi in found) + ")" for s, found in S.ZIP_RANGES.items())
+    return F.exists(F.expr(f"map({ranges})")[state], lambda r: prefix.between(r["lo"], r["hi"]))
 
 
 def sprinkler_fix(c: Column) -> Column:

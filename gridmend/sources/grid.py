@@ -65,16 +65,19 @@ def parse_xlsx(data: bytes) -> Iterator[tuple]:
 
 
 def read_workbooks(spark: SparkSession, path: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Rows of kind cell, span, oversized (a sheet with too many rows, which is dropped) and error (value says why)."""
+    """Rows of kind cell, span, oversized (a sheet with too many rows, which is dropped) and error (value says why).
+
+    Spark's file source passes over files of no bytes, so they give no row at all.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in CELLS.split(", ")]
         for pdf in batches:
             for p, digest, data in zip(pdf["path"], pdf["sha256"], pdf["content"]):
                 try:
-                    if not data:
-                        raise ValueError("the file is empty")
                     rows = list(parse_xlsx(bytes(data)) if p.lower().endswith(".xlsx") else parse_csv(bytes(data)))
+                    if not rows:
+                        raise ValueError("the file has no rows")
                 except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     rows = [(0, None, None, None, str(e), None, None, "error")]
                 out = pd.DataFrame([(p, digest, *r) for r in rows], columns=names)

@@ -9,7 +9,7 @@ def test_csv_and_xlsx_cells(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿Loc;City\n1;Bos ton\n2;\n".encode())
     (tmp_path / "b.xlsx").write_bytes(grid.write_xlsx([["Loc", "City"], ["1", None], ["<&>", "x"]]))
     (tmp_path / "c.xlsx").write_bytes(b"not a zip")
-    (tmp_path / "d.csv").write_bytes(b"")
+    (tmp_path / "d.csv").write_bytes(b"\n")
     rows = grid.read_workbooks(spark, f"file://{tmp_path}").collect()
     cells = {(r["path"][-5:], r["row_idx"], r["col_idx"]): r["value"] for r in rows if r["kind"] == "cell"}
     assert cells[("a.csv", 1, 1)] == "Bos ton" and cells[("a.csv", 2, 0)] == "2" and cells[("a.csv", 0, 0)] == "Loc"
