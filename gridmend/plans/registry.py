@@ -155,8 +155,9 @@ _REC = "rec_id, position, rule, field, op, action_type, severity, n_findings, n_
 
 
 def recommended(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    found = findings_of(df)
-    return found, review.recommendations(found)
+    """(findings, recommendations), kept while a query runs, as its steps read them more than once."""
+    found = findings_of(df).persist()
+    return found, review.recommendations(found).persist()
 
 
 on_frame("recommendations", O.on_findings(f"SELECT {_REC} FROM r", O.RECS))(lambda df: recommended(df)[1])
