@@ -1,4 +1,5 @@
-"""The quality rules. Rules on one row are one projection, exploded; rules across rows aggregate first and join back.
+"""The quality rules. Rules on one row are one projection, exploded. What DQ-12, DQ-15, DQ-16 and DQ-17 need from other rows
+is one row of statistics, gathered in one pass and broadcast, so they sit in the same projection. Only DQ-13 groups and joins back.
 
 A finding has run columns (rule, sheet_row, field, severity, before, after, op); op and after are null where a human must decide.
 """
@@ -16,7 +17,6 @@ from gridmend import schema as S
 from gridmend.functions import clean as C
 from gridmend.operators.frame import mapped, status, with_clean
 
-FINDING = "struct<rule:string,sheet_row:bigint,field:string,severity:string,before:string,after:string,op:string>"
 FINDING_COLUMNS = ["rule", "sheet_row", "field", "severity", "before", "after", "op"]
 
 
@@ -25,28 +25,41 @@ def severity(rule: str, field: str | None) -> str:
 
 
 def finding(rule: str, field: str | None, before: Column, after: Column | None = None, op: Column | str | None = None) -> Column:
-    text = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(F.lit(rule).alias("rule"), F.col("sheet_row"), F.lit(field).cast("string").alias("field"), F.lit(severity(rule, field)).alias("severity"), C.render(before).alias("before"), text(after).cast("string").alias("after"), text(op).cast("string").alias("op")).cast(FINDING)
+    """A finding without its row; explode_findings adds that and renders `before`, once for all rules."""
+    none = F.expr("cast(null as string)")
+    fixed = F.expr(f"named_struct('rule', {C.quoted(rule)}, 'field', {C.quoted(field) if field else 'cast(null as string)'}, 'severity', {C.quoted(severity(rule, field))})")
+    return F.struct(fixed.alias("fixed"), before.alias("before"), (none if after is None else after).alias("after"), (F.lit(op) if isinstance(op, str) else none if op is None else op).alias("op"))
+
+
+def with_readings(df: DataFrame) -> DataFrame:
+    """df with values and statuses as plain columns: the optimizer keeps those, but copies parts of a struct into every use."""
+    df = df if any(c.startswith("c_") for c in df.columns) else with_clean(df)
+    values = {f"_value_{c}": F.col(f"c_{c}.value") for c in S.VALUE_COLUMNS + S.INTEGER_COLUMNS if f"c_{c}" in df.columns}
+    return df.withColumns(values | {f"_status_{c}": status(df, c) for c in mapped(df)})
 
 
 def _value(c: str) -> Column:
-    return F.col(f"c_{c}.value")
+    return F.col(f"_value_{c}")
+
+
+def _status(c: str) -> Column:
+    return F.col(f"_status_{c}")
 
 
 def _usable(c: str) -> Column:
-    return F.when(F.col(f"c_{c}.status").isin("ok", "reformatted"), _value(c))
+    return F.when((_status(c) == "ok") | (_status(c) == "reformatted"), _value(c))
 
 
 def dq01(df: DataFrame, year: int) -> list[Column]:
-    return [F.when(status(df, c) == "empty", finding("DQ-01", S.FIELD_OF[c], F.col(c))) for c in mapped(df)]
+    return [F.when(_status(c) == "empty", finding("DQ-01", S.FIELD_OF[c], F.col(c))) for c in mapped(df)]
 
 
 def dq02(df: DataFrame, year: int) -> list[Column]:
-    return [F.when(status(df, c) == "unparseable", finding("DQ-02", S.FIELD_OF[c], F.col(c))) for c in S.VALUE_COLUMNS if c in df.columns]
+    return [F.when(_status(c) == "unparseable", finding("DQ-02", S.FIELD_OF[c], F.col(c))) for c in S.VALUE_COLUMNS if c in df.columns]
 
 
 def dq03(df: DataFrame, year: int) -> list[Column]:
-    return [F.when(status(df, c).isin("unparseable", "fractional"), finding("DQ-03", S.FIELD_OF[c], F.col(c))) for c in S.INTEGER_COLUMNS if c in df.columns]
+    return [F.when(_status(c).isin("unparseable", "fractional"), finding("DQ-03", S.FIELD_OF[c], F.col(c))) for c in S.INTEGER_COLUMNS if c in df.columns]
 
 
 def dq04(df: DataFrame, year: int) -> list[Column]:
@@ -92,7 +105,7 @@ def dq09(df: DataFrame, year: int) -> list[Column]:
 
 
 def dq10(df: DataFrame, year: int) -> list[Column]:
-    return [F.when(status(df, c) == "reformatted", finding("DQ-10", S.FIELD_OF[c], F.col(c), C.number_text(_value(c)), "strip_currency_to_float")) for c in S.VALUE_COLUMNS if c in df.columns]
+    return [F.when(_status(c) == "reformatted", finding("DQ-10", S.FIELD_OF[c], F.col(c), C.number_text(_value(c)), "strip_currency_to_float")) for c in S.VALUE_COLUMNS if c in df.columns]
 
 
 def dq11(df: DataFrame, year: int) -> list[Column]:
@@ -111,18 +124,24 @@ def dq18(df: DataFrame, year: int) -> list[Column]:
     return [F.when((building > 0) & (_value(c) > building * S.COMPONENT_LIMIT), finding("DQ-18", S.FIELD_OF[c], F.col(c))) for c in ("contents", "bi") if c in df.columns]
 
 
-def dq12(df: DataFrame, year: int) -> DataFrame:
-    """Placeholders. The counts of the few suspicious years are all that is broadcast."""
-    out, extra = df, []
+def _year_count(year: int) -> str:
+    return f"_rows_of_{year}"
+
+
+def dq12(df: DataFrame, year: int) -> list[Column]:
+    """Placeholders; a suspicious year counts once it is repeated."""
+    found = []
     if "year_built" in df.columns:
         built = _value("year_built")
-        counts = df.select(built.alias("_year")).filter(F.col("_year").isin(S.PLACEHOLDER_YEARS)).groupBy("_year").agg(F.count("*").alias("_n"))
-        out = df.join(F.broadcast(counts), built == F.col("_year"), "left")
-        extra.append(F.when((F.col("_year") == 0) | (F.col("_n") >= S.PLACEHOLDER_REPEATS), finding("DQ-12", "Year Built", F.col("year_built"), None, "set_null")))
+        repeated = [(built == y) & (F.col(_year_count(y)) >= S.PLACEHOLDER_REPEATS) for y in S.PLACEHOLDER_YEARS]
+        found.append(F.when(reduce(lambda a, b: a | b, repeated, built == 0), finding("DQ-12", "Year Built", F.col("year_built"), None, "set_null")))
     if "storeys" in df.columns:
-        extra.append(F.when(_value("storeys") == 0, finding("DQ-12", "Storeys", F.col("storeys"), None, "set_null")))
-    extra += [F.when(_value(c) == 1, finding("DQ-12", S.FIELD_OF[c], F.col(c), None, "set_null")) for c in S.VALUE_COLUMNS if c in df.columns]
-    return _explode(out, extra)
+        found.append(F.when(_value("storeys") == 0, finding("DQ-12", "Storeys", F.col("storeys"), None, "set_null")))
+    return found + [F.when(_value(c) == 1, finding("DQ-12", S.FIELD_OF[c], F.col(c), None, "set_null")) for c in S.VALUE_COLUMNS if c in df.columns]
+
+
+def _year_counts(df: DataFrame) -> dict[str, Column]:
+    return {_year_count(y): F.count_if(_value("year_built") == y) for y in S.PLACEHOLDER_YEARS} if "year_built" in df.columns else {}
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
@@ -145,14 +164,12 @@ def with_location_key(df: DataFrame) -> DataFrame:
 
 def dq13(df: DataFrame, year: int) -> DataFrame:
     joined = with_location_key(df).join(duplicate_groups(df), ["address_key", "zip_key"])
-    return _explode(joined, [finding("DQ-13", "Address", F.col("address"))])
+    return explode_findings(joined, [finding("DQ-13", "Address", F.col("address"))])
 
 
-def _totals(df: DataFrame) -> tuple[list[str], DataFrame]:
-    """The sum of each value column and the number of rows: one row."""
-    columns = [c for c in S.VALUE_COLUMNS if c in df.columns]
-    sums = df.agg(F.count("*").alias("_rows"), *[F.coalesce(F.sum(_value(c)), F.lit(0.0)).alias(f"_sum_{c}") for c in columns])
-    return columns, sums
+def _sums(df: DataFrame) -> dict[str, Column]:
+    """The number of rows and the sum of each value column."""
+    return {"_rows": F.count("*")} | {f"_sum_{c}": F.coalesce(F.sum(_value(c)), F.lit(0.0)) for c in S.VALUE_COLUMNS if c in df.columns}
 
 
 def _label(df: DataFrame) -> Column:
@@ -161,65 +178,68 @@ def _label(df: DataFrame) -> Column:
     return F.get(F.filter(F.array(*[F.col(c) for c in mapped(df)]), has), F.lit(0))
 
 
-def totals_rows(df: DataFrame) -> DataFrame:
-    """df's rows that equal the sum of all others, with label."""
-    columns, sums = _totals(df)
-    joined = df.crossJoin(F.broadcast(sums)).withColumn("_label", C.strip(_label(df)))
+def _is_total(df: DataFrame, labelled: Column) -> Column:
+    """Whether a row equals the sum of all others; one value column is enough for a row with a label."""
     checked, agree = [], []
-    for c in columns:
+    for c in [c for c in S.VALUE_COLUMNS if c in df.columns]:
         here = _value(c)
         others = F.col(f"_sum_{c}") - here
         check = F.coalesce((here != 0) & (others > 0), F.lit(False))
         checked.append(check.cast("int"))
         agree.append((check & (F.abs(here - others) <= F.greatest(F.lit(1.0), F.abs(others) * S.TOLERANCE))).cast("int"))
     n_checked, n_agree = reduce(lambda a, b: a + b, checked), reduce(lambda a, b: a + b, agree)
-    needed = F.when(F.col("_label").isNotNull(), 1).otherwise(2)
-    return joined.filter((F.col("_rows") >= S.MIN_TOTAL_ROWS) & (n_checked > 0) & (n_agree >= needed) & (n_agree >= n_checked)).drop("_rows", *[f"_sum_{c}" for c in columns])
+    return (F.col("_rows") >= S.MIN_TOTAL_ROWS) & (n_checked > 0) & (n_agree >= F.when(labelled, 1).otherwise(2)) & (n_agree >= n_checked)
 
 
-def dq15(df: DataFrame, year: int) -> DataFrame:
-    before = F.coalesce(F.col("_label"), F.concat(F.lit("row "), F.col("sheet_row").cast("string")))
-    return _explode(totals_rows(df), [finding("DQ-15", None, before, None, "exclude_row")])
+def dq15(df: DataFrame, year: int) -> list[Column]:
+    label = C.strip(_label(df))
+    before = F.coalesce(label, F.concat(F.lit("row "), F.col("sheet_row").cast("string")))
+    return [F.when(_is_total(df, label.isNotNull()), finding("DQ-15", None, before, None, "exclude_row"))]
 
 
-def dq16(df: DataFrame, year: int, tiv: str = "tiv") -> DataFrame:
+def dq16(df: DataFrame, year: int, tiv: str = "tiv") -> list[Column]:
     """Components against a stated total; totals rows don't count."""
-    columns = [c for c in S.VALUE_COLUMNS if c in df.columns]
     stated = C.clean_amount(F.col(tiv))["value"]
-    parts = reduce(lambda a, b: a + b, [F.coalesce(_value(c), F.lit(0.0)) for c in columns])
-    rows = df.withColumn("_stated", stated).withColumn("_parts", parts)
-    rows = rows.filter((F.col("_stated") != 0) & (F.col("_parts") != 0) & (F.abs(F.col("_parts") - F.col("_stated")) > F.abs("_stated") * S.TOLERANCE))
-    rows = rows.join(totals_rows(df).select("sheet_row"), "sheet_row", "left_anti")
-    return _explode(rows, [finding("DQ-16", None, F.col(tiv))])
+    parts = reduce(lambda a, b: a + b, [F.coalesce(_value(c), F.lit(0.0)) for c in S.VALUE_COLUMNS if c in df.columns])
+    off = (stated != 0) & (parts != 0) & (F.abs(parts - stated) > F.abs(stated) * S.TOLERANCE)
+    return [F.when(off & ~_is_total(df, _label(df).isNotNull()), finding("DQ-16", None, F.col(tiv)))]
+
 
+def _shape() -> Column:
+    return F.when(~C.is_null(F.col("year_built")), C.date_shape(C.strip(F.col("year_built"))))
 
-def year_shapes(df: DataFrame) -> DataFrame:
-    """(shape, n, first_row) of the notations in Year Built: six rows at most."""
-    shape = F.when(~C.is_null(F.col("year_built")), C.date_shape(C.strip(F.col("year_built"))))
-    return df.select(shape.alias("shape"), "sheet_row").filter("shape is not null").groupBy("shape").agg(F.count("*").alias("n"), F.min("sheet_row").alias("first_row"))
 
+def _main_shape(df: DataFrame) -> dict[str, Column]:
+    """The commonest notation in Year Built, of equal ones the first to occur, and how many there are."""
+    shape = _shape()
+    seen = [F.struct(F.count_if(shape == name).alias("n"), (-F.min(F.when(shape == name, F.col("sheet_row")))).alias("early"), F.lit(name).alias("shape")) for name, _ in S.DATE_SHAPES]
+    return {"_main": F.array_max(F.array(*seen))["shape"], "_shapes": F.size(F.filter(F.array(*seen), lambda s: s["n"] > 0))}
 
-def dq17(df: DataFrame, year: int) -> DataFrame:
-    main = year_shapes(df).agg(F.max_by("shape", F.struct("n", -F.col("first_row"))).alias("_main"), F.count("*").alias("_shapes"))
-    shape = F.when(~C.is_null(F.col("year_built")), C.date_shape(C.strip(F.col("year_built"))))
-    rows = df.withColumn("_shape", shape).crossJoin(F.broadcast(main)).filter((F.col("_shapes") > 1) & (F.col("_shape") != F.col("_main")))
+
+def dq17(df: DataFrame, year: int) -> list[Column]:
     value = _value("year_built")
     after = F.when(value == F.floor(value), C.number_text(value))
-    return _explode(rows, [finding("DQ-17", "Year Built", F.col("year_built"), after, F.when(after.isNotNull(), "to_int"))])
+    return [F.when((F.col("_shapes") > 1) & (_shape() != F.col("_main")), finding("DQ-17", "Year Built", F.col("year_built"), after, F.when(after.isNotNull(), "to_int")))]
 
 
-def _explode(df: DataFrame, found: list[Column]) -> DataFrame:
-    return df.select(F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.*")
+def explode_findings(df: DataFrame, found: list[Column]) -> DataFrame:
+    """A row for each finding in the columns that isn't null."""
+    rows = df.select("sheet_row", F.explode(F.array_compact(F.array(*found))).alias("f"))
+    return rows.select("f.fixed.rule", "sheet_row", "f.fixed.field", "f.fixed.severity", C.render(F.col("f.before")).alias("before"), "f.after", "f.op")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Either columns over one row or a DataFrame over all; needs: the fields without which it can't run."""
+    """Either columns over one row or a DataFrame over all.
+
+    needs: the fields without which it can't run. statistics: aggregates over all rows that its columns read, by name.
+    """
 
     name: str
     needs: tuple[str, ...]
     apply: Callable
     across_rows: bool = False
+    statistics: Callable[[DataFrame], dict[str, Column]] | None = None
 
 
 REGISTRY: list[Rule] = [
@@ -234,12 +254,12 @@ REGISTRY: list[Rule] = [
     Rule("DQ-09", ("state",), dq09),
     Rule("DQ-10", (), dq10),
     Rule("DQ-11", ("sprinklers",), dq11),
-    Rule("DQ-12", (), dq12, True),
+    Rule("DQ-12", (), dq12, True, _year_counts),
     Rule("DQ-13", ("address",), dq13, True),
     Rule("DQ-14", ("construction", "storeys"), dq14),
-    Rule("DQ-15", (), dq15, True),
-    Rule("DQ-16", ("tiv",), dq16, True),
-    Rule("DQ-17", ("year_built",), dq17, True),
+    Rule("DQ-15", (), dq15, True, _sums),
+    Rule("DQ-16", ("tiv",), dq16, True, _sums),
+    Rule("DQ-17", ("year_built",), dq17, True, _main_shape),
     Rule("DQ-18", ("building_value",), dq18),
 ]
 
@@ -250,12 +270,21 @@ def can_run(rule: Rule, df: DataFrame) -> bool:
     return all(n in df.columns for n in rule.needs) and (some is None or has(some))
 
 
+def with_statistics(df: DataFrame, used: list[Rule]) -> DataFrame:
+    """df with the statistics of the rules on each row: one pass over df, and one row to broadcast."""
+    wanted = {name: c for r in used if r.statistics for name, c in r.statistics(df).items()}
+    if not wanted:
+        return df
+    return df.crossJoin(F.broadcast(df.agg(*[c.alias(name) for name, c in wanted.items()])))
+
+
 def run_rules(df: DataFrame, year: int, only: list[str] | None = None) -> DataFrame:
     """All findings of the rules that can run; df may be raw or with_clean."""
-    df = df if any(c.startswith("c_") for c in df.columns) else with_clean(df)
+    df = with_readings(df)
     usable = [r for r in REGISTRY if (only is None or r.name in only) and can_run(r, df)]
-    local = [c for r in usable if not r.across_rows for c in r.apply(df, year)]
-    parts = ([_explode(df, local)] if local else []) + [r.apply(df, year) for r in usable if r.across_rows]
+    by_row = [r for r in usable if not r.across_rows or r.statistics]
+    found = [c for r in by_row for c in r.apply(df, year)]
+    parts = ([explode_findings(with_statistics(df, by_row), found)] if found else []) + [r.apply(df, year) for r in usable if r not in by_row]
     return reduce(DataFrame.unionByName, parts)
 
 

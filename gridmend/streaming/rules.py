@@ -5,17 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gridmend.operators import rules
-from gridmend.operators.frame import with_clean
 
 
 def local_findings(stream: DataFrame, year: int) -> DataFrame:
     """A stateless stream of findings from a stream of frames: no watermark and no state are needed."""
-    df = with_clean(stream)
+    df = rules.with_readings(stream)
     found = [c for r in rules.REGISTRY if not r.across_rows and all(n in df.columns for n in r.needs) for c in r.apply(df, year)]
-    return df.select(F.explode(F.array_compact(F.array(*found))).alias("f")).select("f.*")
+    return rules.explode_findings(df, found)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
