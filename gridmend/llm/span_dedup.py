@@ -1,9 +1,11 @@
 """Substring dedup over sliding spans of sentences.
 
-A text is cut into sentences: at a newline, at a word that ends in . ! or ?, and after CAP words without either. From each
-sentence on, the shortest run of at least two sentences with SPAN_WORDS words or more is hashed over its words, and for the
-last sentence of a line also the shortest such run that ends there. A passage of 2 * SPAN_WORDS - 1 words or more that makes up
-whole lines is covered by runs inside it, whatever stands around it.
+A text is cut into sentences: at a newline and at a word that ends in . ! or ?. A stretch of more than CAP words without either
+is also cut before each word whose hash is the least of WINDOW neighbours in the stretch, so the same words are cut alike at any
+offset. The shortest run of at least two sentences with SPAN_WORDS words or more is hashed over its words, both the one that
+starts at each sentence and the one that ends there. So any repeated sequence of whole sentences, two at least and of
+SPAN_WORDS words or more, is covered by runs inside it, whatever stands around it. A sentence that is only in part
+of the passage stays; in a long stretch that is up to 2 * WINDOW - 2 words at either end.
 
 The first occurrence of a run, by doc_id and then by place, stays; the sentences under any other occurrence go, with their
 line break if a line has none left. Runs that a document repeats are found as it is read. For the rest only (hash, document)
@@ -29,11 +31,23 @@ from pyspark.sql import types as T
 
 from .textarrays import Words, span_hashes, texts
 
-SPAN_WORDS, CAP = 25, 25
+SPAN_WORDS, CAP, WINDOW = 25, 25, 6
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 
 
+def _cuts(hashes: np.ndarray, begins: np.ndarray, cap: int, window: int = WINDOW) -> np.ndarray:
+    """The words of stretches of more than cap words whose hash is the least in a window; the last one wins a tie."""
+    starts = np.flatnonzero(begins)
+    lengths = np.diff(np.append(starts, len(begins)))
+    left = np.repeat(starts + lengths, lengths) - np.arange(len(begins))
+    at = np.flatnonzero((np.repeat(lengths, lengths) > cap) & (left >= window))
+    least = at.copy()
+    for k in range(1, window):
+        least = np.where(hashes[at + k] <= hashes[least], at + k, least)
+    return least
+
+
 class Sentences:
     """Sentences of a piece of texts and the runs over them, as numbers of words and of sentences."""
 
@@ -47,8 +61,8 @@ class Sentences:
         new_line[w.first[:-1][w.counts > 0]] = True
         begins = new_line.copy()
         begins[1:] |= _ENDS[raw[w.ends[:-1] - 1]]
-        place = np.arange(n)
-        begins |= (place - np.maximum.accumulate(np.where(begins, place, 0))) % cap == 0
+        hashes = w.hashes() if n else np.zeros(0, np.uint64)
+        begins[_cuts(hashes, begins, cap)] = True
         self.starts = np.flatnonzero(begins)
         self.ends = np.append(self.starts[1:], n) if n else self.starts
         self.row = w.row[self.starts]
@@ -56,13 +70,14 @@ class Sentences:
         k = np.arange(len(self.starts))
         ahead = np.maximum(np.searchsorted(self.ends, self.starts + span_words), k + 1)
         back = np.minimum(np.searchsorted(self.starts, self.ends - span_words, "right") - 1, k - 1)
-        closes = np.append(self.opens_line[1:], True) if n else self.opens_line
-        first, last = np.concatenate([k, back[closes]]), np.concatenate([ahead, k[closes]])
+        first, last = np.concatenate([k, back]), np.concatenate([ahead, k])
         fits = (first >= 0) & (last < len(k))
+        # a run that both starts and ends as the shortest is taken once
+        fits[len(k) :] &= ahead[np.maximum(back, 0)] != k
         first, last = first[fits], last[fits]
         same = self.row[first] == self.row[last]
         self.first, self.last = first[same], last[same]
-        self.hashes = span_hashes(w.hashes(), self.starts[self.first], self.ends[self.last]).view(np.int64) if n else np.zeros(0, np.int64)
+        self.hashes = span_hashes(hashes, self.starts[self.first], self.ends[self.last]).view(np.int64) if n else np.zeros(0, np.int64)
         self.run_row = self.row[self.first]
 
 

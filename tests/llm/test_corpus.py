@@ -76,6 +76,19 @@ def test_span_dedup(spark):
     assert span_dedup.span_dedup(twice.limit(0)).count() == 0
 
 
+def test_span_dedup_inside_lines(spark):
+    """Passages in mid-line go to their last sentence, and those without full stops at any offset but for a few words."""
+    short = " ".join(" ".join(f"s{n}w{i}" for i in range(n)) + "." for n in (9, 20, 10, 3))
+    plain = " ".join(f"q{i}" for i in range(80))
+    rows = [(0, short), (1, f"Own start. {short} Own end."), (100, plain)]
+    rows += [(101 + k, " ".join([f"x{k}y{i}" for i in range(k)] + [plain] + [f"z{k}y{i}" for i in range(40 - k)])) for k in range(0, 40, 3)]
+    got = {r["doc_id"]: r["text"].split() for r in span_dedup.span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "Own start. Own end.".split() and got[100] == plain.split()
+    for k in range(0, 40, 3):
+        left = got[101 + k]
+        assert sum(w[0] in "xz" for w in left) == 40 and sum(w[0] == "q" for w in left) <= 20, k
+
+
 def test_decontamination(spark, small):
     docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
     texts, tests = docs.collect(), items.collect()
