@@ -3,10 +3,13 @@
 Everything here is DataFrame functions; no Python runs on the executors.
 
 1. `text_stats` counts words, symbols, repeated lines and repeated three-word windows of each whole text.
-2. `thresholds` keeps a mergeable KLL sketch of each ratio per (lang, source), merges them per lang and over all, and
-   reads a fence from the first level that has enough documents: the median plus the larger of `reach` times the
-   distance from the lower quartile to the median and a least spread for that ratio. The median and the quartile below
-   it stay in place while less than half of a group is junk.
+2. `thresholds` keeps a mergeable KLL sketch of each ratio per (lang, source) over rows that pass the base rules, merges
+   them per lang and over all, and reads a first fence from the first level that has enough documents: the upper
+   quartile plus the larger of `reach` times its distance from the median and a least spread for that ratio. That
+   stays in place while less than a quarter of a group is junk; what rarer rows have below it counts as usual. The rows
+   under all first fences are sketched again, and the fence is their TOP quantile plus TAIL times its distance from
+   their median; only where that is less than a small floor, as in ratios that are 0 nearly everywhere, the floor takes
+   its place (`at_floor` names them).
 3. `apply_rules` joins each document with its group's fences: it stays if no base rule fails and no ratio is over its fence.
 
 Defined results: a null or empty text has no words, so all counts are 0 and base_failed is true. Null lang or source is
@@ -26,8 +29,11 @@ from .common import cut, join_small
 
 SPACES = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
-#: How far from its median a ratio's fence lies at least.
+#: How far above the upper quartile a ratio's first fence lies at least.
 LEAST_SPREAD = {"symbols": 0.1, "exclaims": 0.2, "dup_lines": 0.5, "repeats": 0.4, "word_length": 5.0}
+#: What TAIL times the distance from median to TOP quantile is at least: a guard against no spread at all.
+FLOORS = {"symbols": 0.02, "exclaims": 0.02, "dup_lines": 0.1, "repeats": 0.1, "word_length": 0.5}
+TOP, TAIL = 0.99, 2.0
 MIN_GROUP = 50
 REACH = 8.0
 SKETCH_K = 4096
@@ -92,38 +98,68 @@ def text_stats(docs: DataFrame) -> DataFrame:
     return out.select(*kept, "_w.n_words", "word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "n_exclaims", "_l.n_lines")
 
 
-def thresholds(stats: DataFrame, min_group: int = MIN_GROUP, reach: float = REACH, k: int = SKETCH_K) -> DataFrame:
-    """One row per (lang, source): a fence for each ratio, from the sketches of the group, its language or all documents."""
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _over() -> Column:
+    return reduce(lambda a, b: a | b, [F.coalesce(x > F.col(f"max_{r}"), F.lit(False)) for r, (x, _) in _ratios().items()])
+
+
+def _with_limits(stats: DataFrame, limits: DataFrame) -> DataFrame:
+    limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"max_{r}" for r in _ratios()])
+    return join_small(stats, limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
+
+
+def _by_group(groups: DataFrame, rows: DataFrame, fence, label: str, min_group: int, k: int) -> DataFrame:
+    """groups (lang, source) with fence(ratio) of each ratio's sketch of the group, its language or all rows."""
     ratios = _ratios()
-    seen = stats.filter("n_words > 0")
-    level = seen.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(x, F.lit(k)).alias(r) for r, (x, _) in ratios.items()])
-    level = cut(level, "sketches")
+    level = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(x, F.lit(k)).alias(r) for r, (x, _) in ratios.items()])
+    level = cut(level, label)
 
     def merged(*keys: str) -> DataFrame:
         return level.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, F.lit(k)).alias(r) for r in ratios])
 
     def fences(df: DataFrame, tag: str, *keys: str) -> DataFrame:
-        def fence(r: str, least: float) -> Column:
-            low, mid = (F.kll_sketch_get_quantile_double(F.col(r), F.lit(q)) for q in (0.25, 0.5))
-            return mid + F.greatest(F.lit(reach) * (mid - low), F.lit(least))
-
-        return df.filter(F.col("n") >= (min_group if keys else 1)).select(*[F.col(c).alias(f"{tag}_{c}") for c in keys], *[fence(r, s).alias(f"{tag}_{r}") for r, (_, s) in ratios.items()])
+        return df.filter(F.col("n") >= (min_group if keys else 1)).select(*[F.col(c).alias(f"{tag}_{c}") for c in keys], *[fence(r).alias(f"{tag}_{r}") for r in ratios])
 
     own, lang, every = fences(level, "g", "lang", "source"), fences(merged("lang"), "l", "lang"), fences(merged(), "a")
-    out = level.select("lang", "source")
-    out = out.join(own, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    out = groups.join(own, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     out = out.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(every), F.lit(True), "left")
-    return out.select("lang", "source", *[F.coalesce(f"g_{r}", f"l_{r}", f"a_{r}").alias(f"max_{r}") for r in ratios])
+    return out.select(*groups.columns, *[F.coalesce(f"g_{r}", f"l_{r}", f"a_{r}").alias(r) for r in ratios])
+
+
+def _quantile(r: str, q: float) -> Column:
+    return F.kll_sketch_get_quantile_double(F.col(r), F.lit(q))
+
+
+def thresholds(stats: DataFrame, min_group: int = MIN_GROUP, reach: float = REACH, k: int = SKETCH_K) -> DataFrame:
+    """One row per (lang, source): a fence for each ratio, and at_floor, the ratios whose fence is set by the floor."""
+    seen = stats.filter(~_failed())
+    groups = stats.select("lang", "source").distinct()
+
+    def first(r: str) -> Column:
+        mid, high = _quantile(r, 0.5), _quantile(r, 0.75)
+        return high + F.greatest(F.lit(reach) * (high - mid), F.lit(LEAST_SPREAD[r]))
+
+    def second(r: str) -> Column:
+        mid, top = _quantile(r, 0.5), _quantile(r, TOP)
+        tail = F.lit(TAIL) * (top - mid)
+        return F.struct((top + F.greatest(tail, F.lit(FLOORS[r]))).alias("max"), (tail < FLOORS[r]).alias("floor"))
+
+    early = _by_group(groups, seen, first, "sketches", min_group, k)
+    early = cut(early.select("lang", "source", *[F.col(r).alias(f"max_{r}") for r in LEAST_SPREAD]), "first-fences")
+    usual = _with_limits(seen, early).filter(~_over()).select(*stats.columns)
+    late = _by_group(early, usual, second, "usual-sketches", min_group, k)
+    at_floor = F.array_compact(F.array(*[F.when(F.col(r)["floor"], F.lit(r)) for r in FLOORS]))
+    return late.select("lang", "source", *[F.coalesce(F.col(r)["max"], f"max_{r}").alias(f"max_{r}") for r in FLOORS], at_floor.alias("at_floor"))
 
 
 def apply_rules(stats: DataFrame, limits: DataFrame) -> DataFrame:
     """stats with base_failed and kept, each row judged by its group's fences."""
-    limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    joined = join_small(stats, limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    over = reduce(lambda a, b: a | b, [F.coalesce(x > F.col(f"max_{r}"), F.lit(False)) for r, (x, _) in _ratios().items()])
-    safe = F.when(failed, False).otherwise(~over)  # the ratios divide by n_words, which is 50 at least there
-    return joined.withColumn("base_failed", failed).withColumn("kept", safe).drop("_lang", "_source", *[f"max_{r}" for r in _ratios()])
+    failed = _failed()
+    safe = F.when(failed, False).otherwise(~_over())  # the ratios divide by n_words, which is 50 at least there
+    return _with_limits(stats, limits).withColumn("base_failed", failed).withColumn("kept", safe).drop("_lang", "_source", *[f"max_{r}" for r in _ratios()])
 
 
 def quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -105,6 +105,21 @@ def test_quality_rules_keep_clean_and_reject_junk(spark, small):
     assert quality_rules.quality_rules(odd.limit(0)).count() == 0
 
 
+def test_fences_follow_each_group(spark):
+    """A source whose normal documents often exclaim keeps them; in one without symbols the one with some stands out."""
+    def row(k, source, exclaims=0, symbols=0):
+        return (k, "en", source, 100, 500, symbols, 0, 0, exclaims, 10)
+
+    loud = [row(k, "loud", exclaims=25 + k % 15 if k % 5 < 2 else 0) for k in range(200)]
+    plain = [row(1000 + k, "plain", symbols=8 if k == 0 else 0) for k in range(200)]
+    stats = spark.createDataFrame(loud + plain, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality_rules.COUNTS))
+    limits = quality_rules.thresholds(stats)
+    kept = {r["doc_id"] for r in quality_rules.apply_rules(stats, limits).filter("kept").collect()}
+    assert kept == {*range(200), *range(1001, 1200)}
+    floors = {r["source"]: r["at_floor"] for r in limits.collect()}
+    assert "exclaims" in floors["plain"] and "exclaims" not in floors["loud"]
+
+
 def test_language(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     model = language_id.fit(docs)
