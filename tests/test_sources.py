@@ -2,6 +2,9 @@
 
 import zipfile
 
+import pytest
+
+from gridmend.plans import more_queries
 from gridmend.sources import grid
 
 
@@ -23,6 +26,18 @@ def test_oversized_sheet_is_reported(spark, tmp_path):
     assert [r["kind"] for r in rows] == ["oversized"]
 
 
+def test_schedule_of_many_rows_is_read_whole(spark, small, monkeypatch):
+    monkeypatch.setattr(grid, "MAX_ROWS", 10)
+    monkeypatch.setattr(grid.read_workbooks, "__defaults__", (10,))
+    found = {r["part"]: r["cells"] for r in more_queries.csv_cells(spark, small).collect()}
+    customers = spark.read.parquet(f"{small}/customer.parquet").selectExpr("cast(c_custkey % 4 as int) part").groupBy("part").count().collect()
+    assert found == {r["part"]: r["count"] * 5 for r in customers}
+    read = grid.read_workbooks
+    monkeypatch.setattr(grid, "read_workbooks", lambda spark, path, max_rows: read(spark, path, 5))
+    with pytest.raises(Exception, match="oversized"):
+        more_queries.csv_cells(spark, small).collect()
+
+
 def test_merged_range_is_a_span(tmp_path):
     data = grid.write_xlsx([["Values", None], ["a", "b"]])
     path = tmp_path / "m.xlsx"
