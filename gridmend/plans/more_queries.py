@@ -121,7 +121,7 @@ query("merge_fill", f"{_GRID_DUCK} SELECT sheet, row_idx, col_idx, CASE WHEN row
 
 
 def _matches(spark: SparkSession, grid: DataFrame) -> DataFrame:
-    return M.match_target(grid.filter(F.col("row_idx") < 4).select("value"), M.glossary(spark))
+    return M.match_target(grid.filter(F.col("row_idx") < sheets.SCAN).select("value"), M.glossary(spark))
 
 
 def _located(spark: SparkSession, d: str):

@@ -4,6 +4,7 @@ import zipfile
 
 import pytest
 
+from gridmend.operators import sheets
 from gridmend.plans import more_queries
 from gridmend.sources import grid
 
@@ -50,3 +51,13 @@ def test_merged_range_is_a_span(tmp_path):
             z.writestr(n, d)
     spans = [r for r in grid.parse_xlsx(path.read_bytes()) if r[-1] == "span"]
     assert spans == [(0, "Sheet1", 0, 0, None, 0, 1, "span")]
+
+
+def test_headers_are_matched_in_all_rows_scanned(spark):
+    """Texts that only the tenth row has are looked up: header_candidates scores it, too."""
+    cells = [("s", r, c, f"x{r}{c}") for r in range(40) for c in range(3) if r != 9] + [("s", 9, c, h) for c, h in enumerate(["City", "Zip", "LOC-01234"])]
+    grid_ = spark.createDataFrame(cells, "sheet string, row_idx int, col_idx int, value string")
+    matches = more_queries._matches(spark, grid_)
+    assert {r["value"]: r["target"] for r in matches.collect()} == {"City": "City", "Zip": "Zip", "LOC-01234": "Reference"}
+    rows = {r["row_idx"]: r["vocabulary"] for r in sheets.header_candidates(sheets.trim_grid(grid_), matches).collect()}
+    assert rows[9] == 1.0 and rows[8] == 0.0
