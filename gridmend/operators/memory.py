@@ -1,4 +1,4 @@
-"""Decisions remembered by vector: an idempotent table of them, and the nearest ones to a few queries."""
+"""Decisions remembered by vector: an idempotent table of them, and the nearest ones to each query."""
 
 from __future__ import annotations
 
@@ -28,14 +28,20 @@ def calibrate(similarity: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (similarity - FLOOR) / (FULL - FLOOR))), 4)
 
 
+def compare(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each row beside each query: queries are broadcast while they are at most MAX_QUERIES, else dealt to blocks of about
+    that many, and tasks compare a block with a part of the rows."""
+    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
+        return rows.join(F.broadcast(queries), F.lit(True))
+    blocks = queries.repartition(-(-queries.count() // MAX_QUERIES))
+    return rows.join(blocks.hint("shuffle_replicate_nl"), F.lit(True))
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, vec_id, similarity) of each query's k nearest rows. queries (query_id, query) are few, which is checked.
+    """(query_id, vec_id, similarity) of each query's k nearest rows, for queries (query_id, query).
 
-    Rows are read once against the broadcast queries; each task's rows are ranked by window groups of the query, whose
-    limit Spark also applies before it shuffles.
+    Each task's rows are ranked by window groups of the query, whose limit Spark also applies before it shuffles.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: split them")
-    pairs = rows.join(F.broadcast(queries), F.lit(True)).select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("similarity"))
+    pairs = compare(queries, rows).select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

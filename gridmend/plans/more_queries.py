@@ -188,10 +188,7 @@ def nearest_decisions(spark: SparkSession, d: str) -> DataFrame:
 @query("semantic_matrix", f"WITH {_QUERIES} SELECT query_id, vec_id, round(greatest(0.0, least(1.0, (similarity - 0.35) / 0.45)), 4) AS score FROM p")
 def semantic_matrix(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    few = _label_queries(rows)
-    if few.limit(memory.MAX_QUERIES + 1).count() > memory.MAX_QUERIES:
-        raise ValueError("too many labels to compare with at once")
-    pairs = rows.join(F.broadcast(few), F.lit(True))
+    pairs = memory.compare(_label_queries(rows), rows)
     return pairs.select("query_id", "vec_id", memory.calibrate(F.round(memory.cosine(F.col("query"), F.col("embedding")), 6)).alias("score"))
 
 

@@ -3,8 +3,9 @@
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from gridmend.operators import sheets
+from gridmend.operators import memory, sheets
 from gridmend.plans import more_queries
 from gridmend.sources import grid
 
@@ -61,3 +62,14 @@ def test_headers_are_matched_in_all_rows_scanned(spark):
     assert {r["value"]: r["target"] for r in matches.collect()} == {"City": "City", "Zip": "Zip", "LOC-01234": "Reference"}
     rows = {r["row_idx"]: r["vocabulary"] for r in sheets.header_candidates(sheets.trim_grid(grid_), matches).collect()}
     assert rows[9] == 1.0 and rows[8] == 0.0
+
+
+def test_nearest_of_more_queries_than_one_block(spark, small, monkeypatch):
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").repartition(3)
+    queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    result = lambda df: sorted(tuple(r) for r in df.collect())
+    want, scores = result(memory.nearest(queries, rows)), result(more_queries.semantic_matrix(spark, small))
+    monkeypatch.setattr(memory, "MAX_QUERIES", 7)
+    assert result(memory.nearest(queries, rows)) == want and len(want) == 5 * queries.count() > 5 * 7
+    monkeypatch.setattr(memory, "MAX_QUERIES", 3)
+    assert result(more_queries.semantic_matrix(spark, small)) == scores
