@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -67,13 +68,31 @@ def test_components(spark):
 PASSAGE = " ".join(f"p{i}" + ("." if i % 17 == 16 else "") for i in range(60))
 
 
+def deduped(spark, rows, **limits):
+    found = span_dedup.span_dedup(spark.createDataFrame(rows, "doc_id long, text string"), **limits).collect()
+    return [(r["doc_id"], r["text"]) for r in found]
+
+
 def test_span_dedup(spark):
     rows = [(2, f"Own start here.\n{PASSAGE}\nOwn end there."), (1, f"{PASSAGE}"), (3, "Short one. Short two."), (4, "Short one. Short two."), (5, None), (6, ""), (None, PASSAGE), (1, PASSAGE)]
-    got = {(r["doc_id"], r["text"]) for r in span_dedup.span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = set(deduped(spark, rows))
     assert got == {(2, "Own start here.\nOwn end there."), (1, PASSAGE), (3, "Short one. Short two."), (4, "Short one. Short two."), (5, None), (6, ""), (None, "")}
-    twice = spark.createDataFrame([(1, f"{PASSAGE}\nmiddle words.\n{PASSAGE}")], "doc_id long, text string")
-    assert span_dedup.span_dedup(twice).first()["text"] == f"{PASSAGE}\nmiddle words."
-    assert span_dedup.span_dedup(twice.limit(0)).count() == 0
+    assert deduped(spark, [(1, f"{PASSAGE}\nmiddle words.\n{PASSAGE}")]) == [(1, f"{PASSAGE}\nmiddle words.\n")]
+    empty = spark.createDataFrame([(1, PASSAGE)], "doc_id long, text string").limit(0)
+    assert span_dedup.span_dedup(empty).count() == 0
+    named = spark.createDataFrame([("b", f"x {PASSAGE}", 1, 2), ("a", PASSAGE, 1, 2), (None, PASSAGE, 1, 2)], "doc_id string, text string, n_removed int, _doc int")
+    found = {r["doc_id"]: r["text"] for r in span_dedup.span_dedup(named).collect()}
+    assert found["a"] == PASSAGE and len(found["b"].split()) <= 18 and found[None] == ""
+
+
+def test_span_dedup_leaves_other_bytes_alone(spark):
+    """What goes is lines as a whole, or sentences with the white space between them and what stays."""
+    lines = "One two three.\nFour five six.\nSeven eight nine."
+    rows = [(1, lines), (2, f"Intro.\n\n    indented.\n\n{lines}\n...\n\nTail  end. "), (3, f"  Head.   {lines.replace(chr(10), ' ')}   Tail.\n x"), (4, f" \n  {lines}\n\n y"), (5, f"A.\tB c. {lines.replace(chr(10), ' ')}\t\n\n  D.")]
+    got = dict(deduped(spark, rows))
+    assert got[1] == lines
+    assert got[2] == "Intro.\n\n    indented.\n\n...\n\nTail  end. "
+    assert got[3] == "  Head.   Tail.\n x" and got[4] == " \n\n y" and got[5] == "A.\tB c.\t\n\n  D."
 
 
 def test_span_dedup_inside_lines(spark):
@@ -82,13 +101,30 @@ def test_span_dedup_inside_lines(spark):
     plain = " ".join(f"q{i}" for i in range(80))
     rows = [(0, short), (1, f"Own start. {short} Own end."), (100, plain)]
     rows += [(101 + k, " ".join([f"x{k}y{i}" for i in range(k)] + [plain] + [f"z{k}y{i}" for i in range(40 - k)])) for k in range(0, 40, 3)]
-    got = {r["doc_id"]: r["text"].split() for r in span_dedup.span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {d: t.split() for d, t in deduped(spark, rows)}
     assert got[1] == "Own start. Own end.".split() and got[100] == plain.split()
     for k in range(0, 40, 3):
         left = got[101 + k]
         assert sum(w[0] in "xz" for w in left) == 40 and sum(w[0] == "q" for w in left) <= 20, k
 
 
+def test_span_dedup_against_brute_force(spark):
+    """All windows of three sentences, with no least number of words and no cuts inside sentences."""
+    r = random.Random(8)
+    pool = [" ".join(r.choice("abcdefg") for _ in range(r.randint(1, 4))) + r.choice(".!?") for _ in range(9)]
+    rows = [(i, "".join(r.choice(pool) + r.choice([" ", "\n", "\n \n", "  "]) for _ in range(r.randint(0, 14)))) for i in range(60)]
+    split = {i: re.findall(r"[^\s].*?[.!?](?=\s|$)", t, re.S) for i, t in rows}
+    first, gone = {}, {i: set() for i in split}
+    for i in sorted(split):
+        for k in range(len(split[i]) - 2):
+            window = " ".join(" ".join(split[i][k : k + 3]).split())
+            if first.setdefault(window, (i, k)) != (i, k):
+                gone[i] |= {k, k + 1, k + 2}
+    for i, t in deduped(spark, rows, sentences=3, span_words=1000, cap=1000):
+        assert t.split() == " ".join(x for k, x in enumerate(split[i]) if k not in gone[i]).split(), i
+    assert sum(map(len, gone.values())) > 20
+
+
 def test_decontamination(spark, small):
     docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
     texts, tests = docs.collect(), items.collect()
