@@ -4,10 +4,11 @@ A text is cut into sentences: at a newline and at a word that ends in . ! or ?.
 is also cut before each word whose hash is the least of WINDOW neighbours in the stretch, so the same words are cut alike at any
 offset. The runs that are hashed, over their words alone, are
 
-* every window of SENTENCES consecutive sentences, however short, that no cut inside a stretch bounds; and
+* every window of SENTENCES consecutive sentences that no cut inside a stretch bounds, if it has WINDOW_WORDS words (a line of
+  three tiny sentences that many documents share is left alone); and
 * from each sentence, and up to each sentence, the shortest run of two sentences or more with at least SPAN_WORDS words.
 
-So any repeated sequence of SENTENCES whole sentences, or of two and SPAN_WORDS words, is covered by runs inside it, whatever
+So any repeated sequence of whole sentences that has as many sentences and words as one of the two asks for is covered by runs inside it, whatever
 stands around it. A sentence that is only in part of the passage stays; in a long stretch that is up to 2 * WINDOW - 2 words at
 either end.
 
@@ -42,7 +43,7 @@ from pyspark.sql import types as T
 from .common import cut
 from .textarrays import Words, span_hashes, texts
 
-SENTENCES, SPAN_WORDS, CAP, WINDOW = 3, 25, 25, 6
+SENTENCES, WINDOW_WORDS, SPAN_WORDS, CAP, WINDOW = 3, 15, 25, 25, 6
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 
@@ -62,7 +63,7 @@ def _cuts(hashes: np.ndarray, begins: np.ndarray, cap: int, window: int = WINDOW
 class Sentences:
     """Sentences of a piece of texts and the runs over them, as numbers of words and of sentences."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, sentences: int, span_words: int, cap: int):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, sentences: int, window_words: int, span_words: int, cap: int):
         self.words = w = Words(raw, offsets)
         n = len(w.starts)
         lines = np.append(0, np.cumsum(raw == 10))
@@ -80,13 +81,13 @@ class Sentences:
         self.row = w.row[self.starts]
         self.opens_line = new_line[self.starts]
         k = np.arange(len(self.starts))
-        first, last = self._pairs(k, natural, sentences, span_words)
+        first, last = self._pairs(k, natural, sentences, window_words, span_words)
         same = self.row[first] == self.row[last]
         self.first, self.last = first[same], last[same]
         self.hashes = span_hashes(hashes, self.starts[self.first], self.ends[self.last]).view(np.int64) if n else np.zeros(0, np.int64)
         self.run_row = self.row[self.first]
 
-    def _pairs(self, k: np.ndarray, natural: np.ndarray, sentences: int, span_words: int) -> tuple[np.ndarray, np.ndarray]:
+    def _pairs(self, k: np.ndarray, natural: np.ndarray, sentences: int, window_words: int, span_words: int) -> tuple[np.ndarray, np.ndarray]:
         """(first, last) sentence of each run, some of which may leave their texts; k numbers the sentences."""
         n = len(k)
         ahead = np.maximum(np.searchsorted(self.ends, self.starts + span_words), k + 1)
@@ -94,7 +95,7 @@ class Sentences:
         cuts = np.append(0, np.cumsum(~natural[self.starts]))  # cuts inside stretches before each sentence
         window = k[: max(n - sentences + 1, 0)]
         after = np.minimum(window + sentences + 1, n)  # the sentence behind a window bounds it, too
-        window = window[cuts[after] == cuts[window]]
+        window = window[(cuts[after] == cuts[window]) & (self.ends[window + sentences - 1] - self.starts[window] >= window_words)]
         first, last = np.concatenate([k, back, window]), np.concatenate([ahead, k, window + sentences - 1])
         fits = (first >= 0) & (last < n)
         pairs = np.unique(first[fits] * np.int64(n) + last[fits])
@@ -198,9 +199,9 @@ def _document(docs: DataFrame) -> Column:
     return F.coalesce(doc_id.cast("string"), F.concat(F.lit("\U0010ffff"), F.hex(late)))
 
 
-def span_dedup(docs: DataFrame, sentences: int = SENTENCES, span_words: int = SPAN_WORDS, cap: int = CAP) -> DataFrame:
+def span_dedup(docs: DataFrame, sentences: int = SENTENCES, window_words: int = WINDOW_WORDS, span_words: int = SPAN_WORDS, cap: int = CAP) -> DataFrame:
     """docs without the sentences under any but the first occurrence of a repeated run."""
-    limits = (sentences, span_words, cap)
+    limits = (sentences, window_words, span_words, cap)
     rows = docs.drop("_doc", "_removed", "_kept").withColumn("_doc", _document(docs))
     runs = rows.select("_doc", F.explode(_hasher(*limits)(F.col("text"))).alias("h"))
     repeated = runs.groupBy("h").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).filter("first != last").drop("last")

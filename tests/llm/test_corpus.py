@@ -87,7 +87,7 @@ def test_span_dedup(spark):
 
 def test_span_dedup_leaves_other_bytes_alone(spark):
     """What goes is lines as a whole, or sentences with the white space between them and what stays."""
-    lines = "One two three.\nFour five six.\nSeven eight nine."
+    lines = "One two three 3 3.\nFour five six 6 6.\nSeven eight nine 9 9."
     rows = [(1, lines), (2, f"Intro.\n\n    indented.\n\n{lines}\n...\n\nTail  end. "), (3, f"  Head.   {lines.replace(chr(10), ' ')}   Tail.\n x"), (4, f" \n  {lines}\n\n y"), (5, f"A.\tB c. {lines.replace(chr(10), ' ')}\t\n\n  D.")]
     got = dict(deduped(spark, rows))
     assert got[1] == lines
@@ -120,7 +120,7 @@ def test_span_dedup_against_brute_force(spark):
             window = " ".join(" ".join(split[i][k : k + 3]).split())
             if first.setdefault(window, (i, k)) != (i, k):
                 gone[i] |= {k, k + 1, k + 2}
-    for i, t in deduped(spark, rows, sentences=3, span_words=1000, cap=1000):
+    for i, t in deduped(spark, rows, sentences=3, window_words=0, span_words=1000, cap=1000):
         assert t.split() == " ".join(x for k, x in enumerate(split[i]) if k not in gone[i]).split(), i
     assert sum(map(len, gone.values())) > 20
 
