@@ -4,16 +4,25 @@ op1: while a group has fewer documents than a sketch has room for, its quantiles
 misses a pair at the threshold with a chance of 1 in 2,000; there and here all found pairs are verified in full.
 """
 
-from .quality_rules import LEAST_SPREAD, MIN_GROUP, REACH, SYMBOLS
+from .quality_rules import FLOORS, LEAST_SPREAD, MARKS, MIN_GROUP, REACH, SYMBOLS, TAIL, TOP
 
-_RATIO = {"symbols": "n_symbols / n_words", "exclaims": "n_exclaims / n_words", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / n_words", "word_length": "word_chars / n_words"}
+_RATIO = {"symbols": "n_symbols / n_words", "marks": "n_marks / n_words", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / n_words", "word_length": "word_chars / n_words"}
 
 
-def _level(name: str, *keys: str) -> str:
-    fence = ", ".join(f"quantile_disc({r}, 0.5) + greatest({REACH} * (quantile_disc({r}, 0.5) - quantile_disc({r}, 0.25)), {least}) AS max_{r}" for r, least in LEAST_SPREAD.items())
-    group = f"GROUP BY {', '.join(keys)}" if keys else ""
-    return f"{name} AS (SELECT {''.join(k + ', ' for k in keys)}{fence} FROM seen {group} HAVING count(*) >= {MIN_GROUP if keys else 1})"
+def _levels(tag: str, rows: str, fence) -> str:
+    """Fences of (lang, source), lang and all from rows; each group takes the first level with enough rows."""
+    def level(name: str, *keys: str) -> str:
+        group = f"GROUP BY {', '.join(keys)}" if keys else ""
+        return f"{tag}{name} AS (SELECT {''.join(k + ', ' for k in keys)}{', '.join(f'{fence(r)} AS {r}' for r in _RATIO)} FROM {rows} {group} HAVING count(*) >= {MIN_GROUP if keys else 1})"
 
+    chosen = ", ".join(f"coalesce(o.{r}, l.{r}, a.{r}) AS {r}" for r in _RATIO)
+    joined = f"grp LEFT JOIN {tag}o o ON grp.lang IS NOT DISTINCT FROM o.lang AND grp.source IS NOT DISTINCT FROM o.source LEFT JOIN {tag}l l ON grp.lang IS NOT DISTINCT FROM l.lang LEFT JOIN {tag}a a ON true"
+    return f"{level('a')}, {level('l', 'lang')}, {level('o', 'lang', 'source')}, {tag} AS (SELECT grp.lang, grp.source, {chosen} FROM {joined})"
+
+
+_FIRST = _levels("f1", "seen", lambda r: f"quantile_disc({r}, 0.75) + greatest({REACH} * (quantile_disc({r}, 0.75) - quantile_disc({r}, 0.5)), {LEAST_SPREAD[r]})")
+_SECOND = _levels("f2", "usual", lambda r: f"quantile_disc({r}, {TOP}) + greatest({TAIL} * (quantile_disc({r}, {TOP}) - quantile_disc({r}, 0.5)), {FLOORS[r]})")
+_SAME = "x.lang IS NOT DISTINCT FROM {0}.lang AND x.source IS NOT DISTINCT FROM {0}.source"
 
 OP1 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
  w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -22,12 +31,15 @@ OP1 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source,
  c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, tri) AS n FROM g WHERE tri IS NOT NULL),
  v AS (SELECT rid, count(DISTINCT j) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM c WHERE n >= 2) GROUP BY rid),
  st AS (SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
-  CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_exclaims, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN v USING (rid)),
- seen AS (SELECT *, {', '.join(f'({x})::DOUBLE AS {r}' for r, x in _RATIO.items())} FROM st WHERE n_words > 0),
- {_level('a')}, {_level('l', 'lang')}, {_level('o', 'lang', 'source')},
- j AS (SELECT st.*, {', '.join(f'coalesce(o.max_{r}, l.max_{r}, a.max_{r}) AS max_{r}' for r in LEAST_SPREAD)} FROM st LEFT JOIN o ON st.lang IS NOT DISTINCT FROM o.lang AND st.source IS NOT DISTINCT FROM o.source LEFT JOIN l ON st.lang IS NOT DISTINCT FROM l.lang LEFT JOIN a ON true)
+  CAST(length(t) - length(regexp_replace(t, '{MARKS}', '', 'g')) AS BIGINT) AS n_marks, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN v USING (rid)),
+ grp AS (SELECT DISTINCT lang, source FROM st),
+ seen AS (SELECT lang, source, {', '.join(f'({x})::DOUBLE AS {r}' for r, x in _RATIO.items())} FROM st WHERE n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words),
+ {_FIRST},
+ usual AS (SELECT x.* FROM seen x JOIN f1 ON {_SAME.format('f1')} WHERE {' AND '.join(f'x.{r} <= f1.{r}' for r in _RATIO)}),
+ {_SECOND}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
- CASE WHEN n_words < 50 OR 100 * n_repeat_words > 50 * n_words THEN false ELSE {' AND '.join(f'({x}) <= max_{r}' for r, x in _RATIO.items())} END AS kept FROM j"""
+ CASE WHEN n_words < 50 OR 100 * n_repeat_words > 50 * n_words THEN false ELSE {' AND '.join(f'({x}) <= coalesce(f2.{r}, f1.{r})' for r, x in _RATIO.items())} END AS kept
+FROM st x JOIN f1 ON {_SAME.format('f1')} JOIN f2 ON {_SAME.format('f2')}"""
 
 OP7 = r"""WITH RECURSIVE d AS (SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
  u AS (SELECT text, any_value(ws) AS ws, min(doc_id) AS rep, count(*) AS n_copies FROM d WHERE len(ws) > 0 GROUP BY text),

@@ -106,18 +106,39 @@ def test_quality_rules_keep_clean_and_reject_junk(spark, small):
 
 
 def test_fences_follow_each_group(spark):
-    """A source whose normal documents often exclaim keeps them; in one without symbols the one with some stands out."""
-    def row(k, source, exclaims=0, symbols=0):
-        return (k, "en", source, 100, 500, symbols, 0, 0, exclaims, 10)
+    """What one source keeps another one rejects; in one without symbols the one document with some stands out."""
+    def row(k, source, marks, symbols=0):
+        return (k, "en", source, 100, 500, symbols, 0, 0, marks, 10)
 
-    loud = [row(k, "loud", exclaims=25 + k % 15 if k % 5 < 2 else 0) for k in range(200)]
-    plain = [row(1000 + k, "plain", symbols=8 if k == 0 else 0) for k in range(200)]
+    loud = [row(k, "loud", 30 + k % 15) for k in range(200)]
+    plain = [row(1000 + k, "plain", 44 if k == 1 else 8 + k % 4, 8 if k == 0 else 0) for k in range(200)]
     stats = spark.createDataFrame(loud + plain, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality_rules.COUNTS))
     limits = quality_rules.thresholds(stats)
     kept = {r["doc_id"] for r in quality_rules.apply_rules(stats, limits).filter("kept").collect()}
-    assert kept == {*range(200), *range(1001, 1200)}
+    assert kept == {*range(200), *range(1002, 1200)}
     floors = {r["source"]: r["at_floor"] for r in limits.collect()}
-    assert "exclaims" in floors["plain"] and "exclaims" not in floors["loud"]
+    assert "symbols" in floors["plain"] and "marks" not in floors["loud"]
+    fences = {r["source"]: r["max_marks"] for r in limits.collect()}
+    assert fences["loud"] > 0.44 > fences["plain"]
+
+
+def test_fences_of_the_data_come_from_sketches(spark):
+    """On real ratios four of five fences differ from group to group and aren't set by the floor."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stats = quality_rules.text_stats(docs)
+    assert stats.filter("n_words >= 50").groupBy("lang", "source").count().filter(f"count >= {quality_rules.MIN_GROUP}").count() > 5
+    limits = quality_rules.thresholds(stats).collect()
+    for r in ("marks", "word_length", "repeats"):
+        assert len({x[f"max_{r}"] for x in limits}) > 5, r
+    assert sum("marks" in x["at_floor"] or "word_length" in x["at_floor"] for x in limits) < len(limits) / 10
+
+
+def test_quality_rules_with_clashing_columns(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text, "en", "a", 1.0, 2, 3, 4, 5, 6), (2, None, None, "a", 1.0, 2, 3, 4, 5, 6)], "doc_id long, text string, lang string, source string, max_symbols double, _w int, _lang int, kept int, n_words int, _counts int")
+    rows = {r["doc_id"]: r for r in quality_rules.quality_rules(docs).collect()}
+    assert rows[1]["kept"] is True and rows[1]["n_words"] == 60 and rows[1]["max_symbols"] == 1.0 and rows[1]["_w"] == 2 and rows[2]["base_failed"]
+    assert quality_rules.quality_rules(docs.select("doc_id", "text")).count() == 2
 
 
 def test_language(spark, small):
