@@ -47,7 +47,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._scratch = path
+    return made
+
+
+def remove(df: DataFrame) -> None:
+    """Deletes the table of a `cut` that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_small(left: DataFrame, right: DataFrame, on, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -52,6 +52,42 @@ def test_join_against_brute_force(spark, monkeypatch, block):
 def test_one_per_class_keeps_one(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words here")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in ngram_join.one_per_class(docs).collect()) == [1, 3]
+    base = near_copies(1)[0]
+    near = [base, base + " more", base + " still", base + " yet"]
+    odd = [(None, near[0]), (None, near[1]), (None, near[1]), (1, "p q r s t u v"), (1, near[2][5:]), (1, near[3][5:]), (None, None), (None, " "), (7, "")]
+    kept = ngram_join.one_per_class(spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "1 _key", "2 class_id", "3 n")).collect()
+    assert sorted((r["doc_id"] or -1, (r["text"] or "")[:3]) for r in kept if r["text"] and r["text"].strip()) == sorted([(1, "p q"), (1, near[2][5:8])])
+    assert len([r for r in kept if not (r["text"] or "").strip()]) == 3 and kept[0]["class_id"] == 2
+
+
+def test_recall_on_planted_pairs(spark):
+    """Of pairs from 0.8 up, in which words are replaced at random, at least 99 in 100 are linked."""
+    r = random.Random(3)
+    rows, want = [], 0
+    for k in range(300):
+        base = [f"w{r.randint(0, 10**7)}" for _ in range(150)]
+        other = list(base)
+        for _ in range(r.randint(1, 3)):
+            other[r.randrange(150)] = f"x{r.randint(0, 10**7)}"
+        a, b = grams(" ".join(base)), grams(" ".join(other))
+        if 5 * len(a & b) >= 4 * len(a | b):
+            want += 1
+            rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = sum(x["n_links"] == 1 and x["class_id"] == x["doc_id"] // 2 * 2 for x in got) / 2
+    assert want > 250 and linked >= 0.99 * want
+
+
+def test_unlike_texts_of_a_chain_are_not_compared(spark, monkeypatch):
+    """Texts that only others tie together share no bucket, so no group holds them both."""
+    words = [f"c{k}" for k in range(400)]
+    chain = [" ".join(words[k : k + 100]) for k in range(0, 300, 5)]
+    docs = spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")
+    uniq = docs.select("doc_id", ngram_join.digest(ngram_join.F.col("text")).alias("key"), ngram_join._signer(5, *ngram_join.plan_bands(0.8))(ngram_join.F.col("text")).alias("bands")).selectExpr("key", "doc_id rep", "bands")
+    shared = {r["rep"]: {b["band"] for b in r["buckets"]} for r in ngram_join._placed(uniq).collect()}
+    assert not any(shared[a] & shared[b] for a in shared for b in shared if abs(a - b) > 30)
+    rows = ngram_join.ngram_join(docs).collect()
+    assert {r["class_id"] for r in rows} == {0} and max(r["n_links"] for r in rows) <= 6
 
 
 def test_bands_reach_the_recall():
@@ -63,6 +99,8 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["root"] for r in components.connected(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
+    star = spark.createDataFrame([(0, k) for k in range(1, 500)] + [(k, k + 500) for k in range(1, 500)], "a long, b long")
+    assert {r["root"] for r in components.connected(star, "a", "b").collect()} == {0}
 
 
 PASSAGE = " ".join(f"p{i}" + ("." if i % 17 == 16 else "") for i in range(60))
