@@ -2,20 +2,22 @@
 
 `write_warc` gives each page a gzip member of its own with one WARC record. Of pages with equal payloads (by SHA-1) the one with
 the largest page_id becomes a response and the others revisit records, which have the digest and length of the payload and refer
-to the response. The largest id of a digest is found with partial sums, so a payload that a third of all pages share is no one
-task's work. Each task writes files of its own name, so a task that is run again leaves at most a file that no list names: the
+to the response. The largest id of a digest is found with partial sums and written before pages are joined with it, so adaptive
+execution may split the pages of one payload among tasks, however many share it. Each task writes files of its own name, so a task that is run again leaves at most a file that no list names: the
 result of `write_warc` is the list of files whose tasks ended well.
 
 `read_warc` cuts files into byte ranges, a task each. A task seeks to its range, looks for the magic bytes of gzip, and takes a
 place for a member if what it decodes to begins with a WARC version line and ends in a whole record; it owns the records that
 start inside its range, and reads past its end to finish the last. Compressed data that happens to hold the magic bytes doesn't
-decode to that. Payloads are digested as they are decoded and are checked against the record's own digest.
+decode to that. Payloads are digested as they are decoded and are checked against the record's own digest. What isn't a whole
+record gives a row of record_type `damaged`, with the place and nulls: a member that begins like a record but doesn't end as one,
+and bytes after a record, or at a file's start, that no member begins with. Each is the row of one task only.
 
 Files are opened through Arrow's file systems by the URI of the shared folder, on whatever store that is.
 
 Defined results: a null or empty html is an empty payload; empty payloads are equal like others. Rows that repeat page_id and
-payload are each a response; a null page_id never wins over another, and if all pages of a payload lack one, all are responses. No
-pages give no files. Other columns of pages aren't stored, but for url.
+payload are each a response; a null page_id never wins over another, and if all pages of a payload lack one, all are responses. A
+page_id must be an integer. No pages give no files. Other columns of pages aren't stored, but for url.
 """
 
 from __future__ import annotations
@@ -99,7 +101,7 @@ def write_warc(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> D
     sha1 = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", sha1.alias("sha1"))
     winners = rows.groupBy(F.col("sha1").alias("_sha1")).agg(F.max("page_id").alias("response"), F.count("*").alias("n"))
-    many = winners.filter("n > 1").drop("n")
+    many = cut(winners.filter("n > 1").drop("n"), "warc-repeated")
     joined = rows.join(many.hint("shuffle_hash"), F.col("sha1") == F.col("_sha1"), "left")
     revisit = F.col("response").isNotNull() & ~F.col("response").eqNullSafe(F.col("page_id"))
     dealt = joined.select("page_id", "url", "html", "sha1", "response", revisit.alias("revisit"))
@@ -110,7 +112,7 @@ class _Ahead:
     """Reads a file forward from a place, holding what hasn't been let go of."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.held, self.ended = file, at, b"", False
+        self.file, self.at, self.held, self.ended = file, at, bytearray(), False
         file.seek(at)
 
     def more(self) -> bool:
@@ -120,24 +122,33 @@ class _Ahead:
         return bool(data)
 
     def drop(self, n: int) -> None:
-        self.held, self.at = self.held[n:], self.at + n
+        del self.held[:n]
+        self.at += n
 
+    def reach(self, n: int) -> int:
+        """Reads on until n bytes are held or the file ends; how many of them there are."""
+        while len(self.held) < n and self.more():
+            pass
+        return min(len(self.held), n)
 
-def _member(source: _Ahead, start: int) -> tuple[bytes, int] | None:
-    """The decoded member at held[start:] and its compressed length; None if it isn't a member with a WARC record."""
-    unpacker, out, at, size = zlib.decompressobj(31), [], start, 0
+
+def _member(source: _Ahead, start: int, only_begin: bool = False) -> tuple[bytes | None, int]:
+    """The decoded member at held[start:] and its compressed length; if it isn't whole, None and 1 if it begins as a record, else 0."""
+    unpacker, out, at, begun = zlib.decompressobj(31), [], start, b""
     while not unpacker.eof:
         if at >= len(source.held) and not source.more():
-            return None
+            return None, int(begun == b"WARC/")
         try:
-            piece = unpacker.decompress(source.held[at : at + READ])
+            piece = unpacker.decompress(bytes(source.held[at : at + READ]))
         except zlib.error:
-            return None
+            return None, int(begun == b"WARC/")
         at = min(at + READ, len(source.held))
         out.append(piece)
-        size += len(piece)
-        if size >= 5 and not b"".join(out[:8])[:5] == b"WARC/":
-            return None
+        begun = (begun + piece[:5])[:5]
+        if begun != b"WARC/"[: len(begun)]:
+            return None, 0
+        if only_begin and len(begun) == 5:
+            return None, 1
     return b"".join(out), at - len(unpacker.unused_data) - start
 
 
@@ -154,24 +165,34 @@ def parse(data: bytes) -> dict | None:
     return fields | {"payload": rest[:length].partition(b"\r\n\r\n")[2]}
 
 
-def scan(file, start: int, end: int) -> Iterator[tuple[int, dict]]:
-    """(place, fields) of the records whose members start in [start, end)."""
+def scan(file, start: int, end: int) -> Iterator[tuple[int, dict | None]]:
+    """(place, fields) of the records whose members start in [start, end), and (place, None) of what is damaged there."""
     source = _Ahead(file, start)
+    due = 0 if start == 0 else None  # where a record must begin; None while that isn't known
     while source.at < end:
-        while (k := source.held.find(MAGIC)) < 0:
-            source.drop(max(len(source.held) - len(MAGIC) + 1, 0))
-            if source.at >= end or not source.more():
-                return
+        while (k := source.held.find(MAGIC)) < 0 and source.at + len(source.held) < end + len(MAGIC) and source.more():
+            pass
+        if k < 0 or source.at + k >= end:
+            break
         source.drop(k)
-        if source.at >= end:
-            return
-        found = _member(source, 0)
-        fields = parse(found[0]) if found else None
-        if fields is None:
-            source.drop(1)  # the magic bytes stood inside something else
-        else:
+        data, length = _member(source, 0)
+        fields = parse(data) if data is not None else None
+        if fields is not None:
+            if due is not None and due != source.at:
+                yield due, None
             yield source.at, fields
-            source.drop(found[1])
+            due = source.at + length
+            source.drop(length)
+        elif data is not None or length:
+            yield source.at, None  # begins as a record, but isn't one
+            due = None
+            source.drop(1)
+        else:
+            source.drop(1)  # the magic bytes stood inside something else
+    if due is not None and (left := source.reach(due - source.at + 1) - (due - source.at)) > 0:
+        # the next record belongs to whoever reads on from here; other bytes are damage
+        if due < end or not _member(source, due - source.at, only_begin=True)[1]:
+            yield due, None
 
 
 def _reader(folder: str, with_payload: bool):
@@ -189,6 +210,9 @@ def _reader(folder: str, with_payload: bool):
             for split in batch.to_pylist():
                 with store.open_input_file(split["path"]) as file:
                     for at, f in scan(io.BufferedReader(file, READ), split["start"], split["end"]):
+                        if f is None:
+                            rows.append((None, None, "damaged", None, None, None, False, split["path"], at, None))
+                            continue
                         revisit = f.get("warc-type") == "revisit"
                         stated = f.get("warc-payload-digest", "").removeprefix("sha1:")
                         digest = stated if revisit else digest_text(hashlib.sha1(f["payload"]).digest())

@@ -208,6 +208,42 @@ def test_warc(spark, split):
         assert r["valid"] and r["payload_bytes"] == len(html.encode()) and r["payload_digest"] == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
 
 
+@pytest.mark.parametrize("split", [50, 400, 1 << 20])
+def test_warc_damage_is_reported(tmp_path, split):
+    """Each damaged place is one row, whatever the byte ranges, and all whole records are read."""
+    import io
+
+    members = [warc.record(k, "u", f"payload {k} ".encode() * 30, "x", None, False) for k in range(6)]
+    torn = members[2][: len(members[2]) // 2]
+    flipped = bytearray(members[4])
+    flipped[-6] ^= 255  # the checksum
+    data = members[0] + members[1] + torn + members[3] + bytes(flipped) + b"junk" + members[5] + b"tail"
+
+    def places(data):
+        found = [x for a in range(0, len(data), split) for x in warc.scan(io.BytesIO(data), a, min(a + split, len(data)))]
+        return sorted(at for at, f in found if f is None), [f["warc-record-id"] for _, f in found if f]
+
+    at = [len(members[0] + members[1]), len(members[0] + members[1] + torn + members[3]), len(data) - 4]
+    assert places(data) == (at, [f"<urn:page:{k}>" for k in (0, 1, 3, 5)])
+    assert places(b"no archive") == ([0], []) and places(b"") == ([], []) and places(b"".join(members))[0] == []
+    assert places(b"xx" + members[0] + b"yy" + members[1])[0] == [0, len(members[0]) + 2]
+
+
+def test_pages_of_one_payload_are_split(spark):
+    """A payload that a third of all pages share is written by many tasks."""
+    hot = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in hot}
+    try:
+        for k, v in hot.items():
+            spark.conf.set(k, v)
+        pages = spark.range(0, 12000, 1, 12).selectExpr("id page_id", "concat('u', id) url", "case when id % 3 = 0 then '' else concat('page ', id, repeat(' x', 20)) end html")
+        files = warc.write_warc(pages, shared_path(spark, "hot")).collect()
+        assert sum(f["n_records"] for f in files) == 12000 and max(f["n_records"] for f in files) < 2500
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
