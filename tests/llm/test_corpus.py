@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -163,16 +165,56 @@ def test_span_dedup_against_brute_force(spark):
     assert sum(map(len, gone.values())) > 20
 
 
-def test_decontamination(spark, small):
-    docs, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
-    texts, tests = docs.collect(), items.collect()
-    want = {(d["doc_id"], i["item_id"]) for d in texts for i in tests if i["text"] in d["text"]}
-    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, items).collect()}
-    assert want <= got and len(got - want) <= 1
-    item = tests[0]["text"]
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 500 + item + " y" * 500), (4, item.upper() if item.isascii() else item), (5, " ".join(reversed(item.split())))], "doc_id long, text string")
-    assert {r["doc_id"] for r in decontamination.without_leaks(odd, items).collect()} == {1, 2, 5}
-    assert decontamination.find_leaks(docs, items.limit(0)).count() == 0
+def plain_leaks(texts, items):
+    """All (position, item_id) by windows, BM25 and overlaps in plain Python, with the module's parameters."""
+    D = decontamination
+    words = {k: D.words_of(t) for k, (_, t) in enumerate(items) if t and D.words_of(t)}
+    df = Counter(w for x in words.values() for w in set(x))
+    mean = sum(map(len, words.values())) / len(words)
+    length = {k: math.ceil(math.log(len(x), D.GROWTH)) for k, x in words.items()}
+    longest = {g: max(len(x) for k, x in words.items() if length[k] == g) for g in length.values()}
+
+    def weight(k, w):
+        tf = words[k].count(w)
+        return math.log1p((len(words) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (D.K1 + 1) / (tf + D.K1 * (1 - D.B + D.B * len(words[k]) / mean))
+
+    weights = {k: {w: weight(k, w) for w in set(x)} for k, x in words.items()}
+    found = set()
+    for i, t in enumerate(texts):
+        have = D.words_of(t or "")
+        for k, x in words.items():
+            s = longest[length[k]]
+            for a in range(0, max(math.ceil(len(have) / s) - 1, 1) * s, s):
+                window = have[a : a + 2 * s]
+                if sum(v for w, v in weights[k].items() if w in set(window)) < D.SHARE * sum(weights[k].values()) * (1 - 1e-9):
+                    continue
+                question, answer = D.question_and_answer(items[k][1])
+                n = min(D.N, len(question))
+                runs = lambda y: {tuple(y[j : j + n]) for j in range(len(y) - n + 1)}  # noqa: B023, E731
+                own = runs(question)
+                if len(own & runs(window)) >= D.OVERLAP * len(own) and sum(w in window for w in answer) >= D.OVERLAP * len(answer):
+                    found.add((i, items[k][0]))
+    return found
+
+
+def test_decontamination_against_brute_force(spark, small):
+    docs, items = (spark.read.parquet(f"{small}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    tests = [(r["item_id"], r["text"]) for r in items]
+    long = " ".join(f"long{k}" for k in range(300))
+    tests += [(None, "a nameless item of some words."), (tests[0][0], "the same id with other words in it."), (10**6, long), (10**6 + 1, None), (10**6 + 2, " . "), (10**6 + 3, "Äpfel ÜBER Öl, sagt man. Ja.")]
+    texts = [r["text"] for r in docs] + [None, "", "x " * 500 + tests[0][1] + " y" * 500, tests[1][1].upper(), " ".join(reversed(tests[1][1].split())), "So: A nameless, item of some words", "The same id with other words in it! " + tests[0][1], f"{long} {tests[2][1]}", "äpfel über öl sagt man ja"]
+    want = plain_leaks(texts, tests)
+    assert len(want) >= 9
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(tests, "item_id long, text string")
+    for pass_bytes in (decontamination.PASS_BYTES, 1500):
+        got = [(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(frame, bench, pass_bytes).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+        kept = {r["doc_id"] for r in decontamination.without_leaks(frame, bench, pass_bytes).collect()}
+        assert kept == set(range(len(texts))) - {i for i, _ in want}
+    assert decontamination.find_leaks(frame, bench.limit(0)).count() == 0 and decontamination.find_leaks(frame.limit(0), bench).count() == 0
+    named = decontamination.find_leaks(frame, bench.selectExpr("concat('i', item_id) item_id", "text")).collect()
+    assert {r["item_id"] for r in named} == {None if k is None else f"i{k}" for _, k in want}
 
 
 def test_bound_loses_nothing(spark, small):
