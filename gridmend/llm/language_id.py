@@ -1,8 +1,8 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF of hashed character n-grams.
 
 Document frequencies come from all learnable documents, as sums per bucket. Weights are trained by follow-the-regularised-leader
-(FTRL-proximal) with L1 and L2 penalties on a bounded sample: at most about SAMPLE_PER_LANGUAGE documents of each language, chosen
-by a hash of doc_id; the features of the sample, and nothing else, reach the driver. A fifth of the sample is kept from training
+(FTRL-proximal) with L1 and L2 penalties on a bounded sample: at most about SAMPLE_PER_LANGUAGE documents of each language and
+SAMPLE of all, chosen by a hash of doc_id; the features of the sample, and nothing else, reach the driver. A fifth of the sample is kept from training
 and sets the temperature by which scores are divided, so that a score is the probability of being right. Every document is then
 scored in one pass, whole, with no shuffle.
 
@@ -26,7 +26,7 @@ from . import pretokens
 from .common import crc_mod, join_small
 
 BUCKETS = 1 << 14
-SAMPLE_PER_LANGUAGE, EPOCHS = 1000, 2
+SAMPLE_PER_LANGUAGE, SAMPLE, EPOCHS = 1000, 20_000, 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
 UNKNOWN = "und"
 _ROWS, _CHARS = 64, 1 << 19
@@ -49,8 +49,8 @@ def _pieces(column: pa.Array) -> Iterator[list[str]]:
         yield held
 
 
-def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(counts of each bucket by text, whether a text has a letter)."""
+def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, count) of each bucket that a text has, in order, and whether a text has a letter."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     row = np.repeat(np.arange(len(texts)), lengths)
@@ -72,14 +72,15 @@ def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             usable = (usable[:size] if n > 2 else np.ones(size, bool)) & here & (letter[n - 2 : -1] | letter[n - 1 :])
         bucket = (((mixed + _U(n)) * _U(0xD6E8FEB86659FD93)) >> _U(50)).astype(np.int64)
         counts += np.bincount((base[:size] + bucket)[usable], minlength=len(counts))
-    return counts.reshape(len(texts), BUCKETS), np.bincount(row[letter], minlength=len(texts)) > 0
+    at = np.flatnonzero(counts)
+    return at // BUCKETS, at % BUCKETS, counts[at], np.bincount(row[letter], minlength=len(texts)) > 0
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for piece in _pieces(batch.column(0)):
-            total += (ngram_counts(piece)[0] > 0).sum(axis=0)
+            total += np.bincount(ngram_counts(piece)[1], minlength=BUCKETS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "df"])
 
@@ -88,10 +89,9 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         done = 0
         for piece in _pieces(batch.column("text")):
-            packed = []
-            for x in ngram_counts(piece)[0]:
-                at = np.flatnonzero(x)
-                packed.append((at.astype("<u2").tobytes(), x[at].astype("<f4").tobytes()))
+            row, at, counts, _ = ngram_counts(piece)
+            ends = np.searchsorted(row, np.arange(len(piece) + 1))
+            packed = [(at[a:b].astype("<u2").tobytes(), counts[a:b].astype("<f4").tobytes()) for a, b in zip(ends, ends[1:])]
             part = batch.slice(done, len(piece))
             done += len(piece)
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("order"), *[pa.array(c, pa.binary()) for c in zip(*packed)]], names=["lang", "order", "at", "n"])
@@ -105,15 +105,17 @@ class Model:
     temperature: float
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        counts, has_letter = ngram_counts(texts)
+        row, at, counts, has_letter = ngram_counts(texts)
+        n = len(texts)
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        x = np.log1p(counts.astype(np.float32)) * self.idf
-        norm = np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
-        p = softmax((x @ self.weights.T) / norm / self.temperature)
+            return [UNKNOWN] * n, np.zeros(n)
+        x = np.log1p(counts.astype(np.float32)) * self.idf[at]
+        norm = np.maximum(np.sqrt(np.bincount(row, x * x, n)), 1e-12)
+        logits = np.column_stack([np.bincount(row, x * w[at], n) for w in self.weights])
+        p = softmax(logits / norm[:, None] / self.temperature)
         best = p.argmax(axis=1)
         names = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, has_letter)]
-        return names, np.where(has_letter, p[np.arange(len(best)), best], 0.0)
+        return names, np.where(has_letter, p[np.arange(n), best], 0.0)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -174,6 +176,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     for r in counted.collect():  # a row per bucket
         df[r["bucket"]] = r["df"]
     idf = (np.log((1 + sum(n for _, n in languages)) / (1 + df)) + 1).astype(np.float32)
+    per_language = min(per_language, max(SAMPLE // len(languages), 1))
     rates = sizes.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), per_language / F.col("size")).alias("_rate"))
     order = F.xxhash64("doc_id", F.lit(11))
     chosen = join_small(own, rates, F.col("lang") == F.col("_lang"), "inner").filter(F.pmod(order, F.lit(1 << 20)) < F.col("_rate") * (1 << 20))

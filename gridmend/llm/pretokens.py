@@ -48,7 +48,7 @@ def kinds() -> np.ndarray:
     """LETTER, NUMBER, BLANK or OTHER for each code point."""
     out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
     by_category = {"L": LETTER, "N": NUMBER}
-    for c in range(sys.maxunicode + 1):
+    for c in range(0x40000):  # planes above have no letters and numbers
         out[c] = by_category.get(unicodedata.category(chr(c))[0], OTHER)
     out[WHITE] = BLANK
     return out

@@ -4,17 +4,19 @@
 `fit` takes per class the count, mean and covariance of all labelled rows, gathered as sums with partial aggregation, and
 shrinks each covariance towards the pooled one and both towards a multiple of the identity. `score` turns the difference
 of the classes' log densities, each from a Mahalanobis distance by a Cholesky factor that is worked out once, into a probability.
+Statistics depend on each other, so that difference says too much; it is multiplied by the one of FACTORS under which the labels
+that were learned from are likeliest, again from sums over all of them.
 
 Defined results: a null or empty text has statistics of 0 and gets a score like any other. A null doc_id is neither learned from
 nor held out. Labels other than 0 and 1, and null ones, aren't learned from; a label row that repeats counts again. If a class has no
 labelled rows, the other's share of the labels, (n + 1) / (n + 2), is everyone's score. Other columns pass through; ones with the
-names of new ones are replaced.
+names of new ones are replaced. With a column named statistics, that one is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,7 @@ from .textarrays import Words, shingles, span_hashes, texts
 STATISTICS = ["log_words", "word_length", "symbols", "upper", "digits", "punctuation", "repeated_trigrams", "distinct_words", "repeated_lines", "line_words", "line_ends"]
 SHRINK_POOLED, SHRINK_IDENTITY = 0.2, 0.05
 CUTOFF = 0.3
-#: The log density difference is divided by the number of statistics times this, as they depend on each other.
-SOFTEN = 0.5
+FACTORS = [2 ** (k / 2) for k in range(-12, 3)]
 _KIND = np.zeros(256, np.int64)  # 1 upper, 2 digit, 3 symbol, 4 other punctuation
 _KIND[ord("A") : ord("Z") + 1] = 1
 _KIND[ord("0") : ord("9") + 1] = 2
@@ -87,23 +88,39 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Discriminant:
-    """Per class (0, 1): its count of labels, mean, Cholesky factor of the covariance and log determinant of that factor."""
+    """Per class (0, 1): its count of labels, mean, Cholesky factor of the covariance and log determinant of that factor.
+
+    factor: what the difference of log densities is multiplied by.
+    """
 
     counts: np.ndarray
     means: np.ndarray
     factors: np.ndarray
     log_det: np.ndarray
+    factor: float = 1.0
+
+    def difference(self, x: np.ndarray) -> np.ndarray:
+        """The log density of class 1 less that of class 0."""
+        density = []
+        for mean, factor, log_det in zip(self.means, self.factors, self.log_det):
+            z = _forward(factor, (x - mean).T)
+            density.append(-0.5 * (z * z).sum(axis=0) - log_det)
+        return density[1] - density[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """The probability of class 1."""
         if not self.counts.all():
             return np.full(len(x), (self.counts[1] + 1) / (self.counts.sum() + 2))
-        density = []
-        for mean, factor, log_det in zip(self.means, self.factors, self.log_det):
-            z = np.linalg.solve(factor, (x - mean).T)
-            density.append(-0.5 * (z * z).sum(axis=0) - log_det)
-        difference = SOFTEN * (density[1] - density[0]) + np.log(self.counts[1] / self.counts[0])
-        return 1 / (1 + np.exp(-np.clip(difference, -500, 500)))
+        odds = self.factor * self.difference(x) + np.log(self.counts[1] / self.counts[0])
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+
+def _forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The z of factor @ z = b, for a lower triangular factor and all columns of b."""
+    z = np.empty_like(b)
+    for i in range(len(b)):
+        z[i] = (b[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
 
 
 def fit(labelled: DataFrame) -> Discriminant:
@@ -125,14 +142,39 @@ def fit(labelled: DataFrame) -> Discriminant:
     mixed = (1 - SHRINK_POOLED) * covariances + SHRINK_POOLED * pooled
     mixed = (1 - SHRINK_IDENTITY) * mixed + SHRINK_IDENTITY * np.diag(scale)
     factors = np.linalg.cholesky(mixed)
-    return Discriminant(counts, means, factors, np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(axis=1))
+    model = Discriminant(counts, means, factors, np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(axis=1))
+    return _softened(model, labelled) if counts.all() else model
+
+
+def _softened(model: Discriminant, labelled: DataFrame) -> Discriminant:
+    """model with the factor of the least log loss; one row of sums reaches the driver."""
+    prior = float(np.log(model.counts[1] / model.counts[0]))
+    known = labelled.filter(F.col("quality").isin(0, 1)).select(_differences(model)(F.col("statistics")).alias("d"), (1 - 2 * F.col("quality")).alias("sign"))
+
+    def loss(factor: float) -> Column:
+        wrong = F.col("sign") * (factor * F.col("d") + prior)  # log(1 + exp(wrong)), for large values too
+        return F.sum(F.greatest(wrong, F.lit(0.0)) + F.log1p(F.exp(-F.abs(wrong))))
+
+    losses = list(known.agg(*[loss(f).alias(f"f{k}") for k, f in enumerate(FACTORS)]).first())
+    return replace(model, factor=FACTORS[int(np.argmin(losses))])
+
+
+def _differences(model: Discriminant):
+    @F.arrow_udf(T.DoubleType())
+    def difference(column: pa.Array) -> pa.Array:
+        return pa.array(model.difference(_rows(column)))
+
+    return difference
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(STATISTICS))
 
 
 def _scorer(model: Discriminant):
     @F.arrow_udf(T.DoubleType())
     def score(column: pa.Array) -> pa.Array:
-        x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(STATISTICS))
-        return pa.array(model.score(x))
+        return pa.array(model.score(_rows(column)))
 
     return score
 
@@ -147,6 +189,6 @@ def classify_quality(docs: DataFrame, labels: DataFrame, keep: list[str] | None
     rows = document_statistics(docs)
     rows = cut(rows.select(*keep, "statistics") if keep else rows, "statistics")
     known = labels.filter(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", "quality")
-    model = fit(rows.select("doc_id", "statistics").join(known, "doc_id"))
+    model = fit(cut(rows.select("doc_id", "statistics").join(known, "doc_id").select("statistics", "quality"), "labelled"))
     out = rows.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("score", _scorer(model)(F.col("statistics")))
     return out.withColumn("predicted", (F.col("score") >= CUTOFF).cast("int")).drop("statistics")

@@ -9,13 +9,14 @@ A file stores where each document starts within its own range. The number of ids
 range, added when the files are read, so texts are encoded once and nothing but those rows is gathered.
 
 Defined results: a null or empty text has the end id alone. Documents are in ascending order of doc_id, a null doc_id first;
-rows with one doc_id are in the order of their texts, and equal rows follow each other. No documents give empty files.
-Other columns of the input aren't stored.
+rows with one doc_id are in the order of their texts' MD5, over all files, and equal rows follow each other. A doc_id must be an
+integer. No documents give empty files. Other columns of the input aren't stored.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -52,7 +53,7 @@ class Encoder(TableEncoder):
 
     def library(self, pieces: list[bytes]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in made]
+        return [array("I", e.ids).tobytes() for e in made]
 
     def encode_ended(self, raw: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the place at which each text ends, after a 0."""
@@ -90,10 +91,10 @@ def _writer(path: str, end_id: int):
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Writes the token files of docs below path."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest(F.coalesce("text", F.lit(""))).alias("_digest"))
-    dealt = keyed.repartitionByRange(*([partitions] if partitions else []), "doc_id", "_digest").sortWithinPartitions("doc_id", "text")
+    dealt = keyed.repartitionByRange(*([partitions] if partitions else []), "doc_id", "_digest").sortWithinPartitions("doc_id", "_digest")
     made = dealt.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(_writer(tokenizer, end_id), SCHEMA)
     options = {
-        "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.dictionary.page.size": DICTIONARY, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "compression": "zstd",
+        "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.dictionary.page.size": DICTIONARY, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "compression": "zstd", "parquet.compression.codec.zstd.level": "1",
     }
     made.write.options(**options).parquet(path)
 
@@ -118,6 +119,7 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
 
 
 def _with_start(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    # one row per file meets in one task, whatever the number of documents
     totals = _files(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row per file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
