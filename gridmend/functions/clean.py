@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from gridmend import schema as S
 
-FORMATTING = r"[$£€¥,\s]"
+# Unicode's white space, and the marks that amounts are written with.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+MARKS = "$£€¥,"
 
 
 def strip(c: Column) -> Column:
-    """Without white space, of any kind, at both ends; Spark's trim takes off spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space, of any kind, at both ends; Spark's trim takes off spaces only unless told more."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def is_null(c: Column, tokens: list[str] = S.NULL_TOKENS) -> Column:
@@ -30,23 +32,44 @@ def lookup(key: Column, entries: dict[str, str]) -> Column:
     return F.expr("map(" + ", ".join(quoted(x) for pair in entries.items() for x in pair) + ")")[key]
 
 
+def amount_steps(c: Column, tag: str) -> list[dict[str, Column]]:
+    """The reading of an amount in steps: columns by name, each of which reads those of the steps before it.
+
+    The last step has value_<tag>, status_<tag> and removed_<tag>. As plain columns the steps are worked out once a row each.
+    """
+    at = lambda name: F.col(f"_{name}_{tag}")
+    bracketed = at("text").startswith("(") & at("text").endswith(")") & (F.length(at("text")) > 1)
+    return [
+        {f"_text_{tag}": strip(c)},
+        {f"_inner_{tag}": F.when(bracketed, F.substring(at("text"), F.lit(2), F.length(at("text")) - 2)).otherwise(at("text")), f"_empty_{tag}": at("text").isNull() | F.lower(at("text")).isin(S.NULL_TOKENS)},
+        {f"_bare_{tag}": F.translate(at("inner"), MARKS + WHITE, "")},
+        {f"_number_{tag}": F.when(~at("empty"), F.regexp_extract(F.when(at("bare").startswith("-"), F.substring(at("bare"), 2, 1 << 30)).otherwise(at("bare")), r"^(-?[0-9]+(\.[0-9]+)?)$", 1).try_cast("double"))},
+        {
+            f"_value_{tag}": at("number") * F.when(bracketed | at("bare").startswith("-"), -1.0).otherwise(1.0),
+            f"_status_{tag}": F.when(at("empty"), "empty").when(at("number").isNull(), "unparseable").when(bracketed | (F.length(at("bare")) < F.length(at("text"))), "reformatted").otherwise("ok"),
+            f"_removed_{tag}": F.when(at("number").isNull(), "").otherwise(F.concat(F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(at("inner"), ""), lambda x: F.lit(MARKS + WHITE).contains(x) & (x != "")))), ""), F.when(bracketed, "()").otherwise(""))),
+        },
+    ]
+
+
 def clean_amount(c: Column) -> Column:
     """struct(value, status, removed). status: empty, ok, reformatted or unparseable.
 
-    Each step uses the one before it once, so the expression stays small when Spark puts it into the plans that read it.
+    One expression for a cell here and there; `frame.with_clean` reads whole columns by `amount_steps`.
     """
-    text, empty = strip(c), is_null(c)
-    bracketed = text.rlike(r"^\(.*\)$")
-    inner = F.regexp_replace(text, r"^\((.*)\)$", "$1")
-    digits = F.regexp_replace(F.regexp_replace(inner, f"(?U){FORMATTING}", ""), "^-", "")
+    text = strip(c)
+    empty = is_null(c)
+    bracketed = text.startswith("(") & text.endswith(")") & (F.length(text) > 1)
+    inner = F.when(bracketed, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+    bare = F.translate(inner, MARKS + WHITE, "")
+    digits = F.regexp_replace(bare, "^-", "")
     number = F.regexp_extract(digits, r"^(-?[0-9]+(\.[0-9]+)?)$", 1).try_cast("double")
-    negative = text.rlike(rf"(?U)^\(.*\)$|^{FORMATTING}*-")
-    value = F.when(~empty, number * F.when(negative, -1.0).otherwise(1.0))
-    marks = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(inner, F.lit(f"(?U)({FORMATTING})"), 1))), "")
-    removed = F.concat(marks, F.when(bracketed, "()").otherwise(""))
-    parsed = F.when(text.rlike(rf"(?U)^\(.*\)$|{FORMATTING}"), "reformatted").otherwise("ok")
+    value = F.when(~empty, number * F.when(bracketed | bare.startswith("-"), -1.0).otherwise(1.0))
+    marks = F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(inner, ""), lambda x: F.lit(MARKS + WHITE).contains(x) & (x != "")))), "")
+    parsed = F.when(bracketed | (F.length(bare) < F.length(text)), "reformatted").otherwise("ok")
     status = F.when(empty, "empty").when(number.isNull(), "unparseable").otherwise(parsed)
-    return F.struct(value.alias("value"), status.alias("status"), F.when(~empty & number.isNotNull(), removed).otherwise("").alias("removed"))
+    removed = F.when(~empty & number.isNotNull(), F.concat(marks, F.when(bracketed, "()").otherwise(""))).otherwise("")
+    return F.struct(value.alias("value"), status.alias("status"), removed.alias("removed"))
 
 
 def clean_integer(amount: Column) -> Column:

@@ -27,29 +27,38 @@ def target_grid(df: DataFrame) -> DataFrame:
 
 
 def with_clean(df: DataFrame) -> DataFrame:
-    """df with `c_<column>` structs for the value and integer fields, worked out in one projection."""
-    amounts = {f"c_{c}": C.clean_amount(F.col(c)) for c in S.VALUE_COLUMNS + S.INTEGER_COLUMNS if c in df.columns}
-    out = df.withColumns(amounts)
-    return out.withColumns({f"c_{c}": C.clean_integer(F.col(f"c_{c}")) for c in S.INTEGER_COLUMNS if c in df.columns})
+    """df with `c_<column>` structs for the value and integer fields.
+
+    They are made of `_value_`, `_status_` and `_removed_` columns, which stay beside them: the optimizer works out a plain column
+    once a row, but copies what a struct is made of into every use of its parts.
+    """
+    columns = [c for c in S.VALUE_COLUMNS + S.INTEGER_COLUMNS if c in df.columns]
+    out = df
+    for step in zip(*(C.amount_steps(F.col(c), c) for c in columns)):
+        out = out.withColumns({name: x for found in step for name, x in found.items()})
+    parts = lambda c: [F.col(f"_{part}_{c}") for part in ("value", "status", "removed")]
+    whole = {f"_status_{c}": F.when(F.col(f"_value_{c}") != F.floor(F.col(f"_value_{c}")), "fractional").otherwise(F.col(f"_status_{c}")) for c in columns if c in S.INTEGER_COLUMNS}
+    out = out.withColumns(whole).drop(*[f"_{part}_{c}" for c in columns for part in ("text", "inner", "empty", "bare", "number")])
+    return out.withColumns({f"c_{c}": F.struct(*[x.alias(part) for part, x in zip(("value", "status", "removed"), parts(c))]) for c in columns})
 
 
 def status(df: DataFrame, column: str) -> Column:
     """A field's status; text fields are ok or empty."""
     if column in S.VALUE_COLUMNS + S.INTEGER_COLUMNS:
-        return F.col(f"c_{column}.status")
+        return F.col(f"_status_{column}")
     return F.when(C.is_null(F.col(column)), "empty").otherwise("ok")
 
 
 def typed(df: DataFrame) -> DataFrame:
     """Typed values: numbers only where cleaning ended well, whole numbers as long, texts stripped."""
     out = with_clean(df)
-    fine = lambda c: F.col(f"c_{c}.status").isin("ok", "reformatted")
+    fine = lambda c: F.col(f"_status_{c}").isin("ok", "reformatted")
     made = []
     for c in mapped(df):
         if c in S.VALUE_COLUMNS:
-            made.append(F.when(fine(c), F.col(f"c_{c}.value")).alias(c))
+            made.append(F.when(fine(c), F.col(f"_value_{c}")).alias(c))
         elif c in S.INTEGER_COLUMNS:
-            made.append(F.when(fine(c), F.col(f"c_{c}.value").cast("long")).alias(c))
+            made.append(F.when(fine(c), F.col(f"_value_{c}").cast("long")).alias(c))
         else:
             made.append(C.clean_text(F.col(c)).alias(c))
     return out.select("sheet_row", *made)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gridmend import schema as S
 from gridmend.functions import clean as C
 from gridmend.operators.frame import mapped, status, with_clean
+from gridmend.scratch import written
 
 FINDING_COLUMNS = ["rule", "sheet_row", "field", "severity", "before", "after", "op"]
 
@@ -31,11 +32,23 @@ def finding(rule: str, field: str | None, before: Column, after: Column | None =
     return F.struct(fixed.alias("fixed"), before.alias("before"), (none if after is None else after).alias("after"), (F.lit(op) if isinstance(op, str) else none if op is None else op).alias("op"))
 
 
+@dataclass(frozen=True)
+class Found:
+    """A rule's finding on one field of a row: a column that is null where there is none."""
+
+    rule: str
+    field: str | None
+    column: Column
+
+
+def found(rule: str, field: str | None, where: Column, before: Column, after: Column | None = None, op: Column | str | None = None) -> Found:
+    return Found(rule, field, F.when(where, finding(rule, field, before, after, op)))
+
+
 def with_readings(df: DataFrame) -> DataFrame:
-    """df with values and statuses as plain columns: the optimizer keeps those, but copies parts of a struct into every use."""
+    """df with values and statuses as plain columns."""
     df = df if any(c.startswith("c_") for c in df.columns) else with_clean(df)
-    values = {f"_value_{c}": F.col(f"c_{c}.value") for c in S.VALUE_COLUMNS + S.INTEGER_COLUMNS if f"c_{c}" in df.columns}
-    return df.withColumns(values | {f"_status_{c}": status(df, c) for c in mapped(df)})
+    return df.withColumns({f"_status_{c}": status(df, c) for c in mapped(df) if f"_status_{c}" not in df.columns})
 
 
 def _value(c: str) -> Column:
@@ -50,28 +63,28 @@ def _usable(c: str) -> Column:
     return F.when((_status(c) == "ok") | (_status(c) == "reformatted"), _value(c))
 
 
-def dq01(df: DataFrame, year: int) -> list[Column]:
-    return [F.when(_status(c) == "empty", finding("DQ-01", S.FIELD_OF[c], F.col(c))) for c in mapped(df)]
+def dq01(df: DataFrame, year: int) -> list[Found]:
+    return [found("DQ-01", S.FIELD_OF[c], _status(c) == "empty", F.col(c)) for c in mapped(df)]
 
 
-def dq02(df: DataFrame, year: int) -> list[Column]:
-    return [F.when(_status(c) == "unparseable", finding("DQ-02", S.FIELD_OF[c], F.col(c))) for c in S.VALUE_COLUMNS if c in df.columns]
+def dq02(df: DataFrame, year: int) -> list[Found]:
+    return [found("DQ-02", S.FIELD_OF[c], _status(c) == "unparseable", F.col(c)) for c in S.VALUE_COLUMNS if c in df.columns]
 
 
-def dq03(df: DataFrame, year: int) -> list[Column]:
-    return [F.when(_status(c).isin("unparseable", "fractional"), finding("DQ-03", S.FIELD_OF[c], F.col(c))) for c in S.INTEGER_COLUMNS if c in df.columns]
+def dq03(df: DataFrame, year: int) -> list[Found]:
+    return [found("DQ-03", S.FIELD_OF[c], _status(c).isin("unparseable", "fractional"), F.col(c)) for c in S.INTEGER_COLUMNS if c in df.columns]
 
 
-def dq04(df: DataFrame, year: int) -> list[Column]:
-    return [F.when(_usable(c) < 0, finding("DQ-04", S.FIELD_OF[c], F.col(c))) for c in S.VALUE_COLUMNS if c in df.columns]
+def dq04(df: DataFrame, year: int) -> list[Found]:
+    return [found("DQ-04", S.FIELD_OF[c], _usable(c) < 0, F.col(c)) for c in S.VALUE_COLUMNS if c in df.columns]
 
 
-def dq05(df: DataFrame, year: int) -> list[Column]:
-    return [F.when(~_usable("year_built").between(S.EARLIEST_YEAR, year), finding("DQ-05", "Year Built", F.col("year_built")))]
+def dq05(df: DataFrame, year: int) -> list[Found]:
+    return [found("DQ-05", "Year Built", ~_usable("year_built").between(S.EARLIEST_YEAR, year), F.col("year_built"))]
 
 
-def dq06(df: DataFrame, year: int) -> list[Column]:
-    return [F.when(_usable(c) < 1, finding("DQ-06", S.FIELD_OF[c], F.col(c))) for c in ("storeys", "number_of_buildings") if c in df.columns]
+def dq06(df: DataFrame, year: int) -> list[Found]:
+    return [found("DQ-06", S.FIELD_OF[c], _usable(c) < 1, F.col(c)) for c in ("storeys", "number_of_buildings") if c in df.columns]
 
 
 def _zip_parts() -> tuple[Column, Column, Column]:
@@ -79,14 +92,14 @@ def _zip_parts() -> tuple[Column, Column, Column]:
     return F.when(~C.is_null(F.col("zip")), text), text.rlike("^[0-9]+$"), C.state_code(F.col("state"))
 
 
-def dq07(df: DataFrame, year: int) -> list[Column]:
+def dq07(df: DataFrame, year: int) -> list[Found]:
     text, digits, state = _zip_parts()
     short = digits & (F.length(text) == 4) & ~state.isin(S.LEADING_ZERO_STATES)
     outside = digits & (F.length(text) == 5) & ~C.prefix_in_state(F.when(digits, F.substring(text, 1, 3)).try_cast("int"), state)
-    return [F.when(text.isNotNull() & (short | outside), finding("DQ-07", "Zip", C.strip(F.col("zip"))))]
+    return [found("DQ-07", "Zip", text.isNotNull() & (short | outside), C.strip(F.col("zip")))]
 
 
-def dq08(df: DataFrame, year: int) -> list[Column]:
+def dq08(df: DataFrame, year: int) -> list[Found]:
     text, digits, state = _zip_parts()
     if "state" not in df.columns:
         state = F.lit(None).cast("string")
@@ -94,50 +107,50 @@ def dq08(df: DataFrame, year: int) -> list[Column]:
     plus_four = text.rlike(r"^[0-9]{5}[-\s]?[0-9]{4}$")
     after = F.when(plus_four, F.substring(text, 1, 5)).when(digits & (F.length(text) == 4), F.concat(F.lit("0"), text)).when(F.length(inside) == 5, inside)
     fine = ~plus_four & digits & ((F.length(text) == 5) | ((F.length(text) == 4) & F.coalesce(~state.isin(S.LEADING_ZERO_STATES), F.lit(False))))
-    return [F.when(text.isNotNull() & ~fine, finding("DQ-08", "Zip", C.strip(F.col("zip")), after, F.when(after.isNotNull(), "zip5")))]
+    return [found("DQ-08", "Zip", text.isNotNull() & ~fine, C.strip(F.col("zip")), after, F.when(after.isNotNull(), "zip5"))]
 
 
-def dq09(df: DataFrame, year: int) -> list[Column]:
+def dq09(df: DataFrame, year: int) -> list[Found]:
     text = C.strip(F.col("state"))
     exact = F.upper(text).isin(S.STATE_CODES) & (text == F.upper(text)) & (F.length(text) == 2)
     code = F.coalesce(C.lookup(F.lower(text), S.STATE_NAMES), F.when(F.upper(text).isin(S.STATE_CODES), F.upper(text)))
-    return [F.when(~C.is_null(F.col("state")) & ~exact, finding("DQ-09", "State", text, code, F.when(code.isNotNull(), "state_to_abbrev")))]
+    return [found("DQ-09", "State", ~C.is_null(F.col("state")) & ~exact, text, code, F.when(code.isNotNull(), "state_to_abbrev"))]
 
 
-def dq10(df: DataFrame, year: int) -> list[Column]:
-    return [F.when(_status(c) == "reformatted", finding("DQ-10", S.FIELD_OF[c], F.col(c), C.number_text(_value(c)), "strip_currency_to_float")) for c in S.VALUE_COLUMNS if c in df.columns]
+def dq10(df: DataFrame, year: int) -> list[Found]:
+    return [found("DQ-10", S.FIELD_OF[c], _status(c) == "reformatted", F.col(c), C.number_text(_value(c)), "strip_currency_to_float") for c in S.VALUE_COLUMNS if c in df.columns]
 
 
-def dq11(df: DataFrame, year: int) -> list[Column]:
+def dq11(df: DataFrame, year: int) -> list[Found]:
     cell = F.col("sprinklers")
     fix = C.sprinkler_fix(cell)
-    return [F.when(~C.is_null(cell) & ~C.strip(cell).isin(S.SPRINKLER_CODES), finding("DQ-11", "Fire Sprinklers (Y/N)", cell, fix["after"], fix["op"]))]
+    return [found("DQ-11", "Fire Sprinklers (Y/N)", ~C.is_null(cell) & ~C.strip(cell).isin(S.SPRINKLER_CODES), cell, fix["after"], fix["op"])]
 
 
-def dq14(df: DataFrame, year: int) -> list[Column]:
+def dq14(df: DataFrame, year: int) -> list[Found]:
     text = C.strip(F.col("construction"))
-    return [F.when(~C.is_null(F.col("construction")) & C.is_frame(text) & (_value("storeys") > S.MAX_FRAME_STOREYS), finding("DQ-14", "Construction", text))]
+    return [found("DQ-14", "Construction", ~C.is_null(F.col("construction")) & C.is_frame(text) & (_value("storeys") > S.MAX_FRAME_STOREYS), text)]
 
 
-def dq18(df: DataFrame, year: int) -> list[Column]:
+def dq18(df: DataFrame, year: int) -> list[Found]:
     building = _value("building_value")
-    return [F.when((building > 0) & (_value(c) > building * S.COMPONENT_LIMIT), finding("DQ-18", S.FIELD_OF[c], F.col(c))) for c in ("contents", "bi") if c in df.columns]
+    return [found("DQ-18", S.FIELD_OF[c], (building > 0) & (_value(c) > building * S.COMPONENT_LIMIT), F.col(c)) for c in ("contents", "bi") if c in df.columns]
 
 
 def _year_count(year: int) -> str:
     return f"_rows_of_{year}"
 
 
-def dq12(df: DataFrame, year: int) -> list[Column]:
+def dq12(df: DataFrame, year: int) -> list[Found]:
     """Placeholders; a suspicious year counts once it is repeated."""
-    found = []
+    own = []
     if "year_built" in df.columns:
         built = _value("year_built")
         repeated = [(built == y) & (F.col(_year_count(y)) >= S.PLACEHOLDER_REPEATS) for y in S.PLACEHOLDER_YEARS]
-        found.append(F.when(reduce(lambda a, b: a | b, repeated, built == 0), finding("DQ-12", "Year Built", F.col("year_built"), None, "set_null")))
+        own.append(found("DQ-12", "Year Built", reduce(lambda a, b: a | b, repeated, built == 0), F.col("year_built"), None, "set_null"))
     if "storeys" in df.columns:
-        found.append(F.when(_value("storeys") == 0, finding("DQ-12", "Storeys", F.col("storeys"), None, "set_null")))
-    return found + [F.when(_value(c) == 1, finding("DQ-12", S.FIELD_OF[c], F.col(c), None, "set_null")) for c in S.VALUE_COLUMNS if c in df.columns]
+        own.append(found("DQ-12", "Storeys", _value("storeys") == 0, F.col("storeys"), None, "set_null"))
+    return own + [found("DQ-12", S.FIELD_OF[c], _value(c) == 1, F.col(c), None, "set_null") for c in S.VALUE_COLUMNS if c in df.columns]
 
 
 def _year_counts(df: DataFrame) -> dict[str, Column]:
@@ -147,7 +160,8 @@ def _year_counts(df: DataFrame) -> dict[str, Column]:
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """(address_key, zip_key, members, distinct_references) of locations that two rows or more share.
 
-    Counts only, with partial sums: a location that a third of all rows share is no one task's work.
+    Counts only, with partial sums; `dq13` writes them before rows are joined with them, so adaptive execution may split a
+    location that a third of all rows share.
     """
     named = F.when(~C.is_null(F.col("reference")), C.strip(F.col("reference"))) if "reference" in df.columns else F.lit(None).cast("string")
     keyed = with_location_key(df).filter(F.col("address_key") != "")
@@ -163,8 +177,8 @@ def with_location_key(df: DataFrame) -> DataFrame:
 
 
 def dq13(df: DataFrame, year: int) -> DataFrame:
-    joined = with_location_key(df).join(duplicate_groups(df), ["address_key", "zip_key"])
-    return explode_findings(joined, [finding("DQ-13", "Address", F.col("address"))])
+    joined = with_location_key(df).join(written(duplicate_groups(df), "duplicate-groups"), ["address_key", "zip_key"])
+    return explode_findings(joined, [Found("DQ-13", "Address", finding("DQ-13", "Address", F.col("address")))])
 
 
 def _sums(df: DataFrame) -> dict[str, Column]:
@@ -191,18 +205,18 @@ def _is_total(df: DataFrame, labelled: Column) -> Column:
     return (F.col("_rows") >= S.MIN_TOTAL_ROWS) & (n_checked > 0) & (n_agree >= F.when(labelled, 1).otherwise(2)) & (n_agree >= n_checked)
 
 
-def dq15(df: DataFrame, year: int) -> list[Column]:
+def dq15(df: DataFrame, year: int) -> list[Found]:
     label = C.strip(_label(df))
     before = F.coalesce(label, F.concat(F.lit("row "), F.col("sheet_row").cast("string")))
-    return [F.when(_is_total(df, label.isNotNull()), finding("DQ-15", None, before, None, "exclude_row"))]
+    return [found("DQ-15", None, _is_total(df, label.isNotNull()), before, None, "exclude_row")]
 
 
-def dq16(df: DataFrame, year: int, tiv: str = "tiv") -> list[Column]:
+def dq16(df: DataFrame, year: int, tiv: str = "tiv") -> list[Found]:
     """Components against a stated total; totals rows don't count."""
     stated = C.clean_amount(F.col(tiv))["value"]
     parts = reduce(lambda a, b: a + b, [F.coalesce(_value(c), F.lit(0.0)) for c in S.VALUE_COLUMNS if c in df.columns])
     off = (stated != 0) & (parts != 0) & (F.abs(parts - stated) > F.abs(stated) * S.TOLERANCE)
-    return [F.when(off & ~_is_total(df, _label(df).isNotNull()), finding("DQ-16", None, F.col(tiv)))]
+    return [found("DQ-16", None, off & ~_is_total(df, _label(df).isNotNull()), F.col(tiv))]
 
 
 def _shape() -> Column:
@@ -216,16 +230,33 @@ def _main_shape(df: DataFrame) -> dict[str, Column]:
     return {"_main": F.array_max(F.array(*seen))["shape"], "_shapes": F.size(F.filter(F.array(*seen), lambda s: s["n"] > 0))}
 
 
-def dq17(df: DataFrame, year: int) -> list[Column]:
+def dq17(df: DataFrame, year: int) -> list[Found]:
     value = _value("year_built")
     after = F.when(value == F.floor(value), C.number_text(value))
-    return [F.when((F.col("_shapes") > 1) & (_shape() != F.col("_main")), finding("DQ-17", "Year Built", F.col("year_built"), after, F.when(after.isNotNull(), "to_int")))]
+    return [found("DQ-17", "Year Built", (F.col("_shapes") > 1) & (_shape() != F.col("_main")), F.col("year_built"), after, F.when(after.isNotNull(), "to_int"))]
 
 
-def explode_findings(df: DataFrame, found: list[Column]) -> DataFrame:
+def _reconciled(columns: list[Found]) -> list[Found]:
+    """Without findings on cells that a placeholder finding explains; that one lists them in also_flagged."""
+    made = []
+    for f in columns:
+        beaten = [x for x in columns if x.field == f.field and x.rule in S.SUPERSEDES.get(f.rule, [])]
+        winners = [x for x in columns if x.field == f.field and f.rule in S.SUPERSEDES.get(x.rule, [])]
+        column = f.column
+        if winners:
+            column = F.when(reduce(lambda a, b: a & b, [w.column.isNull() for w in winners]), column)
+        also = F.array_compact(F.array(*[F.when(x.column.isNotNull(), x.rule) for x in beaten])) if beaten else F.array().cast("array<string>")
+        made.append(Found(f.rule, f.field, F.when(column.isNotNull(), column.withField("also", also))))
+    return made
+
+
+def explode_findings(df: DataFrame, columns: list[Found], reconciled: bool = False) -> DataFrame:
     """A row for each finding in the columns that isn't null."""
-    rows = df.select("sheet_row", F.explode(F.array_compact(F.array(*found))).alias("f"))
-    return rows.select("f.fixed.rule", "sheet_row", "f.fixed.field", "f.fixed.severity", C.render(F.col("f.before")).alias("before"), "f.after", "f.op")
+    columns = _reconciled(columns) if reconciled else columns
+    rows = df.select("sheet_row", F.explode(F.array_compact(F.array(*[f.column for f in columns]))).alias("f"))
+    more = ["f.also"] if reconciled else []
+    out = rows.select("f.fixed.rule", "sheet_row", "f.fixed.field", "f.fixed.severity", C.render(F.col("f.before")).alias("before"), "f.after", "f.op", *more)
+    return out.withColumnRenamed("also", "also_flagged")
 
 
 @dataclass(frozen=True)
@@ -278,17 +309,24 @@ def with_statistics(df: DataFrame, used: list[Rule]) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*[c.alias(name) for name, c in wanted.items()])))
 
 
-def run_rules(df: DataFrame, year: int, only: list[str] | None = None) -> DataFrame:
-    """All findings of the rules that can run; df may be raw or with_clean."""
+def run_rules(df: DataFrame, year: int, only: list[str] | None = None, reconciled: bool = False) -> DataFrame:
+    """All findings of the rules that can run; df may be raw or with_clean.
+
+    reconciled: findings that a placeholder explains are left out as rows are read, with no shuffle, and also_flagged says which.
+    """
     df = with_readings(df)
     usable = [r for r in REGISTRY if (only is None or r.name in only) and can_run(r, df)]
     by_row = [r for r in usable if not r.across_rows or r.statistics]
-    found = [c for r in by_row for c in r.apply(df, year)]
-    parts = ([explode_findings(with_statistics(df, by_row), found)] if found else []) + [r.apply(df, year) for r in usable if r not in by_row]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def rule_status(df: DataFrame) -> DataFrame:
-    """(rule, evaluated, reason) of every rule; a driver-side list of eighteen."""
-    rows = [(r.name, can_run(r, df), None if can_run(r, df) else "needs " + (", ".join(n for n in r.needs if n not in df.columns) or "a field to read")) for r in REGISTRY]
-    return df.sparkSession.createDataFrame(rows, "rule string, evaluated boolean, reason string")
+    columns = [c for r in by_row for c in r.apply(df, year)]
+    none = F.array().cast("array<string>")
+    others = [r.apply(df, year) for r in usable if r not in by_row]
+    parts = [explode_findings(with_statistics(df, by_row), columns, reconciled)] if columns else []
+    return reduce(DataFrame.unionByName, parts + [x.withColumn("also_flagged", none) if reconciled else x for x in others])
+
+
+def rule_status(df: DataFrame, findings: DataFrame) -> DataFrame:
+    """(rule, evaluated, reason, n_findings) of every rule."""
+    names = [(r.name, can_run(r, df), None if can_run(r, df) else "needs " + (", ".join(n for n in r.needs if n not in df.columns) or "a field to read")) for r in REGISTRY]
+    rules = df.sparkSession.createDataFrame(names, "rule string, evaluated boolean, reason string")
+    counted = findings.groupBy("rule").agg(F.count("*").alias("n_findings"))
+    return rules.join(counted, "rule", "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0).cast("long")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridmend import schema as S
 from gridmend.functions import clean as C
 from gridmend.operators.frame import target_grid
+from gridmend.scratch import written
 
 APPROVED = ["approved", "edited"]
 
@@ -50,8 +51,8 @@ def apply_op(op: Column, cell: Column, after: Column) -> Column:
     return F.when(~C.is_null(cell), done)
 
 
-def changes(grid: DataFrame, findings: DataFrame, recs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(excluded rows, cell changes in order) that the approved recommendations ask for.
+def changes(findings: DataFrame, recs: DataFrame) -> DataFrame:
+    """(sheet_row, ops): the operations, in order, that the approved recommendations ask for in each row.
 
     Operations on one cell are folded in the order of review. Each finding brings its own proposal, so a mapping is applied to every
     row and not to a few examples.
@@ -63,27 +64,39 @@ def changes(grid: DataFrame, findings: DataFrame, recs: DataFrame) -> tuple[Data
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     f = findings.select(*[F.col(c).alias(f"f_{c}") for c in ("rule", "field", "op", "sheet_row", "after")])
     hits = f.join(F.broadcast(approved), same("f_rule", "rule") & same("f_field", "field") & same("f_op", "_op"))  # a recommendation per rule, field and op
-    excluded = hits.filter("final_op = 'exclude_row'").select(F.col("f_sheet_row").alias("sheet_row"), "rec_id", "reviewer")
-    cells = hits.filter("final_op != 'exclude_row'").groupBy(F.col("f_sheet_row").alias("sheet_row"), "field").agg(F.sort_array(F.collect_list(F.struct("position", "rec_id", "final_op", F.col("f_after").alias("after"), "reviewer"))).alias("ops"))
-    return excluded, cells
+    op = F.struct("position", "rec_id", "final_op", F.col("f_after").alias("after"), "reviewer", "field")
+    by_row = hits.groupBy(F.col("f_sheet_row").alias("sheet_row")).agg(F.sort_array(F.collect_list(op)).alias("ops"))
+    return by_row  # a row has at most a few operations for each of its fields
 
 
-def transform(df: DataFrame, findings: DataFrame, recs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cleaned grid, audit): audit has a row per changed cell and per excluded row."""
+def transform(df: DataFrame, findings: DataFrame, recs: DataFrame, sources: dict[str, str] | None = None, at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cleaned grid, audit): audit has a row per changed cell and per excluded row.
+
+    Rows meet their operations in one join; all cells of a row are changed in it, and only the audit is exploded. sources: the source
+    column of each field, and at: the time of the run, for the audit.
+    """
     grid = target_grid(df)
-    excluded, cells = changes(grid, findings, recs)
-    long = grid.select("sheet_row", F.explode(F.map_from_arrays(F.array(*map(F.lit, S.FIELD_NAMES)), F.array(*[F.col(c) for c in S.COLUMNS]))).alias("field", "before"))
-    touched = cells.join(long, ["sheet_row", "field"]).join(excluded.select("sheet_row").distinct(), "sheet_row", "left_anti")
+    joined = grid.join(changes(findings, recs), "sheet_row", "left")
+    ops = F.coalesce("ops", F.array().cast(joined.schema["ops"].dataType))
+    joined = joined.withColumn("ops", ops).withColumn("excluded", F.exists("ops", lambda o: o["final_op"] == "exclude_row"))
     step = lambda acc, o: apply_op(o["final_op"], acc, o["after"])
-    folded = touched.withColumn("after", F.aggregate("ops", F.col("before"), step))
-    changed = folded.filter(~F.col("before").eqNullSafe(F.col("after")))
-    last = F.element_at("ops", -1)
-    audit = changed.select("sheet_row", "field", F.array_join(F.transform("ops", lambda o: o["final_op"]), ",").alias("operation"), C.render(F.col("before")).alias("before"), C.render(F.col("after")).alias("after"), last["reviewer"].alias("approved_by"))
-    audit = audit.unionByName(excluded.select("sheet_row", F.lit(None).cast("string").alias("field"), F.lit("exclude_row").alias("operation"), F.lit("row").alias("before"), F.lit("(excluded)").alias("after"), F.col("reviewer").alias("approved_by")))
-    kept = grid.join(excluded.select("sheet_row").distinct(), "sheet_row", "left_anti")
-    by_row = changed.groupBy("sheet_row").agg(F.map_from_entries(F.collect_list(F.struct("field", "after"))).alias("_new"))
-    cleaned = kept.join(by_row, "sheet_row", "left").select("sheet_row", *[F.when(F.map_contains_key("_new", F.lit(S.FIELD_OF[c])), F.col("_new")[S.FIELD_OF[c]]).otherwise(F.col(c)).alias(c) for c in S.COLUMNS])
-    return cleaned, audit
+    of = lambda field: F.filter("ops", lambda o: o["field"].eqNullSafe(F.lit(field)) & (o["final_op"] != "exclude_row"))
+    own = {f: of(f) for f in S.FIELD_NAMES}
+    folded = {f"_new_{S.COLUMN_OF[f]}": F.when(F.size(found) > 0, F.aggregate(found, F.col(S.COLUMN_OF[f]), step)).otherwise(F.col(S.COLUMN_OF[f])) for f, found in own.items()}
+    done = written(joined.withColumns(folded), "transformed")
+    cleaned = done.filter("not excluded").select("sheet_row", *[F.col(f"_new_{c}").alias(c) for c in S.COLUMNS])
+
+    def change(f: str) -> Column:
+        before, after, last = F.col(S.COLUMN_OF[f]), F.col(f"_new_{S.COLUMN_OF[f]}"), F.element_at(own[f], -1)
+        source = F.lit((sources or {}).get(f)).cast("string")
+        entry = F.struct(F.lit(f).alias("field"), source.alias("source_column"), F.array_join(F.transform(own[f], lambda o: o["final_op"]), ",").alias("operation"), C.render(before).alias("before"), C.render(after).alias("after"), last["reviewer"].alias("approved_by"))
+        return F.when(~before.eqNullSafe(after), entry)
+
+    out = F.filter("ops", lambda o: o["final_op"] == "exclude_row")
+    excluded = F.transform(out, lambda o: F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("source_column"), F.lit("exclude_row").alias("operation"), F.lit("row").alias("before"), F.lit("(excluded)").alias("after"), o["reviewer"].alias("approved_by")))
+    entries = F.when(F.col("excluded"), excluded).otherwise(F.array_compact(F.array(*[change(f) for f in S.FIELD_NAMES])))
+    audit = done.filter(F.size("ops") > 0).select("sheet_row", F.inline(entries))
+    return cleaned, audit.withColumn("changed_at", F.lit(at).cast("string"))
 
 
 def self_check(cleaned: DataFrame) -> DataFrame:

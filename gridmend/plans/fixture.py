@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridmend.scratch import spread
+
 #: Text for both engines; the table behind {source} has c_custkey.
 SOV_SQL = """
 SELECT CAST(c_custkey + 2 AS BIGINT) AS sheet_row,
@@ -27,4 +29,4 @@ FROM {source}
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schedule of a folder: one row per customer."""
-    return spark.sql(SOV_SQL.replace("{source}", "{customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return spark.sql(SOV_SQL.replace("{source}", "{customer}"), customer=spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")))

@@ -13,6 +13,7 @@ from gridmend.operators import frame as FR
 from gridmend.operators import review, rules, score, transform
 from gridmend.plans import oracle as O
 from gridmend.plans.fixture import frame
+from gridmend.scratch import written
 
 YEAR = O.YEAR
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +36,7 @@ def on_frame(name: str, sql: str | None = None):
 
 
 def findings_of(df: DataFrame) -> DataFrame:
-    return review.reconcile(rules.run_rules(df, YEAR))
+    return rules.run_rules(df, YEAR, reconciled=True)
 
 
 on_frame("sov_frame", O.with_(f"SELECT sheet_row, {', '.join(O.COLS)} FROM sov"))(lambda df: df.select("sheet_row", *O.COLS))
@@ -129,9 +130,9 @@ on_frame(
 
 _COLS = "rule, sheet_row, field, severity, before, after, op"
 on_frame("findings_union", O.on_findings(f"SELECT {_COLS} FROM f"))(lambda df: rules.run_rules(df, YEAR))
-on_frame("reconcile", O.on_findings(f"SELECT {_COLS}, coalesce((SELECT array_to_string(list_sort(list(DISTINCT g.rule)), ',') FROM f g WHERE k.rule = 'DQ-12' AND g.rule IN ('DQ-05', 'DQ-06') AND g.field = k.field AND g.sheet_row = k.sheet_row), '') AS also_flagged FROM k"))(
-    lambda df: findings_of(df).withColumn("also_flagged", F.array_join("also_flagged", ","))
-)
+_RECONCILED = O.on_findings(f"SELECT {_COLS}, coalesce((SELECT array_to_string(list_sort(list(DISTINCT g.rule)), ',') FROM f g WHERE k.rule = 'DQ-12' AND g.rule IN ('DQ-05', 'DQ-06') AND g.field = k.field AND g.sheet_row = k.sheet_row), '') AS also_flagged FROM k")
+on_frame("reconcile", _RECONCILED)(lambda df: findings_of(df).withColumn("also_flagged", F.array_join("also_flagged", ",")))
+on_frame("reconcile_union", _RECONCILED)(lambda df: review.reconcile(rules.run_rules(df, YEAR)).withColumn("also_flagged", F.array_join("also_flagged", ",")))
 on_frame("issue_groups", O.on_findings("SELECT rule, field, severity, count(DISTINCT sheet_row) AS n_rows, min(sheet_row) AS first_row, max(sheet_row) AS last_row FROM k GROUP BY ALL"))(lambda df: review.issues(findings_of(df)))
 on_frame("issue_rows", O.on_findings("SELECT DISTINCT rule, field, severity, sheet_row FROM k"))(lambda df: review.issue_rows(findings_of(df)))
 on_frame("counts_grouping_sets", O.on_findings(f"SELECT 'severity' AS kind, severity AS name, count(*) AS n FROM k GROUP BY ALL UNION ALL SELECT 'rule', rule, count(*) FROM k GROUP BY ALL UNION ALL SELECT 'action_type', {O.ACTION}, count(*) FROM k GROUP BY ALL"))(
@@ -155,13 +156,13 @@ _REC = "rec_id, position, rule, field, op, action_type, severity, n_findings, n_
 
 
 def recommended(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(findings, recommendations), kept while a query runs, as its steps read them more than once."""
-    found = findings_of(df).persist()
-    return found, review.recommendations(found).persist()
+    """(findings, recommendations), written, as later steps read them more than once."""
+    found = written(findings_of(df), "findings")
+    return found, written(review.recommendations(found), "recommendations")
 
 
-on_frame("recommendations", O.on_findings(f"SELECT {_REC} FROM r", O.RECS))(lambda df: recommended(df)[1])
-on_frame("review_queue", O.on_findings("SELECT position, rec_id, severity, rule FROM r WHERE severity = 'High'", O.RECS))(lambda df: recommended(df)[1].filter("severity = 'High'").select("position", "rec_id", "severity", "rule"))
+on_frame("recommendations", O.on_findings(f"SELECT {_REC} FROM r", O.RECS))(lambda df: review.recommendations(findings_of(df)))
+on_frame("review_queue", O.on_findings("SELECT position, rec_id, severity, rule FROM r WHERE severity = 'High'", O.RECS))(lambda df: review.recommendations(findings_of(df)).filter("severity = 'High'").select("position", "rec_id", "severity", "rule"))
 on_frame("examples_top20", O.on_findings("""SELECT rule, field, op, sheet_row, before, after FROM (SELECT *, row_number() OVER (PARTITION BY rule, field, op ORDER BY CASE WHEN again = 1 THEN 0 ELSE 1 END, sheet_row, before) AS place FROM
  (SELECT *, row_number() OVER (PARTITION BY rule, field, op, before, after ORDER BY sheet_row) AS again FROM k WHERE op IS NOT NULL)) WHERE place <= 20"""))(lambda df: review.examples(findings_of(df)))
 on_frame("recommendation_contract", O.on_findings("SELECT rec_id, CAST(NULL AS VARCHAR) AS problem FROM r WHERE n_rows < 1", O.RECS))(lambda df: review.invalid(*reversed(recommended(df))))
@@ -182,12 +183,12 @@ on_frame("apply_decisions", O.on_findings(f"SELECT rec_id, rule, field, op, {_DE
 
 def _transformed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     found, recs = decided(df)
-    return transform.transform(df, found, recs)
+    return transform.transform(df, found, recs, {f: f"Column of {f}" for f in S.FIELD_NAMES}, "2026-01-01")
 
 
 # every approved operation of the fixture yields its finding's own proposal; a cell with two keeps none if one is set_null
 _CHANGED = "a AS (SELECT sheet_row, field, CASE WHEN bool_or(op = 'set_null') THEN NULL ELSE max(after) END AS after, min(before) AS before, string_agg(op, ',' ORDER BY CASE rule WHEN 'DQ-12' THEN 0 ELSE 1 END, rule) AS operation FROM k WHERE op IS NOT NULL AND op <> 'map_values' GROUP BY sheet_row, field)"
-on_frame("audit_diff", O.on_findings("SELECT sheet_row, field, operation, before, coalesce(after, '(empty)') AS after, 'reviewer' AS approved_by FROM a", _CHANGED))(lambda df: _transformed(df)[1])
+on_frame("audit_diff", O.on_findings("SELECT sheet_row, field, operation, before, coalesce(after, '(empty)') AS after, 'reviewer' AS approved_by, 'Column of ' || field AS source_column, '2026-01-01' AS changed_at FROM a", _CHANGED))(lambda df: _transformed(df)[1])
 on_frame(
     "cleaned_sov",
     O.on_findings("SELECT c.sheet_row, " + ", ".join((f"CASE WHEN a_{c}.sheet_row IS NOT NULL THEN a_{c}.after ELSE c.{c} END AS {c}" if c in ("zip", "state", "building_value", "contents", "bi", "storeys", "year_built") else f"c.{c}") if c in O.COLS else f"CAST(NULL AS VARCHAR) AS {c}" for c in S.COLUMNS) + " FROM c " + " ".join(f"LEFT JOIN a a_{c} ON a_{c}.sheet_row = c.sheet_row AND a_{c}.field = {O.quoted(S.FIELD_OF[c])}" for c in ("zip", "state", "building_value", "contents", "bi", "storeys", "year_built")), _CHANGED),
@@ -204,14 +205,15 @@ def _excluding(df: DataFrame) -> DataFrame:
 
 on_frame("exclude_rows", "SELECT count(*) + 1 AS rows_processed, count(*) AS rows_output, CAST(1 AS BIGINT) AS audit_entries, CAST(1 AS BIGINT) AS rows_excluded FROM customer")(_excluding)
 on_frame("self_check")(lambda df: transform.self_check(_transformed(df)[0]))
-on_frame("rule_status")(lambda df: rules.rule_status(df))
+_STATUS = "(VALUES " + ", ".join(f"('{r.name}', {'false' if r.name == 'DQ-16' else 'true'}, {O.quoted('needs tiv') if r.name == 'DQ-16' else 'CAST(NULL AS VARCHAR)'})" for r in rules.REGISTRY) + ") x(rule, evaluated, reason)"
+on_frame("rule_status", O.on_findings(f"SELECT x.*, (SELECT count(*) FROM f WHERE f.rule = x.rule) AS n_findings FROM {_STATUS}"))(lambda df: rules.rule_status(df, rules.run_rules(df, YEAR)))
 on_frame("preview", O.with_(f"SELECT sheet_row, {', '.join(f'coalesce({c}, {chr(39) * 2}) AS {c}' for c in O.COLS)} FROM sov ORDER BY sheet_row LIMIT 100"))(
     lambda df: df.orderBy("sheet_row").limit(100).select("sheet_row", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in O.COLS])
 )
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recommended(frame(spark, sf_dir))[1]
+    return review.recommendations(findings_of(frame(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

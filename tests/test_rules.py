@@ -84,7 +84,8 @@ def test_placeholder_supersedes_range(spark):
 
 
 def test_every_rule_runs_or_says_why(spark):
-    rows = rules.rule_status(table(spark, zip=["1"])).collect()
+    df = table(spark, zip=["1"])
+    rows = rules.rule_status(df, rules.run_rules(df, 2026)).collect()
     assert len(rows) == 18 and all(r["evaluated"] != bool(r["reason"]) for r in rows)
 
 
