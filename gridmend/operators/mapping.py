@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from gridmend import schema as S
 from gridmend.functions.clean import normalise
+from gridmend.operators import profile
 
 WEIGHTS = {"lexical": 0.30, "semantic": 0.35, "fingerprint": 0.35}
 MIN_SCORE, ADMISSIBLE_LEXICAL, ADMISSIBLE_SEMANTIC, LOW_MARGIN = 0.25, 0.90, 0.70, 0.15
@@ -47,6 +48,28 @@ ABBREVIATIONS: dict[str, str] = {
 }
 
 
+# The long tail of header phrases.
+MORE_PHRASES: dict[str, list[str]] = {
+    "Reference": ["loc #", "location #", "no", "num", "item", "item no", "seq", "sequence", "line", "line no", "row", "key", "unit", "branch", "branch no", "store", "store no", "plant", "plant no", "facility id", "sov id"],
+    "Address": ["address1", "addr1", "street no and name", "physical address", "risk address", "insured location", "location desc", "site address", "premises address", "building address", "loc address", "street 1"],
+    "City": ["city town", "city or town", "locality", "suburb", "place"],
+    "State": ["st.", "state prov", "state/prov", "province state", "region", "st cd"],
+    "Zip": ["zip 4", "zip+4", "zip code 5", "postal", "pc", "post"],
+    "County": ["county parish", "borough", "cnty", "county/parish"],
+    "Country": ["country name", "iso country", "cntry", "domicile"],
+    "Building Value": ["bldg", "building val", "bldg val", "building rc", "bldg rc", "rc value", "building replacement value", "real property value", "structure", "building tiv value", "bldg limit", "building sum insured", "prop damage bldg"],
+    "Contents": ["contents val", "content", "bpp value", "personal prop", "pers property", "machinery and equipment", "m&e", "equipment", "stock and contents", "contents sum insured", "contents rc"],
+    "BI": ["bi value", "bi/ee value", "business income value", "business interruption value", "time element value", "ee", "extra exp", "rental income", "loss of rents", "gross earnings", "bi limit value", "profits"],
+    "Occupancy": ["risk class", "business type", "industry", "sic", "naics", "occ code", "occ class", "tenancy"],
+    "Construction": ["construction desc", "construction class", "const class", "constr class", "iso const", "building type", "frame type", "material", "wall construction", "roof and wall", "cons", "construction code"],
+    "Storeys": ["no stories", "num stories", "# stories", "# floors", "storys above grade", "floor count", "levels", "no of levels", "height", "stories/floors"],
+    "Number of Buildings": ["# bldgs", "# buildings", "no bldgs", "num bldgs", "count of buildings", "structures", "no of structures", "bldg qty", "units", "no of units"],
+    "Year Built": ["yr", "year", "yr of construction", "date built", "year of build", "original construction year", "construction date", "built year", "vintage", "effective year built", "eyb"],
+    "Fire Sprinklers (Y/N)": ["sprinkler y/n", "sprinklered y n", "sprinkler system", "auto sprinklers", "fire suppression", "suppression", "sprinkler indicator", "spr", "spkr", "sprink"],
+    "Other": ["other val", "misc value", "other prop value", "yard improvements", "outdoor property", "fences and signs", "improvements", "betterments", "tenant improvements", "eq value", "equipment breakdown", "all other"],
+}
+
+
 def glossary(spark, extra: dict[str, list[str]] | None = None) -> DataFrame:
     """(target, ordinal, phrase, rank): each target's name and phrases, longest first."""
     rows = []
@@ -101,10 +124,18 @@ def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def lexical(headers: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(header, target, lexical, phrase, exact) for each different header and target. phrases is a glossary, a few hundred rows."""
+    """(header, target, lexical, phrase, exact) for each different header and target. phrases is a glossary, a few hundred rows.
+
+    Pairs are headers times the fixed glossary; only those whose words differ are scored in Python, each different pair once.
+    """
     pairs = headers.select("header").distinct().withColumns({"_bare": normalise(F.col("header")), "_long": prepare(F.col("header"))}).crossJoin(F.broadcast(phrases.withColumn("_phrase", normalise(F.col("phrase")))))
     exact = F.col("_bare") == F.col("_phrase")
-    scored = pairs.filter("_phrase != ''").withColumn("_score", F.when(exact, 1.0).otherwise(_token_set("_long", "_phrase")))
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    x, y = words(F.col("_long")), words(F.col("_phrase"))
+    inside = F.arrays_overlap(x, y) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
+    pairs = pairs.filter("_phrase != ''").withColumn("_known", F.when(exact | (inside & (F.col("_long") != "")), 1.0))
+    far = pairs.filter("_known is null").withColumn("_score", _token_set("_long", "_phrase"))
+    scored = pairs.filter("_known is not null").withColumn("_score", F.col("_known")).unionByName(far)
     best = scored.groupBy("header", "target", "ordinal").agg(F.max_by(F.struct("_score", "phrase", exact.alias("exact")), F.struct(exact.cast("int"), "_score", -F.col("rank"))).alias("x"))
     return best.select("header", "target", "ordinal", F.round("x._score", 4).alias("lexical"), "x.phrase", "x.exact")
 
@@ -118,9 +149,13 @@ def match_target(cells: DataFrame, phrases: DataFrame) -> DataFrame:
     n = F.size(words(F.col("_text")))
     inside = F.size(F.array_except(words(F.col("_phrase")), words(F.col("_text")))) == 0
     share = F.size(words(F.col("_phrase"))) / n
-    ratio = _sequence_ratio("_text", "_phrase")
-    score = F.when(exact, 2.0).when(n > MAX_TOKENS, None).when(inside, F.when(share >= MIN_SHARE, 0.9 + 0.1 * share)).otherwise(F.when(ratio >= FUZZY, ratio))
-    return pairs.withColumn("_score", score).filter("_score is not null").groupBy("value").agg(F.max_by("target", F.struct("_score", -F.col("ordinal"), -F.col("rank"))).alias("target"))
+    plain = F.when(exact, 2.0).when(inside, F.when(share >= MIN_SHARE, 0.9 + 0.1 * share))
+    pairs = pairs.withColumns({"_plain": plain, "_inside": inside}).filter(exact | (n <= MAX_TOKENS))
+    # twice the common letters over all letters is the ratio: lengths that are too unlike rule it out without Python
+    shorter, both = F.least(F.length("_text"), F.length("_phrase")), F.length("_text") + F.length("_phrase")
+    near = pairs.filter(F.col("_plain").isNull() & ~F.col("_inside") & (2 * shorter >= FUZZY * both)).withColumn("_score", _sequence_ratio("_text", "_phrase")).filter(F.col("_score") >= FUZZY)
+    scored = pairs.filter("_plain is not null").withColumn("_score", F.col("_plain")).unionByName(near)
+    return scored.groupBy("value").agg(F.max_by("target", F.struct("_score", -F.col("ordinal"), -F.col("rank"))).alias("target"))
 
 
 def fuse(lexical_: Column, fingerprint: Column, abstained: Column, semantic: Column | None = None) -> Column:
@@ -141,6 +176,18 @@ def exact_boost(confidence: Column, fused: Column, exact: Column, fingerprint: C
     return F.when(exact & (fingerprint >= 0.5), F.greatest(confidence, F.least(fused, F.lit(0.995)))).otherwise(confidence)
 
 
+def method(target: Column, exact: Column, lexical_: Column, fingerprint: Column, semantic: Column | None = None) -> Column:
+    """How a column got its target: unresolved, exact, the only channel that supports it, or fused."""
+    channels = {"lexical": lexical_, "fingerprint": fingerprint} | ({} if semantic is None else {"semantic": semantic})
+    some = F.array_compact(F.array(*[F.when(score > 0, name) for name, score in channels.items()]))
+    return F.when(target.isNull(), "unresolved").when(exact, "exact").when(F.size(some) == 1, some[0]).otherwise("fused")
+
+
+def low_margin(mappings: DataFrame) -> DataFrame:
+    """Columns with a target whose runner-up is close: what a second opinion is for."""
+    return mappings.filter(F.col("target").isNotNull() & (F.col("margin") < LOW_MARGIN))
+
+
 def review_flag(confidence: Column, target: Column) -> Column:
     return F.when(target.isNull() | (confidence < 0.50), "required").when(confidence >= 0.85, "auto").otherwise("suggested")
 
@@ -210,3 +257,49 @@ def assign(evidence: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=[x.split()[0] for x in _ASSIGNED.split(", ")])
 
     return evidence.groupBy("sheet").applyInPandas(solve, _ASSIGNED)
+
+
+def build_evidence(columns: DataFrame, cells: DataFrame, phrases: DataFrame, year: int) -> DataFrame:
+    """A row per column (sheet, column_idx, header) and target, with the scores of each channel; cells: (sheet, column_idx, pos, value)."""
+    key = F.to_json(F.struct("sheet", "column_idx"))
+    fits = profile.fingerprint(profile.profile(cells.select(key.alias("column"), "pos", "value"), year))
+    fits = fits.withColumn("x", F.from_json("column", "sheet string, column_idx int")).select("x.*", "target", "fingerprint", "abstained")
+    named = lexical(columns, phrases).select("header", "target", "ordinal", "lexical", "exact")
+    out = columns.join(named, "header").join(fits, ["sheet", "column_idx", "target"], "left").fillna({"fingerprint": 0.0, "abstained": True})
+    return out.withColumn("fused", fuse(F.col("lexical"), F.col("fingerprint"), F.col("abstained"))).withColumn("semantic", F.lit(None).cast("double"))
+
+
+def map_columns(evidence: DataFrame) -> DataFrame:
+    """The stage's output: per column its target, confidence, method, flag, runner-up and the scores behind them."""
+    scores = evidence.select("sheet", "column_idx", "target", "exact", "lexical", "fingerprint")
+    chosen = assign(evidence).join(scores, ["sheet", "column_idx", "target"], "left")
+    plain = margin_confidence(F.col("fused"), F.col("margin"))
+    boosted = exact_boost(plain, F.col("fused"), F.coalesce("exact", F.lit(False)), F.coalesce("fingerprint", F.lit(0.0)))
+    chosen = chosen.withColumn("confidence", F.when(F.col("target").isNull(), 0.0).otherwise(boosted))
+    return chosen.withColumn("method", method(F.col("target"), F.coalesce("exact", F.lit(False)), F.col("lexical"), F.col("fingerprint"))).withColumn("flag", review_flag(F.col("confidence"), F.col("target")))
+
+
+def unmapped_targets(mappings: DataFrame) -> DataFrame:
+    """(sheet, target) of the targets that no column of a sheet took."""
+    targets = mappings.sparkSession.createDataFrame([(t,) for t in S.FIELD_NAMES], "target string")
+    every = mappings.select("sheet").distinct().crossJoin(F.broadcast(targets))  # seventeen rows a sheet
+    return every.join(mappings.filter("target is not null"), ["sheet", "target"], "left_anti")
+
+
+def mapping_block(mappings: DataFrame) -> DataFrame:
+    """Per sheet: resolved and unresolved columns, those to review, those of low margin, and the mean confidence of the resolved."""
+    got = F.col("target").isNotNull()
+    mean = F.coalesce(F.round(F.avg(F.when(got, F.col("confidence"))), 4), F.lit(0.0))
+    return mappings.groupBy("sheet").agg(F.count_if(got).alias("resolved"), F.count_if(~got).alias("unresolved"), F.count_if(F.col("flag") == "required").alias("required"), F.count_if(got & (F.col("margin") < LOW_MARGIN)).alias("low_margin"), mean.alias("confidence"))
+
+
+def mapping_issues(mappings: DataFrame, sheets: DataFrame, semantic: bool = False, model: bool = False) -> DataFrame:
+    """(sheet, rule, field, severity): columns for review, sheets without headers, and what a run had to do without."""
+    none = F.lit(None).cast("string").alias("field")
+    rows = mappings.filter("flag = 'required'").select("sheet", F.lit("mapping_requires_review").alias("rule"), F.col("target").alias("field"), F.when(F.col("target").isNull(), "High").otherwise("Medium").alias("severity"))
+    rows = rows.unionByName(sheets.select("sheet").distinct().join(mappings, "sheet", "left_anti").select("sheet", F.lit("mapping_no_headers").alias("rule"), none, F.lit("High").alias("severity")))
+    if not model:
+        rows = rows.unionByName(low_margin(mappings).select("sheet").distinct().select("sheet", F.lit("adjudicator_unavailable").alias("rule"), none, F.lit("Medium").alias("severity")))
+    if not semantic:
+        rows = rows.unionByName(mappings.select("sheet").distinct().select("sheet", F.lit("semantic_channel_unavailable").alias("rule"), none, F.lit("Medium").alias("severity")))
+    return rows

@@ -1,4 +1,4 @@
-"""What a column's values look like: the shape of each value, a profile of a sample, and how it fits each target."""
+"""What a column's values look like: the shape of each value, a profile of a column, and how it fits each target."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridmend import schema as S
 from gridmend.functions.clean import strip
 
-SAMPLE, MIN_SAMPLE, SECOND_WEIGHT = 200, 3, 0.6
+MIN_SAMPLE, SECOND_WEIGHT = 3, 0.6
 LEAN_ROWS, LEAN_RATIO, ZIP_SPREAD = 8, 0.4, 120.0
 # yes/no words, Canadian provinces beside the states, and street words.
 BOOLEANS = ["y", "n", "yes", "no", "true", "false", "t", "f", "yes.", "none", "y/n", "partial", "full", "unsprinklered", "sprinklered"]
@@ -56,26 +56,26 @@ def classify_value(c: Column, year: int) -> Column:
     )
 
 
-def sample_cells(df: DataFrame, columns: list[str], order: str = "sheet_row", n: int = SAMPLE) -> DataFrame:
-    """(column, pos, value) of the first n rows: a bounded sample, taken without sorting the rest."""
-    first = df.orderBy(order).limit(n)
+def cells(df: DataFrame, columns: list[str], order: str = "sheet_row", sample: int | None = None) -> DataFrame:
+    """(column, pos, value) of all rows, or of the first `sample` ones."""
+    first = df.orderBy(order).limit(sample) if sample else df
     return first.select(F.col(order).alias("pos"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])).alias("x")).select("x.column", "pos", "x.value")
 
 
-def resolve_digits(cells: DataFrame, year: int) -> DataFrame:
+def resolve_digits(values: DataFrame, year: int) -> DataFrame:
     """(column, digits_are): zip or currency, for columns that hold bare numbers of three to five digits."""
     text = strip(F.col("value"))
-    d = cells.filter(classify_value(F.col("value"), year) == "digits").select("column", text.alias("t"), text.cast("long").alias("n"), F.length(F.regexp_replace(text, "^0+", "")).alias("w"))
+    d = values.filter(classify_value(F.col("value"), year) == "digits").select("column", text.alias("t"), text.cast("long").alias("n"), F.length(F.regexp_replace(text, "^0+", "")).alias("w"))
     found = d.groupBy("column").agg(F.bool_or(F.length("t").isin(4, 5) & F.col("t").startswith("0")).alias("led"), F.bool_or(F.col("n") == 0).alias("zero"), F.bool_and(F.col("w").isin(4, 5)).alias("wide"), F.bool_and(F.col("n") % 100 == 0).alias("round"), F.count("*").alias("k"), (F.max("n") / F.greatest(F.min("n"), F.lit(1))).alias("spread"))
     currency = F.col("zero") | ~F.col("wide") | ((F.col("k") >= 3) & F.col("round")) | (F.col("spread") > ZIP_SPREAD)
     return found.select("column", F.when(F.col("led"), "zip").when(currency, "currency").otherwise("zip").alias("digits_are"))
 
 
-def profile(cells: DataFrame, year: int) -> DataFrame:
+def profile(values: DataFrame, year: int) -> DataFrame:
     """(column, shape, n, share, non_empty, distinct_ratio): the shapes of each column, after columns have settled what digits are."""
-    shaped = cells.withColumn("shape", classify_value(F.col("value"), year)).filter("shape is not null")
+    shaped = values.withColumn("shape", classify_value(F.col("value"), year)).filter("shape is not null")
     whole = shaped.groupBy("column").agg(F.count("*").alias("non_empty"), F.round(F.countDistinct(F.lower(strip(F.col("value")))) / F.count("*"), 4).alias("distinct_ratio"))
-    settled = shaped.join(resolve_digits(cells, year), "column", "left").join(whole, "column")
+    settled = shaped.join(resolve_digits(values, year), "column", "left").join(whole, "column")
     leans = (F.col("non_empty") >= LEAN_ROWS) & (F.col("distinct_ratio") <= LEAN_RATIO)
     shape = F.when(F.col("shape") == "digits", F.col("digits_are")).when((F.col("shape") == "place_name") & leans, "category").otherwise(F.col("shape"))
     return settled.groupBy("column", shape.alias("shape"), "non_empty", "distinct_ratio").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")).withColumn("share", F.round(F.col("n") / F.col("non_empty"), 4))
@@ -86,6 +86,16 @@ def dominant(profiled: DataFrame) -> DataFrame:
     return profiled.groupBy("column").agg(F.max_by(F.struct("shape", "share"), F.struct("n", -F.col("first_pos"))).alias("x")).select("column", "x.shape", "x.share")
 
 
+#: Pairs of shapes that no value tells apart.
+ALIKE = [("place_name", "category"), ("zip", "identifier")]
+
+
+def same_shape(a: Column, b: Column) -> Column:
+    """Whether two shapes are equal or of a pair that values don't tell apart."""
+    pairs = [((a == x) & (b == y)) | ((a == y) & (b == x)) for x, y in ALIKE]
+    return (a == b) | pairs[0] | pairs[1]
+
+
 def fingerprint(profiled: DataFrame) -> DataFrame:
     """(column, target, fingerprint, abstained) for every target."""
     weights = profiled.sparkSession.createDataFrame([(t, s, 1.0 if k == 0 else SECOND_WEIGHT) for t, shapes in TARGET_SHAPES.items() for k, s in enumerate(shapes)], "target string, shape string, weight double")

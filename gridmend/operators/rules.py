@@ -219,6 +219,21 @@ def dq16(df: DataFrame, year: int, tiv: str = "tiv") -> list[Found]:
     return [found("DQ-16", None, off & ~_is_total(df, _label(df).isNotNull()), F.col(tiv))]
 
 
+def total_column(df: DataFrame) -> str | None:
+    """The header in df's map column `unmapped` that reads most like a total insured value and has a number in it."""
+    hint = reduce(lambda w, kv: w.when(F.lower(C.strip(F.col("header"))).contains(kv[1]), kv[0]), list(enumerate(S.TIV_HINTS))[1:], F.when(F.lower(C.strip(F.col("header"))).contains(S.TIV_HINTS[0]), 0))
+    cells = df.select(F.explode("unmapped").alias("header", "value")).withColumn("rank", hint).filter("rank is not null")
+    usable = cells.filter(C.clean_amount(F.col("value"))["value"].isNotNull()).groupBy("header", "rank").agg(F.count("*").alias("n"))
+    best = usable.orderBy("rank", "header").first()  # a row per header
+    return best["header"] if best else None
+
+
+def with_total(df: DataFrame) -> DataFrame:
+    """df with the stated total as column tiv, if one of its unmapped columns is that; DQ-16 reads it."""
+    header = total_column(df) if "unmapped" in df.columns and "tiv" not in df.columns else None
+    return df.withColumn("tiv", F.col("unmapped")[header]) if header else df
+
+
 def _shape() -> Column:
     return F.when(~C.is_null(F.col("year_built")), C.date_shape(C.strip(F.col("year_built"))))
 

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridmend.functions.clean import cell_kind, normalise
+from gridmend.functions.clean import cell_kind, normalise, strip
 
-SCAN, SAMPLE, MIN_SCORE, MIN_UNIQUE = 30, 400, 0.38, 0.25
+SCAN, MIN_SCORE, MIN_UNIQUE, SPARSE = 30, 0.38, 0.25, 0.6
 HEADER_WEIGHTS = {"label_density": 0.25, "fill": 0.10, "uniqueness": 0.15, "type_consistency": 0.25, "vocabulary": 0.25}
 SHEET_WEIGHTS = {"header_density": 0.25, "type_consistency": 0.20, "null_ratio": 0.10, "row_continuity": 0.10, "vocabulary_overlap": 0.25, "data_scale": 0.10}
 FULL_SCALE, N_TARGETS = 1000, 17
+SEPARATOR = " › "
 
 
 def trim_grid(cells: DataFrame) -> DataFrame:
     """Cells with a value, with n_rows and n_cols of their sheet; blank trailing rows and columns don't count."""
-    filled = cells.filter(F.col("value").isNotNull() & (F.trim("value") != ""))
+    filled = cells.filter(F.col("value").isNotNull() & (strip(F.col("value")) != ""))
     size = filled.groupBy("sheet").agg((F.max("row_idx") + 1).alias("n_rows"), (F.max("col_idx") + 1).alias("n_cols"))
     return filled.join(size, "sheet")
 
@@ -28,15 +29,15 @@ def merge_fill(cells: DataFrame, spans: DataFrame) -> DataFrame:
     return cells.join(last, ["sheet", "row_idx", "col_idx"], "full").select("sheet", "row_idx", "col_idx", F.coalesce("_anchor", "value").alias("value"))
 
 
-def type_consistency(grid: DataFrame, starts: DataFrame) -> DataFrame:
-    """(sheet, start, type_consistency): mean share of a column's commonest kind in a strided sample of the rows from start on.
+def type_consistency(grid: DataFrame, starts: DataFrame, sample: int | None = None) -> DataFrame:
+    """(sheet, start, type_consistency): mean share of a column's commonest kind in the rows from start on.
 
-    starts: (sheet, start) with at most SCAN rows a sheet. The stride is fixed by the number of rows, so samples are the same each time.
+    starts: (sheet, start) with at most SCAN rows a sheet. sample: read about so many rows a sheet, at a stride fixed by their number.
     """
-    sized = grid.join(starts, "sheet").filter("row_idx >= start")
-    stride = F.ceil((F.col("n_rows") - F.col("start")) / SAMPLE)
-    body = sized.filter((F.col("row_idx") - F.col("start")) % stride == 0).withColumn("kind", cell_kind(F.col("value")))
-    by_kind = body.groupBy("sheet", "start", "col_idx", "kind").agg(F.count("*").alias("n"))
+    body = grid.join(starts, "sheet").filter("row_idx >= start")
+    if sample:
+        body = body.filter((F.col("row_idx") - F.col("start")) % F.ceil((F.col("n_rows") - F.col("start")) / sample) == 0)
+    by_kind = body.withColumn("kind", cell_kind(F.col("value"))).groupBy("sheet", "start", "col_idx", "kind").agg(F.count("*").alias("n"))
     by_column = by_kind.groupBy("sheet", "start", "col_idx").agg((F.max("n") / F.sum("n")).alias("share"))
     return by_column.groupBy("sheet", "start").agg(F.avg("share").alias("type_consistency"))
 
@@ -61,9 +62,54 @@ def detect_headers(candidates: DataFrame) -> DataFrame:
     return best.select("sheet", F.col("x.row_idx").alias("header_row"), F.round("x.score", 3).alias("score")).filter(F.col("score") >= MIN_SCORE)
 
 
-def header_names(grid: DataFrame, headers: DataFrame) -> DataFrame:
-    """(sheet, col_idx, name): header texts, with (n) behind the n-th repeat of a name."""
-    row = grid.join(headers, "sheet").filter("row_idx = header_row").select("sheet", "col_idx", F.trim(F.regexp_replace("value", r"\s+", " ")).alias("name"))
+def sub_headers(grid: DataFrame, matches: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """(sheet, row_idx) of the first rows whose next row is a second line of the header.
+
+    Such a row is sparse beside the one above, all labels, and under a merged range (sheet, r0, c0, r1, c1) of it or naming a target.
+    """
+    top = grid.filter(F.col("row_idx") <= SCAN).join(matches, "value", "left")
+    rows = top.groupBy("sheet", "row_idx").agg(F.count("*").alias("filled"), F.bool_and(cell_kind(F.col("value")) == "text").alias("labels"), F.bool_or(F.col("target").isNotNull()).alias("named"))
+    below = rows.select("sheet", (F.col("row_idx") - 1).alias("row_idx"), F.col("filled").alias("_filled"), "labels", "named")
+    pairs = rows.select("sheet", "row_idx", "filled").join(below, ["sheet", "row_idx"]).filter((F.col("_filled") <= SPARSE * F.col("filled")) & F.col("labels"))
+    if spans is None:
+        return pairs.filter("named").select("sheet", "row_idx")
+    wide = spans.filter("c1 > c0").select(F.col("sheet").alias("_sheet"), "r0", "c0", "r1", "c1")
+    cells = top.select("sheet", (F.col("row_idx") - 1).alias("row_idx"), "col_idx")
+    under = cells.join(wide, (F.col("sheet") == F.col("_sheet")) & F.col("row_idx").between(F.col("r0"), F.col("r1")) & F.col("col_idx").between(F.col("c0"), F.col("c1")))
+    banner = under.select("sheet", "row_idx", F.lit(True).alias("banner")).distinct()
+    return pairs.join(banner, ["sheet", "row_idx"], "left").filter("named or banner").select("sheet", "row_idx")
+
+
+def header_blocks(grid: DataFrame, candidates: DataFrame, matches: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """(sheet, header_row, composite, data_start, score): the header of each sheet that has one, from its top row on.
+
+    The best candidate may be the second line of a header: as long as the row above is a candidate and has it as such, that one is
+    taken. Data start at the next row that holds anything.
+    """
+    subs = sub_headers(grid, matches, spans).groupBy("sheet").agg(F.collect_set("row_idx").alias("_subs"))  # at most SCAN rows a sheet
+    known = candidates.groupBy("sheet").agg(F.map_from_entries(F.collect_list(F.struct("row_idx", "score"))).alias("_scores"))
+    found = detect_headers(candidates).select("sheet", "header_row").join(known, "sheet").join(subs, "sheet", "left")
+    found = found.withColumn("_subs", F.coalesce("_subs", F.array().cast("array<int>")))
+    climb = lambda row, _: F.when(F.map_contains_key("_scores", row - 1) & F.array_contains("_subs", row - 1), row - 1).otherwise(row)
+    found = found.withColumn("header_row", F.aggregate(F.sequence(F.lit(1), F.lit(SCAN)), F.col("header_row"), climb))
+    found = found.select("sheet", "header_row", F.array_contains("_subs", F.col("header_row")).alias("composite"), F.round(F.col("_scores")[F.col("header_row")], 3).alias("score"))
+    after = F.col("row_idx") > F.col("header_row") + F.col("composite").cast("int")
+    starts = grid.join(found, "sheet").groupBy("sheet").agg(F.min(F.when(after, F.col("row_idx"))).alias("_next"), F.max("n_rows").alias("_n"))
+    return found.join(starts, "sheet").select("sheet", "header_row", "composite", F.coalesce("_next", "_n").alias("data_start"), "score")
+
+
+def header_names(grid: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(sheet, col_idx, name) of every column: top and second line joined, a placeholder for none, (n) behind the n-th repeat."""
+    if "composite" not in blocks.columns:
+        blocks = blocks.withColumn("composite", F.lit(False))
+    line = lambda k: F.max(F.when(F.col("row_idx") == F.col("header_row") + k, F.trim(F.regexp_replace("value", r"(?U)\s+", " "))))
+    cells = grid.join(blocks.select("sheet", "header_row", "composite"), "sheet")
+    lines = cells.filter(F.col("row_idx").between(F.col("header_row"), F.col("header_row") + F.col("composite").cast("int")))
+    lines = lines.groupBy("sheet", "col_idx").agg(line(0).alias("_top"), line(1).alias("_sub"))
+    columns = cells.groupBy("sheet").agg(F.max("n_cols").alias("_n")).select("sheet", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("col_idx"))
+    both = F.when(normalise(F.col("_top")) == normalise(F.col("_sub")), F.col("_sub")).otherwise(F.concat("_top", F.lit(SEPARATOR), "_sub"))
+    name = F.coalesce(both, "_sub", "_top", F.concat(F.lit("Unnamed_"), F.col("col_idx") + 1))
+    row = columns.join(lines, ["sheet", "col_idx"], "left").select("sheet", "col_idx", name.alias("name"))
     again = F.row_number().over(Window.partitionBy("sheet", "name").orderBy("col_idx"))
     return row.withColumn("_n", again).select("sheet", "col_idx", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.format_string("%s (%d)", "name", "_n")).alias("name"))
 

@@ -80,21 +80,24 @@ def transform(df: DataFrame, findings: DataFrame, recs: DataFrame, sources: dict
     ops = F.coalesce("ops", F.array().cast(joined.schema["ops"].dataType))
     joined = joined.withColumn("ops", ops).withColumn("excluded", F.exists("ops", lambda o: o["final_op"] == "exclude_row"))
     step = lambda acc, o: apply_op(o["final_op"], acc, o["after"])
-    of = lambda field: F.filter("ops", lambda o: o["field"].eqNullSafe(F.lit(field)) & (o["final_op"] != "exclude_row"))
-    own = {f: of(f) for f in S.FIELD_NAMES}
-    folded = {f"_new_{S.COLUMN_OF[f]}": F.when(F.size(found) > 0, F.aggregate(found, F.col(S.COLUMN_OF[f]), step)).otherwise(F.col(S.COLUMN_OF[f])) for f, found in own.items()}
-    done = written(joined.withColumns(folded), "transformed")
-    cleaned = done.filter("not excluded").select("sheet_row", *[F.col(f"_new_{c}").alias(c) for c in S.COLUMNS])
-
-    def change(f: str) -> Column:
-        before, after, last = F.col(S.COLUMN_OF[f]), F.col(f"_new_{S.COLUMN_OF[f]}"), F.element_at(own[f], -1)
-        source = F.lit((sources or {}).get(f)).cast("string")
-        entry = F.struct(F.lit(f).alias("field"), source.alias("source_column"), F.array_join(F.transform(own[f], lambda o: o["final_op"]), ",").alias("operation"), C.render(before).alias("before"), C.render(after).alias("after"), last["reviewer"].alias("approved_by"))
-        return F.when(~before.eqNullSafe(after), entry)
 
+    def folded(cell: Column) -> Column:
+        own = F.filter("ops", lambda o: o["field"].eqNullSafe(cell["field"]) & (o["final_op"] != "exclude_row"))
+        return F.struct(cell["field"].alias("field"), cell["before"].alias("before"), F.aggregate(own, cell["before"], step).alias("after"), own.alias("own"))
+
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(S.COLUMN_OF[f]).alias("before")) for f in S.FIELD_NAMES])
+    done = written(joined.select("sheet_row", "ops", "excluded", F.transform(cells, folded).alias("cells")), "transformed")
+    cleaned = done.filter("not excluded").select("sheet_row", *[F.col("cells")[k]["after"].alias(c) for k, c in enumerate(S.COLUMNS)])
+    known = F.create_map(*[F.lit(x) for f in S.FIELD_NAMES for x in (f, (sources or {}).get(f, ""))])
+
+    def entry(cell: Column) -> Column:
+        source = F.nullif(known[cell["field"]], F.lit(""))
+        return F.struct(cell["field"].alias("field"), source.alias("source_column"), F.array_join(F.transform(cell["own"], lambda o: o["final_op"]), ",").alias("operation"), C.render(cell["before"]).alias("before"), C.render(cell["after"]).alias("after"), F.element_at(cell["own"], -1)["reviewer"].alias("approved_by"))
+
+    changed = F.transform(F.filter("cells", lambda x: ~x["before"].eqNullSafe(x["after"])), entry)
     out = F.filter("ops", lambda o: o["final_op"] == "exclude_row")
     excluded = F.transform(out, lambda o: F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("source_column"), F.lit("exclude_row").alias("operation"), F.lit("row").alias("before"), F.lit("(excluded)").alias("after"), o["reviewer"].alias("approved_by")))
-    entries = F.when(F.col("excluded"), excluded).otherwise(F.array_compact(F.array(*[change(f) for f in S.FIELD_NAMES])))
+    entries = F.when(F.col("excluded"), excluded).otherwise(changed)
     audit = done.filter(F.size("ops") > 0).select("sheet_row", F.inline(entries))
     return cleaned, audit.withColumn("changed_at", F.lit(at).cast("string"))
 

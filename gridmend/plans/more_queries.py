@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,22 +11,13 @@ from gridmend.operators import memory, profile, sheets, verify
 from gridmend.plans import oracle as O
 from gridmend.plans.fixture import SOV_SQL, frame
 from gridmend.plans.registry import YEAR, findings_of, on_frame, query
+from gridmend.scratch import scratch, written
 from gridmend.sources import grid as G
 from gridmend.streaming import rules as stream_rules
 
 FIELDS = O.COLS
 
 
-@cache
-def _local(app: str) -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local(spark.sparkContext.applicationId)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 _t = O.strip("value")
 _digits = f"regexp_replace({_t}, '[^0-9.]', '', 'g')"
 _n = f"(CASE WHEN regexp_matches({_t}, '^[\\s$£€]*\\(?-?[0-9,]+(\\.[0-9]+)?\\)?\\s*$') AND regexp_matches({_digits}, '[0-9]') THEN TRY_CAST({_digits} AS DOUBLE) * CASE WHEN regexp_matches({_t}, '^\\(|\\)$|^-') THEN -1 ELSE 1 END END)"
@@ -43,7 +30,7 @@ CLASS = f"""CASE WHEN value IS NULL OR {_t} = '' OR lower({_t}) IN {O.among(S.PR
  WHEN regexp_matches({_t}, '^[A-Za-z][A-Za-z\\s.''\\-]{{1,40}}$') THEN 'place_name' WHEN regexp_matches({_t}, '^[\\w\\-/.]+$') THEN 'identifier' ELSE 'category' END"""
 _LONG = "cells AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", sheet_row AS pos, {c} AS value FROM {{src}}" for c in FIELDS) + ")"
 _ALL = _LONG.replace("{src}", "sov")
-_FIRST = "s200 AS (SELECT * FROM sov ORDER BY sheet_row LIMIT 200), " + _LONG.replace("{src}", "s200") + f", shaped AS (SELECT *, {CLASS} AS shape FROM cells)"
+_FIRST = _ALL + f", shaped AS (SELECT *, {CLASS} AS shape FROM cells)"
 _WIDTH = f"length(regexp_replace({_t}, '^0+', ''))"
 _DIGITS = f"""dig AS (SELECT "column", CASE WHEN bool_or(length({_t}) IN (4, 5) AND starts_with({_t}, '0')) THEN 'zip' WHEN bool_or(CAST({_t} AS BIGINT) = 0) OR NOT bool_and({_WIDTH} IN (4, 5)) OR count(*) >= 3 AND bool_and(CAST({_t} AS BIGINT) % 100 = 0) OR max(CAST({_t} AS BIGINT)) / greatest(min(CAST({_t} AS BIGINT)), 1) > 120 THEN 'currency' ELSE 'zip' END AS digits_are FROM shaped WHERE shape = 'digits' GROUP BY "column")"""
 _PROFILE = f"""w AS (SELECT "column", count(*) AS non_empty, round(count(DISTINCT lower({_t})) / count(*), 4) AS distinct_ratio FROM shaped WHERE shape IS NOT NULL GROUP BY "column"),
@@ -54,7 +41,7 @@ _FP = """fp AS (SELECT c."column", ts.target, CASE WHEN c.non_empty < 3 THEN 0.0
 
 
 def _cells(df: DataFrame) -> DataFrame:
-    return profile.sample_cells(df, FIELDS)
+    return profile.cells(df, FIELDS)
 
 
 on_frame("classify_value", O.with_(f'SELECT "column", pos, {CLASS} AS shape FROM cells', _ALL))(
@@ -66,18 +53,18 @@ on_frame("dominant_shape", O.with_('SELECT "column", shape, share FROM (SELECT *
 on_frame("fingerprint_score", O.with_("SELECT * FROM fp", _FIRST, _DIGITS, _PROFILE, _SHAPES, _FP))(lambda df: profile.fingerprint(profile.profile(_cells(df), YEAR)))
 
 # scores that the orders' own figures stand for: two channels in 0..1, one of them silent for some orders
-_CH = "ch AS (SELECT o_orderkey, (o_orderkey % 101) / 100.0::DOUBLE AS lex, (o_custkey % 97) / 96.0::DOUBLE AS fin, o_orderkey % 7 = 0 AS silent FROM orders), fu AS (SELECT *, round((0.3 * lex + CASE WHEN silent THEN 0 ELSE 0.35 * fin END)::DOUBLE / (0.3 + CASE WHEN silent THEN 0 ELSE 0.35 END)::DOUBLE, 4) AS fused FROM ch)"
+_CH = "ch AS (SELECT o_orderkey, (o_orderkey % 101) / 103.0::DOUBLE AS lex, (o_custkey % 97) / 107.0::DOUBLE AS fin, o_orderkey % 7 = 0 AS silent FROM orders), fu AS (SELECT *, round((0.3 * lex + CASE WHEN silent THEN 0 ELSE 0.35 * fin END)::DOUBLE / (0.3 + CASE WHEN silent THEN 0 ELSE 0.35 END)::DOUBLE, 4) AS fused FROM ch)"
 
 
 def _channels(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
-    ch = o.select("o_orderkey", ((F.col("o_orderkey") % 101) / 100.0).alias("lex"), ((F.col("o_custkey") % 97) / 96.0).alias("fin"), (F.col("o_orderkey") % 7 == 0).alias("silent"))
+    ch = o.select("o_orderkey", ((F.col("o_orderkey") % 101) / 103.0).alias("lex"), ((F.col("o_custkey") % 97) / 107.0).alias("fin"), (F.col("o_orderkey") % 7 == 0).alias("silent"))
     return ch.withColumn("fused", M.fuse(F.col("lex"), F.col("fin"), F.col("silent")))
 
 
-query("fuse_scores")(lambda spark, d: _channels(spark, d).select("o_orderkey", F.round("fused", 3).alias("fused")))
-query("margin_confidence", "WITH x AS (SELECT o_orderkey, (o_orderkey % 101)::DOUBLE / 100 AS fused, (o_custkey % 50)::DOUBLE / 100 AS margin FROM orders) SELECT o_orderkey, round(fused * (1 - 0.35::DOUBLE * (1 - least(margin / 0.2::DOUBLE, 1))), 8) AS confidence FROM x WHERE o_orderkey % 100 > 0")(
-    lambda spark, d: spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 100 > 0").select("o_orderkey", F.round((F.col("o_orderkey") % 101) / 100 * (1 - M.MARGIN_PENALTY * (1 - F.least((F.col("o_custkey") % 50) / 100 / M.MARGIN_FULL, F.lit(1.0)))), 8).alias("confidence"))
+query("fuse_scores", f"WITH {_CH} SELECT o_orderkey, fused FROM fu")(lambda spark, d: _channels(spark, d).select("o_orderkey", "fused"))
+query("margin_confidence", "WITH x AS (SELECT o_orderkey, (o_orderkey % 101)::DOUBLE / 100 AS fused, (o_custkey % 47 - 5)::DOUBLE / 97 AS margin FROM orders) SELECT o_orderkey, round(fused * (1 - 0.35::DOUBLE * (1 - least(greatest(margin, 0) / 0.2::DOUBLE, 1))), 4) AS confidence FROM x")(
+    lambda spark, d: spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", M.margin_confidence((F.col("o_orderkey") % 101).cast("double") / 100, (F.col("o_custkey") % 47 - 5).cast("double") / 97).alias("confidence"))
 )
 query("flag_bands", "SELECT o_orderkey, CASE WHEN o_custkey % 11 = 0 OR o_orderkey % 101 < 50 THEN 'required' WHEN o_orderkey % 101 >= 85 THEN 'auto' ELSE 'suggested' END AS flag FROM orders")(
     lambda spark, d: spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", M.review_flag((F.col("o_orderkey") % 101).cast("double") / 100, F.when(F.col("o_custkey") % 11 != 0, "City")).alias("flag"))
@@ -105,7 +92,7 @@ _FILLED = "g AS (SELECT * FROM (SELECT *, max(row_idx) OVER (PARTITION BY sheet)
 query("trim_grid", f"{_GRID_DUCK}, {_FILLED} SELECT sheet, row_idx, col_idx, value, n_rows, n_cols FROM g")(lambda spark, d: sheets.trim_grid(cells_of(spark, d)).select("sheet", "row_idx", "col_idx", "value", "n_rows", "n_cols"))
 _k = O.strip("value")
 _KIND = f"CASE WHEN regexp_matches({_k}, '^[(\\-+]?\\s*[$€£¥]?\\s*[0-9]{{1,3}}(?:,[0-9]{{3}})*(?:\\.[0-9]+)?\\s*%?\\s*\\)?$|^[(\\-+]?\\s*[$€£¥]?\\s*[0-9]+(?:\\.[0-9]+)?\\s*%?\\s*\\)?$') THEN 'number' ELSE 'text' END"
-_STEADY = f"SELECT sheet, round(avg(share), 6) AS type_consistency FROM (SELECT sheet, col_idx, max(n) / sum(n) AS share FROM (SELECT sheet, col_idx, {_KIND} AS kind, count(*) AS n FROM g WHERE row_idx >= 3 AND (row_idx - 3) % CAST(ceil((n_rows - 3) / 400.0) AS INT) = 0 GROUP BY ALL) GROUP BY sheet, col_idx) GROUP BY sheet"
+_STEADY = f"SELECT sheet, round(avg(share), 6) AS type_consistency FROM (SELECT sheet, col_idx, max(n) / sum(n) AS share FROM (SELECT sheet, col_idx, {_KIND} AS kind, count(*) AS n FROM g WHERE row_idx >= 3 GROUP BY ALL) GROUP BY sheet, col_idx) GROUP BY sheet"
 query("type_consistency", f"{_GRID_DUCK}, {_FILLED} {_STEADY}")(
     lambda spark, d: sheets.type_consistency(g := sheets.trim_grid(cells_of(spark, d)), g.select("sheet", F.lit(3).alias("start")).distinct()).select("sheet", F.round("type_consistency", 6).alias("type_consistency"))
 )
@@ -120,21 +107,47 @@ query("merge_fill", f"{_GRID_DUCK} SELECT sheet, row_idx, col_idx, CASE WHEN row
 )
 
 
+# the same schedules, but each nation's sheet has its header elsewhere, in other words and in another order, a third of them in two lines
+_WORDS = [HEADERS, ["Location ID", "Address Line 1", "Town", "Province", "Postal Code", "Building Limit", "Contents Limit", "Floors", "Year Constructed"]]
+_VALUES = (5, 6)
+
+
+def varied_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Titles in rows 0 to n - 1, the header in row n, for nation n; a last column has no header."""
+    nation = spark.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") + 2).cast("long").alias("sheet_row"), F.col("c_nationkey").cast("int").alias("n"))
+    place = F.row_number().over(Window.partitionBy("n").orderBy("sheet_row"))
+    two = (F.col("n") % 3 == 0).cast("int")
+    body = frame(spark, d).join(nation, "sheet_row").withColumn("row_idx", place + F.col("n") + two)
+    cell = lambda row, col, value: F.struct(row.cast("int").alias("row_idx"), col.cast("int").alias("col_idx"), value.cast("string").alias("value"))
+    at = lambda k: (F.lit(k) + F.col("n")) % 9
+    name = lambda k: F.when(F.col("n") % 2 == 0, _WORDS[0][k]).otherwise(_WORDS[1][k])
+    own = F.array(*[cell(F.col("row_idx"), at(k), F.col(c)) for k, c in enumerate(_GRID_COLS)], cell(F.col("row_idx"), F.lit(9), F.lit("see file")))
+    top = [cell(F.col("n"), at(k), F.when(two == 1, "Values").otherwise(name(k)) if k in _VALUES else name(k)) for k in range(9)]
+    sub = F.when(two == 1, F.array(*[cell(F.col("n") + 1, at(k), name(k)) for k in _VALUES])).otherwise(F.array().cast("array<struct<row_idx:int,col_idx:int,value:string>>"))
+    titles = F.transform(F.filter(F.sequence(F.lit(0), F.col("n")), lambda r: r < F.col("n")), lambda r: cell(r, F.lit(0), F.concat(F.lit("Part "), r.cast("string"))))
+    first = F.col("row_idx") == F.col("n") + two + 1
+    return body.select(F.col("n").cast("string").alias("sheet"), F.inline(F.when(first, F.concat(own, F.array(*top), sub, titles)).otherwise(own)))
+
+
+_SHEETS = "s AS (SELECT DISTINCT c_nationkey AS n, c_nationkey % 3 = 0 AS composite FROM customer), k AS (SELECT n, composite, (k + n) % 9 AS col_idx, k, target, CASE WHEN n % 2 = 0 THEN a ELSE b END AS h FROM s, (VALUES " + ", ".join(f"({k}, '{a}', '{b}', '{t}')" for k, (a, b, t) in enumerate(zip(*_WORDS, ["Reference", "Address", "City", "State", "Zip", "Building Value", "Contents", "Storeys", "Year Built"]))) + ") x(k, a, b, target))"
+
+
 def _matches(spark: SparkSession, grid: DataFrame) -> DataFrame:
     return M.match_target(grid.filter(F.col("row_idx") < sheets.SCAN).select("value"), M.glossary(spark))
 
 
 def _located(spark: SparkSession, d: str):
-    """(grid, matches, headers), each kept while the query runs as several steps read it."""
-    grid = sheets.trim_grid(cells_of(spark, d)).persist()
-    matches = _matches(spark, grid).persist()
-    return grid, matches, sheets.detect_headers(sheets.header_candidates(grid, matches)).persist()
+    """(grid, matches, header blocks) of the varied sheets, each written, as several steps read them."""
+    grid = written(sheets.trim_grid(varied_cells(spark, d)), "grid")
+    matches = written(_matches(spark, grid), "matches")
+    spans = grid.filter("col_idx = 0").select("sheet", F.lit(-1).alias("r0"), F.lit(0).alias("c0"), F.lit(-1).alias("r1"), F.lit(0).alias("c1")).distinct()
+    return grid, matches, written(sheets.header_blocks(grid, written(sheets.header_candidates(grid, matches), "candidates"), matches, spans), "blocks")
 
 
 query("match_target")(lambda spark, d: _matches(spark, cells_of(spark, d)))
 query("header_candidates")(lambda spark, d: sheets.header_candidates(g := sheets.trim_grid(cells_of(spark, d)), _matches(spark, g)))
-query("detect_headers", "SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS sheet, 2 AS header_row FROM customer")(lambda spark, d: _located(spark, d)[2].select("sheet", "header_row"))
-query("header_names", "SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS sheet, k AS col_idx, h AS name FROM customer, (VALUES " + ", ".join(f"({k}, '{h}')" for k, h in enumerate(HEADERS)) + ") t(k, h)")(
+query("detect_headers", f"WITH {_SHEETS} SELECT CAST(n AS VARCHAR) AS sheet, n AS header_row, composite, n + CASE WHEN composite THEN 2 ELSE 1 END AS data_start FROM s")(lambda spark, d: _located(spark, d)[2].select("sheet", "header_row", "composite", "data_start"))
+query("header_names", f"WITH {_SHEETS} SELECT CAST(n AS VARCHAR) AS sheet, col_idx, CASE WHEN composite AND k IN (5, 6) THEN 'Values › ' || h ELSE h END AS name FROM k UNION ALL SELECT CAST(n AS VARCHAR), 9, 'Unnamed_10' FROM s")(
     lambda spark, d: (lambda g, m, h: sheets.header_names(g, h))(*_located(spark, d))
 )
 query("sheet_scores")(lambda spark, d: (lambda g, m, h: sheets.sheet_scores(g, h, m))(*_located(spark, d)))
@@ -142,33 +155,28 @@ query("classify_sheets")(lambda spark, d: (lambda g, m, h: sheets.classify_sheet
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence for every column of every nation's sheet: header against glossary, a sample of values against shapes."""
-    cells = cells_of(spark, d).persist()
-    heads = cells.filter("row_idx = 2").select("sheet", F.col("col_idx").alias("column_idx"), F.col("value").alias("header"))
-    body = cells.filter("row_idx between 3 and 202").select(F.concat_ws("/", "sheet", "col_idx").alias("column"), F.col("row_idx").alias("pos"), "value")
-    fits = profile.fingerprint(profile.profile(body, YEAR)).select(F.split("column", "/")[0].alias("sheet"), F.split("column", "/")[1].cast("int").alias("column_idx"), "target", "fingerprint", "abstained")
-    named = M.lexical(heads, M.glossary(spark)).select("header", "target", "ordinal", "lexical", "exact")
-    out = heads.join(named, "header").join(fits, ["sheet", "column_idx", "target"], "left")
-    out = out.fillna({"fingerprint": 0.0, "abstained": True})
-    return out.withColumn("fused", M.fuse(F.col("lexical"), F.col("fingerprint"), F.col("abstained"))).withColumn("semantic", F.lit(None).cast("double")).persist()
-
-
-_TRUE = ["Reference", "Address", "City", "State", "Zip", "Building Value", "Contents", "Storeys", "Year Built"]
+    """Evidence for every column of every sheet: header against glossary, all values against shapes."""
+    grid, _, blocks = _located(spark, d)
+    heads = sheets.header_names(grid, blocks).select("sheet", F.col("col_idx").alias("column_idx"), F.col("name").alias("header"))
+    body = grid.join(blocks.select("sheet", "data_start"), "sheet").filter("row_idx >= data_start").select("sheet", F.col("col_idx").alias("column_idx"), F.col("row_idx").alias("pos"), "value")
+    return written(M.build_evidence(heads, body, M.glossary(spark), YEAR), "evidence")
+
+
 query("lexical_match")(lambda spark, d: M.lexical(cells_of(spark, d).filter("row_idx = 2").select(F.col("value").alias("header")), M.glossary(spark)))
-query("assign", "SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS sheet, k AS column_idx, t AS target FROM customer, (VALUES " + ", ".join(f"({k}, {O.quoted(t)})" for k, t in enumerate(_TRUE)) + ") x(k, t)")(
-    lambda spark, d: M.assign(_evidence(spark, d)).select("sheet", "column_idx", "target")
+query("assign", f"WITH {_SHEETS} SELECT CAST(n AS VARCHAR) AS sheet, col_idx AS column_idx, target FROM k UNION ALL SELECT CAST(n AS VARCHAR), 9, NULL FROM s")(lambda spark, d: M.assign(_evidence(spark, d)).select("sheet", "column_idx", "target"))
+query("map_columns", f"WITH {_SHEETS} SELECT CAST(n AS VARCHAR) AS sheet, col_idx AS column_idx, target, CASE WHEN composite AND k IN (5, 6) THEN 'fused' ELSE 'exact' END AS method FROM k UNION ALL SELECT CAST(n AS VARCHAR), 9, NULL, 'unresolved' FROM s")(
+    lambda spark, d: M.map_columns(_evidence(spark, d)).select("sheet", "column_idx", "target", "method")
 )
+query("mapping_block", f"WITH {_SHEETS} SELECT CAST(n AS VARCHAR) AS sheet, CAST(9 AS BIGINT) AS resolved, CAST(1 AS BIGINT) AS unresolved FROM s")(lambda spark, d: M.mapping_block(M.map_columns(_evidence(spark, d))).select("sheet", "resolved", "unresolved"))
+query("mapping_confidence")(lambda spark, d: M.mapping_block(M.map_columns(_evidence(spark, d))))
+query("unmapped_targets", f"WITH {_SHEETS} SELECT CAST(n AS VARCHAR) AS sheet, t AS target FROM s, (VALUES " + ", ".join(f"({O.quoted(t)})" for t in S.FIELD_NAMES) + ") x(t) WHERE t NOT IN (SELECT target FROM k)")(lambda spark, d: M.unmapped_targets(M.map_columns(_evidence(spark, d))))
 
 
-@query("mapping_block")
-def mapping_block(spark: SparkSession, d: str) -> DataFrame:
-    """Per sheet: resolved columns, their mean confidence, and how many need review."""
-    evidence = _evidence(spark, d)
-    chosen = M.assign(evidence).join(evidence.select("sheet", "column_idx", "target", "exact", "fingerprint"), ["sheet", "column_idx", "target"], "left")
-    base = M.margin_confidence(F.col("fused"), F.col("margin"))
-    confidence = F.when(F.col("target").isNull(), 0.0).otherwise(M.exact_boost(base, F.col("fused"), F.coalesce("exact", F.lit(False)), F.coalesce("fingerprint", F.lit(0.0))))
-    rows = chosen.withColumn("confidence", confidence).withColumn("flag", M.review_flag(F.col("confidence"), F.col("target")))
-    return rows.groupBy("sheet").agg(F.count("target").alias("resolved"), F.round(F.avg(F.when(F.col("target").isNotNull(), F.col("confidence"))), 4).alias("confidence"), F.count_if(F.col("flag") == "required").alias("required"))
+@query("mapping_issues", f"WITH {_SHEETS} SELECT CAST(n AS VARCHAR) AS sheet, rule, CAST(NULL AS VARCHAR) AS field, severity FROM s, (VALUES ('mapping_requires_review', 'High'), ('semantic_channel_unavailable', 'Medium')) x(rule, severity)")
+def mapping_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Issues that don't depend on how close scores are: the column without a header, and the channel that is not there."""
+    mappings = written(M.map_columns(_evidence(spark, d)), "mappings")
+    return M.mapping_issues(mappings, mappings, model=True).filter("field is null")
 
 
 _QUERIES = "q AS (SELECT label AS query_id, embedding AS query FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k = 1), p AS (SELECT query_id, vec_id, round(list_cosine_similarity(query::DOUBLE[], embedding::DOUBLE[]), 6) AS similarity FROM embeddings, q)"
@@ -179,10 +187,15 @@ def _label_queries(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("query"))
 
 
-@query("nearest_decisions", f"WITH {_QUERIES} SELECT query_id, vec_id, rank, round(similarity, 4) AS similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INT) AS rank FROM p) WHERE rank <= 5")
+_TWENTIETH = "q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT query_id, vec_id, round(list_cosine_similarity(query::DOUBLE[], embedding::DOUBLE[]), 6) AS similarity FROM embeddings, q)"
+
+
+@query("nearest_decisions", f"WITH {_TWENTIETH} SELECT query_id, vec_id, rank, round(similarity, 4) AS similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INT) AS rank FROM p) WHERE rank <= 5")
 def nearest_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Queries are the rows whose id is divisible by 20, against all rows."""
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    return memory.nearest(_label_queries(rows), rows).withColumn("similarity", F.round("similarity", 4))
+    queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return memory.nearest(queries, rows).withColumn("similarity", F.round("similarity", 4))
 
 
 @query("semantic_matrix", f"WITH {_QUERIES} SELECT query_id, vec_id, round(greatest(0.0, least(1.0, (similarity - 0.35) / 0.45)), 4) AS score FROM p")
@@ -238,10 +251,10 @@ def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     return rules.duplicate_groups(frame(spark, d))
 
 
-def _suffix(spark: SparkSession, d: str) -> DataFrame:
+@query("header_suffix", "SELECT p_brand AS sheet, p_partkey AS col_idx, CASE WHEN n = 1 THEN p_type ELSE p_type || ' (' || n || ')' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS n FROM part)")
+def header_suffix(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of each brand as the header of a sheet; columns that no part has are left out."""
     p = spark.read.parquet(f"{d}/part.parquet")
-    n = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey"))
-    return p.select("p_partkey", F.when(n == 1, F.col("p_type")).otherwise(F.format_string("%s (%d)", "p_type", n)).alias("name"))
-
-
-query("header_suffix", "SELECT p_partkey, CASE WHEN n = 1 THEN p_type ELSE p_type || ' (' || n || ')' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS n FROM part)")(_suffix)
+    grid = sheets.trim_grid(p.select(F.col("p_brand").alias("sheet"), F.lit(0).alias("row_idx"), F.col("p_partkey").cast("int").alias("col_idx"), F.col("p_type").alias("value")))
+    names = sheets.header_names(grid, grid.select("sheet", F.lit(0).alias("header_row")).distinct())
+    return names.filter("name not like 'Unnamed~_%' escape '~'").withColumn("col_idx", F.col("col_idx").cast("long"))

@@ -151,5 +151,5 @@ def test_assignment_is_optimal():
 
 def test_digits_of_zips_and_amounts(spark):
     df = table(spark, a=["29640"] * 3, b=["1000", "20000", "500"], c=["02110", "1", "7"])
-    got = {r["column"]: r["digits_are"] for r in profile.resolve_digits(profile.sample_cells(df, ["a", "b", "c"]), 2026).collect()}
+    got = {r["column"]: r["digits_are"] for r in profile.resolve_digits(profile.cells(df, ["a", "b", "c"]), 2026).collect()}
     assert got["a"] == "zip" and got["b"] == "currency"
