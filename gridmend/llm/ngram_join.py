@@ -35,7 +35,7 @@ from .components import connected
 from .textarrays import Words, mix, shingles, texts
 
 N, THRESHOLD, RECALL = 5, (4, 5), 0.9995
-MAX_HASHES, BLOCK = 128, 256
+MAX_HASHES, BLOCK = 128, 128
 #: Columns of a matrix of sets at once; pairs that are few enough to be compared one by one.
 _COLUMNS, _FEW = 1 << 12, 500
 _U = np.uint64
