@@ -38,18 +38,16 @@ def test_byte_bpe_is_the_library_s():
     assert got == [library.encode_ordinary(t) for t in cases]
 
 
-def test_scan_equals_pattern_on_every_code_point():
-    import regex
-
-    for c in range(1, 0x30000, 7):
-        if not 0xD800 <= c < 0xE000:
-            t = f"{chr(c)}a{chr(c)} {chr(c)}1{chr(c)}"
-            raw = np.frombuffer(t.encode(), np.uint8)
-            starts = pretokens.pieces(raw, np.array([0, len(raw)])).tolist()
-            want = [len(t[: m.start()].encode()) for m in regex.finditer(token_counts.PIECES, t)]
-            assert starts == want, hex(c)
-            if c > 3000:
-                break
+def test_every_code_point_is_cut_as_the_library_does():
+    """The libraries' own tables of letters and numbers, so the versions of Unicode agree."""
+    own = byte_bpe.ranks(RANKS)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}, special_tokens={})
+    points = [c for c in [*range(1, 0x32400), *range(0xE0000, 0xE0200), 0x10FFFF] if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 20000):
+        cases = [f"{chr(c)}a{chr(c)} {chr(c)}1{chr(c)}" for c in points[k : k + 20000]]
+        for _, _, raw, offsets in texts(pa.array(cases), 1 << 30):
+            ids, ends = own.encode(raw, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == library.encode_ordinary_batch(cases, num_threads=2)
 
 
 def test_token_counts_are_the_library_s():
