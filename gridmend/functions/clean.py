@@ -19,14 +19,20 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE))
 
 
-def is_null(c: Column, tokens: list[str] = S.NULL_TOKENS) -> Column:
-    return c.isNull() | F.lower(strip(c)).isin(tokens)
-
-
 def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def among(values: list[str]) -> str:
+    """A list for SQL's IN, which is parsed at once where isin makes a column of each value."""
+    return "(" + ", ".join(map(quoted, values)) + ")"
+
+
+def is_null(column: str) -> Column:
+    """Whether a column's cell holds nothing, or a word for nothing."""
+    return F.expr(f"`{column}` is null or lower(btrim(`{column}`, {quoted(WHITE)})) in {among(S.NULL_TOKENS)}")
+
+
 def lookup(key: Column, entries: dict[str, str]) -> Column:
     """The entry of a key, else null. A literal map of a fixed table, parsed at once."""
     return F.expr("map(" + ", ".join(quoted(x) for pair in entries.items() for x in pair) + ")")[key]
@@ -41,7 +47,7 @@ def amount_steps(c: Column, tag: str) -> list[dict[str, Column]]:
     bracketed = at("text").startswith("(") & at("text").endswith(")") & (F.length(at("text")) > 1)
     return [
         {f"_text_{tag}": strip(c)},
-        {f"_inner_{tag}": F.when(bracketed, F.substring(at("text"), F.lit(2), F.length(at("text")) - 2)).otherwise(at("text")), f"_empty_{tag}": at("text").isNull() | F.lower(at("text")).isin(S.NULL_TOKENS)},
+        {f"_inner_{tag}": F.when(bracketed, F.substring(at("text"), F.lit(2), F.length(at("text")) - 2)).otherwise(at("text")), f"_empty_{tag}": at("text").isNull() | F.expr(f"lower(_text_{tag}) in {among(S.NULL_TOKENS)}")},
         {f"_bare_{tag}": F.translate(at("inner"), MARKS + WHITE, "")},
         {f"_number_{tag}": F.when(~at("empty"), F.regexp_extract(F.when(at("bare").startswith("-"), F.substring(at("bare"), 2, 1 << 30)).otherwise(at("bare")), r"^(-?[0-9]+(\.[0-9]+)?)$", 1).try_cast("double"))},
         {
@@ -58,7 +64,7 @@ def clean_amount(c: Column) -> Column:
     One expression for a cell here and there; `frame.with_clean` reads whole columns by `amount_steps`.
     """
     text = strip(c)
-    empty = is_null(c)
+    empty = c.isNull() | F.lower(text).isin(S.NULL_TOKENS)
     bracketed = text.startswith("(") & text.endswith(")") & (F.length(text) > 1)
     inner = F.when(bracketed, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
     bare = F.translate(inner, MARKS + WHITE, "")
@@ -79,8 +85,8 @@ def clean_integer(amount: Column) -> Column:
     return F.struct(value.alias("value"), status.alias("status"), amount["removed"].alias("removed"))
 
 
-def clean_text(c: Column) -> Column:
-    return F.when(~is_null(c), strip(c))
+def clean_text(column: str) -> Column:
+    return F.when(~is_null(column), strip(F.col(column)))
 
 
 def number_text(v: Column) -> Column:
@@ -125,8 +131,9 @@ def date_shape(c: Column) -> Column:
 
 
 def state_code(c: Column) -> Column:
+    """Words for no value are no state either."""
     text = strip(c)
-    return F.when(is_null(c), None).when(F.upper(text).isin(S.STATE_CODES), F.upper(text)).otherwise(lookup(F.lower(text), S.STATE_NAMES))
+    return F.when(c.isNull(), None).when(F.upper(text).isin(S.STATE_CODES), F.upper(text)).otherwise(lookup(F.lower(text), S.STATE_NAMES))
 
 
 def zip_compact(c: Column) -> Column:

@@ -46,7 +46,7 @@ def status(df: DataFrame, column: str) -> Column:
     """A field's status; text fields are ok or empty."""
     if column in S.VALUE_COLUMNS + S.INTEGER_COLUMNS:
         return F.col(f"_status_{column}")
-    return F.when(C.is_null(F.col(column)), "empty").otherwise("ok")
+    return F.when(C.is_null(column), "empty").otherwise("ok")
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -60,5 +60,5 @@ def typed(df: DataFrame) -> DataFrame:
         elif c in S.INTEGER_COLUMNS:
             made.append(F.when(fine(c), F.col(f"_value_{c}").cast("long")).alias(c))
         else:
-            made.append(C.clean_text(F.col(c)).alias(c))
+            made.append(C.clean_text(c).alias(c))
     return out.select("sheet_row", *made)

@@ -89,7 +89,7 @@ def dq06(df: DataFrame, year: int) -> list[Found]:
 
 def _zip_parts() -> tuple[Column, Column, Column]:
     text = C.zip_compact(F.col("zip"))
-    return F.when(~C.is_null(F.col("zip")), text), text.rlike("^[0-9]+$"), C.state_code(F.col("state"))
+    return F.when(~C.is_null("zip"), text), text.rlike("^[0-9]+$"), C.state_code(F.col("state"))
 
 
 def dq07(df: DataFrame, year: int) -> list[Found]:
@@ -114,7 +114,7 @@ def dq09(df: DataFrame, year: int) -> list[Found]:
     text = C.strip(F.col("state"))
     exact = F.upper(text).isin(S.STATE_CODES) & (text == F.upper(text)) & (F.length(text) == 2)
     code = F.coalesce(C.lookup(F.lower(text), S.STATE_NAMES), F.when(F.upper(text).isin(S.STATE_CODES), F.upper(text)))
-    return [found("DQ-09", "State", ~C.is_null(F.col("state")) & ~exact, text, code, F.when(code.isNotNull(), "state_to_abbrev"))]
+    return [found("DQ-09", "State", ~C.is_null("state") & ~exact, text, code, F.when(code.isNotNull(), "state_to_abbrev"))]
 
 
 def dq10(df: DataFrame, year: int) -> list[Found]:
@@ -124,12 +124,12 @@ def dq10(df: DataFrame, year: int) -> list[Found]:
 def dq11(df: DataFrame, year: int) -> list[Found]:
     cell = F.col("sprinklers")
     fix = C.sprinkler_fix(cell)
-    return [found("DQ-11", "Fire Sprinklers (Y/N)", ~C.is_null(cell) & ~C.strip(cell).isin(S.SPRINKLER_CODES), cell, fix["after"], fix["op"])]
+    return [found("DQ-11", "Fire Sprinklers (Y/N)", ~C.is_null("sprinklers") & ~C.strip(cell).isin(S.SPRINKLER_CODES), cell, fix["after"], fix["op"])]
 
 
 def dq14(df: DataFrame, year: int) -> list[Found]:
     text = C.strip(F.col("construction"))
-    return [found("DQ-14", "Construction", ~C.is_null(F.col("construction")) & C.is_frame(text) & (_value("storeys") > S.MAX_FRAME_STOREYS), text)]
+    return [found("DQ-14", "Construction", ~C.is_null("construction") & C.is_frame(text) & (_value("storeys") > S.MAX_FRAME_STOREYS), text)]
 
 
 def dq18(df: DataFrame, year: int) -> list[Found]:
@@ -163,7 +163,7 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     Counts only, with partial sums; `dq13` writes them before rows are joined with them, so adaptive execution may split a
     location that a third of all rows share.
     """
-    named = F.when(~C.is_null(F.col("reference")), C.strip(F.col("reference"))) if "reference" in df.columns else F.lit(None).cast("string")
+    named = F.when(~C.is_null("reference"), C.strip(F.col("reference"))) if "reference" in df.columns else F.lit(None).cast("string")
     keyed = with_location_key(df).filter(F.col("address_key") != "")
     by_reference = keyed.groupBy("address_key", "zip_key", named.alias("_ref")).agg(F.count("*").alias("_n"))
     found = by_reference.groupBy("address_key", "zip_key").agg(F.sum("_n").alias("members"), F.bool_and(F.col("_ref").isNotNull() & (F.col("_n") == 1)).alias("distinct_references"))
@@ -171,8 +171,8 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
 
 
 def with_location_key(df: DataFrame) -> DataFrame:
-    address = F.when(~C.is_null(F.col("address")), C.normalise_address(F.col("address"))).otherwise("")
-    zip_key = F.when(~C.is_null(F.col("zip")), F.substring(F.regexp_replace("zip", "[^0-9]", ""), 1, 5)).otherwise("") if "zip" in df.columns else F.lit("")
+    address = F.when(~C.is_null("address"), C.normalise_address(F.col("address"))).otherwise("")
+    zip_key = F.when(~C.is_null("zip"), F.substring(F.regexp_replace("zip", "[^0-9]", ""), 1, 5)).otherwise("") if "zip" in df.columns else F.lit("")
     return df.withColumn("address_key", address).withColumn("zip_key", zip_key)
 
 
@@ -235,7 +235,7 @@ def with_total(df: DataFrame) -> DataFrame:
 
 
 def _shape() -> Column:
-    return F.when(~C.is_null(F.col("year_built")), C.date_shape(C.strip(F.col("year_built"))))
+    return F.when(~C.is_null("year_built"), C.date_shape(C.strip(F.col("year_built"))))
 
 
 def _main_shape(df: DataFrame) -> dict[str, Column]:

@@ -48,7 +48,7 @@ def apply_op(op: Column, cell: Column, after: Column) -> Column:
     state = F.coalesce(C.state_code(cell), cell)
     spaced = C.strip(F.regexp_replace(cell, r"(?U)\s+", " "))
     done = F.when(op == "set_null", None).when(op.isin("strip_currency_to_float", "to_float"), number).when(op == "to_int", F.when(whole, number).otherwise(cell)).when(op == "zip5", zip5).when(op == "state_to_abbrev", state).when(op == "trim_normalise", spaced).when(op == "map_values", mapped).otherwise(cell)
-    return F.when(~C.is_null(cell), done)
+    return F.when(~(cell.isNull() | F.lower(C.strip(cell)).isin(S.NULL_TOKENS)), done)
 
 
 def changes(findings: DataFrame, recs: DataFrame) -> DataFrame:
@@ -107,8 +107,8 @@ def self_check(cleaned: DataFrame) -> DataFrame:
     if [c for c in cleaned.columns if c != "sheet_row"] != S.COLUMNS:
         raise ValueError("columns are not the target fields in their order")
     amounts = [F.when(C.clean_amount(F.col(c))["value"] < 0, F.lit(f"{S.FIELD_OF[c]} is negative")) for c in S.VALUE_COLUMNS]
-    zips = F.when(~C.is_null(F.col("zip")) & ~F.col("zip").rlike("^[0-9]{5}$"), F.lit("Zip is not five digits"))
-    states = F.when(~C.is_null(F.col("state")) & ~F.col("state").isin(S.STATE_CODES), F.lit("State is not a code"))
+    zips = F.when(~C.is_null("zip") & ~F.col("zip").rlike("^[0-9]{5}$"), F.lit("Zip is not five digits"))
+    states = F.when(~C.is_null("state") & ~F.col("state").isin(S.STATE_CODES), F.lit("State is not a code"))
     return cleaned.select("sheet_row", F.explode(F.array_compact(F.array(*amounts, zips, states))).alias("problem"))
 
 

@@ -41,7 +41,7 @@ def findings_of(df: DataFrame) -> DataFrame:
 
 on_frame("sov_frame", O.with_(f"SELECT sheet_row, {', '.join(O.COLS)} FROM sov"))(lambda df: df.select("sheet_row", *O.COLS))
 on_frame("is_null", O.with_(" UNION ALL ".join(f"SELECT sheet_row, '{c}' AS field FROM sov WHERE {O.null(c)}" for c in O.COLS)))(
-    lambda df: df.select("sheet_row", F.explode(F.array_compact(F.array(*[F.when(C.is_null(F.col(c)), F.lit(c)) for c in O.COLS]))).alias("field"))
+    lambda df: df.select("sheet_row", F.explode(F.array_compact(F.array(*[F.when(C.is_null(c), F.lit(c)) for c in O.COLS]))).alias("field"))
 )
 
 
@@ -55,7 +55,7 @@ on_frame("clean_amount", _amounts(O.AMOUNTS))(lambda df: _long(df, O.AMOUNTS))
 on_frame("clean_integer", _amounts(O.INTEGERS))(lambda df: _long(df, O.INTEGERS))
 _texts = ["reference", "address", "city", "state", "occupancy", "construction", "sprinklers"]
 on_frame("clean_text", O.with_("SELECT sheet_row, " + ", ".join(f"CASE WHEN NOT {O.null(c)} THEN {O.strip(c)} END AS {c}" for c in _texts) + " FROM sov"))(
-    lambda df: df.select("sheet_row", *[C.clean_text(F.col(c)).alias(c) for c in _texts])
+    lambda df: df.select("sheet_row", *[C.clean_text(c).alias(c) for c in _texts])
 )
 on_frame(
     "typed_frame",
