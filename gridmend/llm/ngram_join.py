@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, digest
+from .common import cut, digest, remove
 from .components import connected
 from .textarrays import Words, mix, shingles, texts
 
@@ -212,7 +212,9 @@ def _placed(uniq: DataFrame) -> DataFrame:
     shared = buckets.groupBy("band").agg(F.count("*").alias("n"), *members).filter("n > 1")
     kept = cut(shared.groupBy("n", "m1", "m2").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "buckets")
     by_text = buckets.join(kept, "band").groupBy("node").agg(F.collect_list(F.struct("band", "blocks")).alias("buckets"))
-    return cut(uniq.select("key", "rep", F.xxhash64("key").alias("node")).join(by_text, "node").drop("node"), "placed")
+    made = cut(uniq.select("key", "rep", F.xxhash64("key").alias("node")).join(by_text, "node").drop("node"), "placed")
+    remove(kept)
+    return made
 
 
 def _links(docs: DataFrame, placed: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
@@ -225,7 +227,9 @@ def _links(docs: DataFrame, placed: DataFrame, n: int, threshold: tuple[int, int
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other", "blocks")
     dealt = dealt.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj")
-    return cut(dealt.mapInArrow(_verifier(threshold), _VERIFIED), "verified")
+    made = cut(dealt.mapInArrow(_verifier(threshold), _VERIFIED), "verified")
+    remove(placed)
+    return made
 
 
 def _text_classes(docs: DataFrame, n: int, threshold: tuple[int, int], recall: float) -> DataFrame:
@@ -239,6 +243,8 @@ def _text_classes(docs: DataFrame, n: int, threshold: tuple[int, int], recall: f
     labels = counts.join(ties, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "n_links")
     out = uniq.select("key", "rep", "n_copies").join(labels, "key", "left")
     out = cut(out.select("key", "rep", "n_copies", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "labels")
+    remove(verified)
+    remove(uniq)
     # partial sums: a class that a third of all texts belong to is a row a task
     order = F.struct(F.col("rep").isNull(), F.col("rep"), F.col("key"))
     ids = cut(out.filter("n_links > 0").groupBy("root").agg(F.min("rep").alias("class_id"), F.min_by("key", order).alias("first_key")), "classes")
