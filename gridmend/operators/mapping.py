@@ -114,7 +114,7 @@ def token_set_ratio(a: str, b: str) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def _token_set(a: pd.Series, b: pd.Series) -> pd.Series:
+def token_set(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)], dtype=float)
 
 
@@ -134,7 +134,7 @@ def lexical(headers: DataFrame, phrases: DataFrame) -> DataFrame:
     x, y = words(F.col("_long")), words(F.col("_phrase"))
     inside = F.arrays_overlap(x, y) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
     pairs = pairs.filter("_phrase != ''").withColumn("_known", F.when(exact | (inside & (F.col("_long") != "")), 1.0))
-    far = pairs.filter("_known is null").withColumn("_score", _token_set("_long", "_phrase"))
+    far = pairs.filter("_known is null").withColumn("_score", token_set("_long", "_phrase"))
     scored = pairs.filter("_known is not null").withColumn("_score", F.col("_known")).unionByName(far)
     best = scored.groupBy("header", "target", "ordinal").agg(F.max_by(F.struct("_score", "phrase", exact.alias("exact")), F.struct(exact.cast("int"), "_score", -F.col("rank"))).alias("x"))
     return best.select("header", "target", "ordinal", F.round("x._score", 4).alias("lexical"), "x.phrase", "x.exact")

@@ -86,6 +86,8 @@ def dominant(profiled: DataFrame) -> DataFrame:
     return profiled.groupBy("column").agg(F.max_by(F.struct("shape", "share"), F.struct("n", -F.col("first_pos"))).alias("x")).select("column", "x.shape", "x.share")
 
 
+# The shapes that a value may have.
+SHAPES = ["currency", "zip", "year", "small_int", "us_state", "boolean", "street_address", "place_name", "identifier", "category"]
 #: Pairs of shapes that no value tells apart.
 ALIKE = [("place_name", "category"), ("zip", "identifier")]
 

@@ -9,7 +9,9 @@ import csv
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -32,6 +34,23 @@ def _address(ref: str) -> tuple[int, int]:
     return int(digits) - 1, col - 1
 
 
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """The numbers of cell styles that show a number as a date."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode") or "").lower() for f in root.iter(f"{{{_NS['m']}}}numFmt")}
+    is_date = lambda k: 14 <= k <= 17 or k == 22 or bool(re.search("[yd]", own.get(k, "")))
+    formats = root.find("m:cellXfs", _NS)
+    return {k for k, xf in enumerate(formats if formats is not None else []) if is_date(int(xf.get("numFmtId") or 0))}
+
+
+def _date(serial: str) -> str:
+    """A date's text from the days since the end of 1899 that a workbook holds."""
+    at = datetime(1899, 12, 30) + timedelta(days=float(serial))
+    return at.date().isoformat() if at.time() == datetime.min.time() else at.isoformat(sep=" ", timespec="seconds")
+
+
 def parse_csv(data: bytes) -> Iterator[tuple]:
     text = data.decode("utf-8-sig", "replace")
     try:
@@ -48,15 +67,22 @@ def parse_xlsx(data: bytes) -> Iterator[tuple]:
     book = zipfile.ZipFile(io.BytesIO(data))
     xml = lambda name: ElementTree.fromstring(book.read(name))
     shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in xml("xl/sharedStrings.xml").findall("m:si", _NS)] if "xl/sharedStrings.xml" in book.namelist() else []
+    dates = _date_styles(book)
     targets = {r.get("Id"): r.get("Target") for r in xml("xl/_rels/workbook.xml.rels")}
     for k, sheet in enumerate(xml("xl/workbook.xml").find("m:sheets", _NS)):
         root = xml("xl/" + targets[sheet.get(_REL)].removeprefix("/xl/"))
+        place = (-1, -1)
         for c in root.iter(f"{{{_NS['m']}}}c"):
             value, inline = c.find("m:v", _NS), c.find("m:is", _NS)
             text = "".join(t.text or "" for t in inline.iter(f"{{{_NS['m']}}}t")) if inline is not None else value.text if value is not None else None
             if text is not None and c.get("t") == "s":
                 text = shared[int(text)]
-            row, col = _address(c.get("r"))
+            elif text is not None and c.get("t") == "b":
+                text = "True" if text == "1" else "False"
+            elif text is not None and c.get("t") in (None, "n") and int(c.get("s") or 0) in dates:
+                text = _date(text)
+            # a cell without an address follows the one before it
+            row, col = place = _address(c.get("r")) if c.get("r") else (max(place[0], 0), place[1] + 1)
             yield k, sheet.get("name"), row, col, (text or "").strip() or None, None, None, "cell"
         for m in root.iter(f"{{{_NS['m']}}}mergeCell"):
             a, _, b = m.get("ref").partition(":")
@@ -64,9 +90,11 @@ def parse_xlsx(data: bytes) -> Iterator[tuple]:
             yield k, sheet.get("name"), r0, c0, None, r1, c1, "span"
 
 
-def read_workbooks(spark: SparkSession, path: str, max_rows: int = MAX_ROWS) -> DataFrame:
+def read_workbooks(spark: SparkSession, path: str, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Rows of kind cell, span, oversized (a sheet with too many rows, which is dropped) and error (value says why).
 
+    max_rows None reads sheets of any length.
+
     Spark's file source passes over files of no bytes, so they give no row at all.
     """
 
@@ -78,11 +106,11 @@ def read_workbooks(spark: SparkSession, path: str, max_rows: int = MAX_ROWS) ->
                     rows = list(parse_xlsx(bytes(data)) if p.lower().endswith(".xlsx") else parse_csv(bytes(data)))
                     if not rows:
                         raise ValueError("the file has no rows")
-                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                except (ValueError, KeyError, TypeError, AttributeError, IndexError, OverflowError, csv.Error, zlib.error, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     rows = [(0, None, None, None, str(e), None, None, "error")]
                 out = pd.DataFrame([(p, digest, *r) for r in rows], columns=names)
                 last = out[out.kind == "cell"].groupby("sheet_idx").row_idx.max()
-                large = last[last >= max_rows].index
+                large = last[last >= max_rows].index if max_rows is not None else []
                 note = pd.DataFrame([(p, digest, k, None, None, None, None, None, None, "oversized") for k in large], columns=names)
                 yield pd.concat([out[~out.sheet_idx.isin(large)], note]) if len(note) else out
 

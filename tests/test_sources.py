@@ -26,6 +26,24 @@ def test_oversized_sheet_is_reported(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n" * 20)
     rows = grid.read_workbooks(spark, f"file://{tmp_path}", max_rows=10).collect()
     assert [r["kind"] for r in rows] == ["oversized"]
+    whole = grid.read_workbooks(spark, f"file://{tmp_path}", max_rows=None)
+    assert whole.filter("kind = 'cell'").count() == 40
+    (tmp_path / "a.csv").write_text("x," + "y" * 200_000)
+    assert [r["kind"] for r in grid.read_workbooks(spark, f"file://{tmp_path}").collect()] == ["error"]
+
+
+def test_dates_and_booleans(tmp_path):
+    path = tmp_path / "d.xlsx"
+    path.write_bytes(grid.write_xlsx([["a"]]))
+    with zipfile.ZipFile(path) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    parts["xl/styles.xml"] = f'<styleSheet xmlns="{grid._NS["m"]}"><numFmts><numFmt numFmtId="170" formatCode="dd/mm/yyyy"/><numFmt numFmtId="171" formatCode="0.0&quot;day&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/></cellXfs></styleSheet>'.encode()
+    parts["xl/worksheets/sheet1.xml"] = f'<worksheet xmlns="{grid._NS["m"]}"><sheetData><row r="1"><c r="A1" s="1"><v>32874</v></c><c s="2"><v>32874.5</v></c><c s="3"><v>32874</v></c><c t="b"><v>1</v></c></row></sheetData></worksheet>'.encode()
+    with zipfile.ZipFile(path, "w") as z:
+        for n, d in parts.items():
+            z.writestr(n, d)
+    cells = [(r[3], r[4]) for r in grid.parse_xlsx(path.read_bytes())]
+    assert cells == [(0, "1990-01-01"), (1, "1990-01-01 12:00:00"), (2, "32874"), (3, "True")]
 
 
 def test_schedule_of_many_rows_is_read_whole(spark, small, monkeypatch):
