@@ -34,7 +34,8 @@ from .common import cut, join_small
 from .textarrays import CHUNK_BYTES, mix, span_hashes, texts
 
 MIN_COUNT, TOP, SHARE, SCALE = 10, 2000, 50, 1_000_000
-BITS, HELD, STEP = 25, 1 << 20, 4
+#: bits of a bitmap, keys that a task holds, candidates aimed at for each one wanted, and how that grows by round
+BITS, HELD, FIRST, STEP = 25, 1 << 20, 2, 4
 _CUT, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _CUT[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAP[[0x20, 0x09]] = True
@@ -200,8 +201,7 @@ def count_triples(rows: DataFrame, seed: int, pairs, prefixes, suffixes) -> Data
     """(lang, h1, h2, h3, n) of triples of which `pairs` has both pairs, and `prefixes` has the first or `suffixes` the second."""
 
     def pick(p: Pieces) -> list[np.ndarray]:
-        at = np.flatnonzero(p.joined)
-        at = at[np.append(at[1:] == at[:-1] + 1, [False] * bool(len(at)))]  # both joints of three words
+        at = np.flatnonzero(p.joined[:-1] & p.joined[1:])  # both joints of three words
         first, second = _pair_code(p.hashes[at], p.hashes[at + 1]), _pair_code(p.hashes[at + 1], p.hashes[at + 2])
         at = at[_in(pairs, first) & _in(pairs, second) & (_in(prefixes, first) | _in(suffixes, second))]
         return [p.hashes[at], p.hashes[at + 1], p.hashes[at + 2]]
@@ -233,7 +233,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, sh
     with_parts = join_small(join_small(_named(pairs, h1="h1", h2="h2", a="n"), _named(often, h1="h1", l="n"), ["lang", "h1"], "inner"), _named(often, h2="h1", r="n"), ["lang", "h2"], "inner")
     two = cut(with_parts.select("*", _score("a", "l", "r").alias("score"), F.expr(f"(cast(a as decimal(18,0)) * {SCALE}) div cast(l as decimal(18,0))").alias("bound")), "pairs")
     ranks = cut(two.groupBy("lang", F.floor(F.col("score") / (SCALE // 1000)).cast("long").alias("step")).agg(F.count("*").alias("n")), "pair-ranks")
-    all_pairs, want = bitmap(two, _pair_bit("h1", "h2")), ranks.select("lang").distinct().select("lang", F.lit(2 * top).alias("want"))
+    all_pairs, want = bitmap(two, _pair_bit("h1", "h2")), ranks.select("lang").distinct().select("lang", F.lit(FIRST * top).alias("want"))
     while True:
         least = cut(_thresholds(ranks, want), "thresholds")
         reach = join_small(two, least, "lang", "inner")
