@@ -61,7 +61,7 @@ def amount_steps(c: Column, tag: str) -> list[dict[str, Column]]:
 def clean_amount(c: Column) -> Column:
     """struct(value, status, removed). status: empty, ok, reformatted or unparseable.
 
-    One expression for a cell here and there; `frame.with_clean` reads whole columns by `amount_steps`.
+    One expression for a cell here and there; `frame.with_clean` reads whole columns by `amount_steps`, and a test holds the two together.
     """
     text = strip(c)
     empty = c.isNull() | F.lower(text).isin(S.NULL_TOKENS)
@@ -108,10 +108,13 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normalise(c), " "), lambda t: t != ""))
 
 
-def cell_kind(c: Column) -> Column:
+def cell_kind(c: Column, kind: Column | None = None) -> Column:
+    """empty, number, date, boolean or text; kind: what the source knows of the cell."""
     text = strip(c)
     number = r"^[(\-+]?\s*[$€£¥]?\s*[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?\s*%?\s*\)?$|^[(\-+]?\s*[$€£¥]?\s*[0-9]+(?:\.[0-9]+)?\s*%?\s*\)?$"
-    return F.when(c.isNull() | (text == ""), "empty").when(text.rlike(number), "number").otherwise("text")
+    told = F.when(c.isNull() | (text == ""), "empty")
+    told = told if kind is None else told.when(kind.isin("number", "date", "boolean"), kind)
+    return told.when(text.rlike(number), "number").otherwise("text")
 
 
 def normalise_address(c: Column) -> Column:

@@ -1,4 +1,10 @@
-"""The mapped frame: raw cells of the target fields with their cleaned readings beside them."""
+"""The mapped frame: raw cells of the target fields with their cleaned readings beside them.
+
+A frame holds one schedule, or those of many files if it has the column FILE. Then every operator on frames, findings or recommendations works by
+file: what one file holds changes nothing in another's results. `fields`, if there, is an array of the target columns that a row's file
+has a column for; the others count as absent, not as empty. `kinds`, if there, maps columns to the kind of a cell that is no text: number,
+date or boolean.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,24 @@ from gridmend import schema as S
 from gridmend.functions import clean as C
 
 
+FILE = "file_id"
+
+
+def keys(df: DataFrame) -> list[str]:
+    """What tells files apart: FILE, or nothing in a table of one file."""
+    return [FILE] if FILE in df.columns else []
+
+
+def owned(df: DataFrame, column: str, x: Column) -> Column:
+    """x, or null where a row's file has no such column."""
+    return F.when(F.array_contains("fields", column), x) if "fields" in df.columns else x
+
+
+def only_owned(df: DataFrame) -> DataFrame:
+    """df with the target columns that a row's file lacks as null."""
+    return df.withColumns({c: owned(df, c, F.col(c)) for c in mapped(df)}) if "fields" in df.columns else df
+
+
 def mapped(df: DataFrame) -> list[str]:
     """The target columns that a frame has, in their order."""
     return [c for c in S.COLUMNS if c in df.columns]
@@ -23,7 +47,8 @@ def select_mapping(df: DataFrame, mapping: dict[str, str], row: str = "sheet_row
 
 def target_grid(df: DataFrame) -> DataFrame:
     """All target columns in their order, null where a frame has none."""
-    return df.select("sheet_row", *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in S.COLUMNS])
+    df = only_owned(df)
+    return df.select(*keys(df), "sheet_row", *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in S.COLUMNS])
 
 
 def with_clean(df: DataFrame) -> DataFrame:
@@ -33,12 +58,17 @@ def with_clean(df: DataFrame) -> DataFrame:
     once a row, but copies what a struct is made of into every use of its parts.
     """
     columns = [c for c in S.VALUE_COLUMNS + S.INTEGER_COLUMNS if c in df.columns]
-    out = df
+    out = only_owned(df)
     for step in zip(*(C.amount_steps(F.col(c), c) for c in columns)):
         out = out.withColumns({name: x for found in step for name, x in found.items()})
+    if "kinds" in df.columns:
+        date = {c: F.coalesce(F.col("kinds")[c] == "date", F.lit(False)) for c in columns if c in S.INTEGER_COLUMNS}
+        read = {"value": lambda c: F.substring(c, 1, 4).try_cast("double"), "status": lambda c: F.lit("reformatted"), "removed": lambda c: F.lit("date")}
+        out = out.withColumns({f"_{part}_{c}": F.when(is_date, x(c)).otherwise(F.col(f"_{part}_{c}")) for c, is_date in date.items() for part, x in read.items()})
     parts = lambda c: [F.col(f"_{part}_{c}") for part in ("value", "status", "removed")]
     whole = {f"_status_{c}": F.when(F.col(f"_value_{c}") != F.floor(F.col(f"_value_{c}")), "fractional").otherwise(F.col(f"_status_{c}")) for c in columns if c in S.INTEGER_COLUMNS}
-    out = out.withColumns(whole).drop(*[f"_{part}_{c}" for c in columns for part in ("text", "inner", "empty", "bare", "number")])
+    masked = {f"_{part}_{c}": owned(df, c, F.col(f"_{part}_{c}")) for c in columns for part in ("value", "status")} if "fields" in df.columns else {}
+    out = out.withColumns(whole).withColumns(masked).drop(*[f"_{part}_{c}" for c in columns for part in ("text", "inner", "empty", "bare", "number")])
     return out.withColumns({f"c_{c}": F.struct(*[x.alias(part) for part, x in zip(("value", "status", "removed"), parts(c))]) for c in columns})
 
 
@@ -46,7 +76,7 @@ def status(df: DataFrame, column: str) -> Column:
     """A field's status; text fields are ok or empty."""
     if column in S.VALUE_COLUMNS + S.INTEGER_COLUMNS:
         return F.col(f"_status_{column}")
-    return F.when(C.is_null(column), "empty").otherwise("ok")
+    return owned(df, column, F.when(C.is_null(column), "empty").otherwise("ok"))
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -61,4 +91,4 @@ def typed(df: DataFrame) -> DataFrame:
             made.append(F.when(fine(c), F.col(f"_value_{c}").cast("long")).alias(c))
         else:
             made.append(C.clean_text(c).alias(c))
-    return out.select("sheet_row", *made)
+    return out.select(*keys(df), "sheet_row", *made)

@@ -262,7 +262,7 @@ def assign(evidence: DataFrame) -> DataFrame:
 def build_evidence(columns: DataFrame, cells: DataFrame, phrases: DataFrame, year: int) -> DataFrame:
     """A row per column (sheet, column_idx, header) and target, with the scores of each channel; cells: (sheet, column_idx, pos, value)."""
     key = F.to_json(F.struct("sheet", "column_idx"))
-    fits = profile.fingerprint(profile.profile(cells.select(key.alias("column"), "pos", "value"), year))
+    fits = profile.fingerprint(profile.profile(cells.select(key.alias("column"), "pos", "value", *[c for c in ("type",) if c in cells.columns]), year))
     fits = fits.withColumn("x", F.from_json("column", "sheet string, column_idx int")).select("x.*", "target", "fingerprint", "abstained")
     named = lexical(columns, phrases).select("header", "target", "ordinal", "lexical", "exact")
     out = columns.join(named, "header").join(fits, ["sheet", "column_idx", "target"], "left").fillna({"fingerprint": 0.0, "abstained": True})

@@ -32,9 +32,14 @@ def as_number(text: Column) -> Column:
     return F.when(text.rlike(r"^\(|\)$|^-"), -value).otherwise(value)
 
 
-def classify_value(c: Column, year: int) -> Column:
-    """The most telling shape of a cell; `digits` where only the column can tell a zip from an amount; null for no value."""
+def classify_value(c: Column, year: int, kind: Column | None = None) -> Column:
+    """The most telling shape of a cell; `digits` where only the column can tell a zip from an amount; null for no value.
+
+    kind: what the source knows of the cell; a date reads as a year, a boolean as such.
+    """
     text = strip(c)
+    told = F.when(c.isNull() | (text == ""), None)
+    told = told if kind is None else told.when(kind == "date", "year").when(kind == "boolean", "boolean")
     n = as_number(text)
     whole, marked = n == F.floor(n), text.rlike(r"[$£€,]|\.[0-9]")
     numeric = (
@@ -44,7 +49,7 @@ def classify_value(c: Column, year: int) -> Column:
         .otherwise("small_int")
     )
     return (
-        F.when(c.isNull() | (text == "") | F.lower(text).isin(S.PROFILE_NULL_TOKENS), None)
+        told.when(F.lower(text).isin(S.PROFILE_NULL_TOKENS), None)
         .when(F.lower(text).isin(BOOLEANS), "boolean")
         .when(F.upper(text).isin(S.STATE_CODES + PROVINCES), "us_state")
         .when(text.rlike(r"^[A-Za-z][0-9][A-Za-z]\s?[0-9][A-Za-z][0-9]$"), "zip")
@@ -62,23 +67,39 @@ def cells(df: DataFrame, columns: list[str], order: str = "sheet_row", sample: i
     return first.select(F.col(order).alias("pos"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])).alias("x")).select("x.column", "pos", "x.value")
 
 
-def resolve_digits(values: DataFrame, year: int) -> DataFrame:
-    """(column, digits_are): zip or currency, for columns that hold bare numbers of three to five digits."""
-    text = strip(F.col("value"))
-    d = values.filter(classify_value(F.col("value"), year) == "digits").select("column", text.alias("t"), text.cast("long").alias("n"), F.length(F.regexp_replace(text, "^0+", "")).alias("w"))
-    found = d.groupBy("column").agg(F.bool_or(F.length("t").isin(4, 5) & F.col("t").startswith("0")).alias("led"), F.bool_or(F.col("n") == 0).alias("zero"), F.bool_and(F.col("w").isin(4, 5)).alias("wide"), F.bool_and(F.col("n") % 100 == 0).alias("round"), F.count("*").alias("k"), (F.max("n") / F.greatest(F.min("n"), F.lit(1))).alias("spread"))
+def _shaped(values: DataFrame, year: int) -> DataFrame:
+    """(column, shape, v, n, first_pos): the different texts of each column, with how many cells have them; the one shuffle of cells."""
+    shape = classify_value(F.col("value"), year, F.col("type") if "type" in values.columns else None)
+    rows = values.select("column", shape.alias("shape"), F.lower(strip(F.col("value"))).alias("v"), "pos").filter("shape is not null")
+    return rows.groupBy("column", "shape", "v").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+
+
+def _digits(shaped: DataFrame) -> DataFrame:
+    """(column, digits_are), from the different numbers of each column."""
+    d = shaped.filter("shape = 'digits'").select("column", "n", F.col("v").alias("t"), F.col("v").cast("long").alias("x"), F.length(F.regexp_replace("v", "^0+", "")).alias("w"))
+    found = d.groupBy("column").agg(F.bool_or(F.length("t").isin(4, 5) & F.col("t").startswith("0")).alias("led"), F.bool_or(F.col("x") == 0).alias("zero"), F.bool_and(F.col("w").isin(4, 5)).alias("wide"), F.bool_and(F.col("x") % 100 == 0).alias("round"), F.sum("n").alias("k"), (F.max("x") / F.greatest(F.min("x"), F.lit(1))).alias("spread"))
     currency = F.col("zero") | ~F.col("wide") | ((F.col("k") >= 3) & F.col("round")) | (F.col("spread") > ZIP_SPREAD)
     return found.select("column", F.when(F.col("led"), "zip").when(currency, "currency").otherwise("zip").alias("digits_are"))
 
 
+def resolve_digits(values: DataFrame, year: int) -> DataFrame:
+    """(column, digits_are): zip or currency, for columns that hold bare numbers of three to five digits."""
+    return _digits(_shaped(values, year))
+
+
 def profile(values: DataFrame, year: int) -> DataFrame:
-    """(column, shape, n, share, non_empty, distinct_ratio): the shapes of each column, after columns have settled what digits are."""
-    shaped = values.withColumn("shape", classify_value(F.col("value"), year)).filter("shape is not null")
-    whole = shaped.groupBy("column").agg(F.count("*").alias("non_empty"), F.round(F.countDistinct(F.lower(strip(F.col("value")))) / F.count("*"), 4).alias("distinct_ratio"))
-    settled = shaped.join(resolve_digits(values, year), "column", "left").join(whole, "column")
+    """(column, shape, n, share, non_empty, distinct_ratio): the shapes of each column, after columns have settled what digits are.
+
+    Cells are counted by column, shape and text before anything is joined; the rest works on those counts.
+    """
+    shaped = _shaped(values, year)
+    whole = shaped.groupBy("column", "v").agg(F.sum("n").alias("n")).groupBy("column").agg(F.sum("n").alias("non_empty"), F.count("*").alias("_different"))
+    whole = whole.select("column", "non_empty", F.round(F.col("_different") / F.col("non_empty"), 4).alias("distinct_ratio"))
+    counted = shaped.groupBy("column", "shape").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
+    settled = counted.join(_digits(shaped), "column", "left").join(whole, "column")
     leans = (F.col("non_empty") >= LEAN_ROWS) & (F.col("distinct_ratio") <= LEAN_RATIO)
     shape = F.when(F.col("shape") == "digits", F.col("digits_are")).when((F.col("shape") == "place_name") & leans, "category").otherwise(F.col("shape"))
-    return settled.groupBy("column", shape.alias("shape"), "non_empty", "distinct_ratio").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")).withColumn("share", F.round(F.col("n") / F.col("non_empty"), 4))
+    return settled.groupBy("column", shape.alias("shape"), "non_empty", "distinct_ratio").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos")).withColumn("share", F.round(F.col("n") / F.col("non_empty"), 4))
 
 
 def dominant(profiled: DataFrame) -> DataFrame:

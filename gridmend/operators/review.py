@@ -1,4 +1,4 @@
-"""From findings to a review queue: reconciliation, issues, counts, recommendations and their examples."""
+"""From findings to a review queue: reconciliation, issues, counts, recommendations and their examples; of each file, if there is a file key."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridmend import schema as S
 from gridmend.functions.clean import lookup
+from gridmend.operators.frame import keys
 
 KEY = ["rule", "field", "op"]
 
@@ -14,7 +15,7 @@ KEY = ["rule", "field", "op"]
 def reconcile(findings: DataFrame) -> DataFrame:
     """Drops range findings on cells that a placeholder finding explains; the survivor lists them in also_flagged."""
     losers = sorted({x for found in S.SUPERSEDES.values() for x in found})
-    cell = Window.partitionBy("field", "sheet_row")  # a cell has a handful of findings
+    cell = Window.partitionBy(*keys(findings), "field", "sheet_row")  # a cell has a handful of findings
     seen = F.sort_array(F.collect_set(F.when(F.col("rule").isin([*S.SUPERSEDES, *losers]), F.col("rule"))).over(cell))
     rows = findings.withColumn("_seen", seen)
     for winner, beaten in S.SUPERSEDES.items():
@@ -25,22 +26,23 @@ def reconcile(findings: DataFrame) -> DataFrame:
 
 def issues(findings: DataFrame) -> DataFrame:
     """(rule, field, severity) with how many rows and which are first and last."""
-    return findings.groupBy("rule", "field", "severity").agg(F.countDistinct("sheet_row").alias("n_rows"), F.min("sheet_row").alias("first_row"), F.max("sheet_row").alias("last_row"))
+    return findings.groupBy(*keys(findings), "rule", "field", "severity").agg(F.countDistinct("sheet_row").alias("n_rows"), F.min("sheet_row").alias("first_row"), F.max("sheet_row").alias("last_row"))
 
 
 def issue_rows(findings: DataFrame) -> DataFrame:
     """(rule, field, severity, sheet_row), each once: the rows of an issue stay rows, however many they are."""
-    return findings.select("rule", "field", "severity", "sheet_row").distinct()
+    return findings.select(*keys(findings), "rule", "field", "severity", "sheet_row").distinct()
 
 
 def counts(findings: DataFrame) -> DataFrame:
     """Findings by severity, by rule and by kind of action, as one aggregation over three groupings."""
     kinds = ("severity", "rule", "action_type")
-    rows = findings.select("severity", "rule", action().alias("action_type"))
-    sets = rows.groupingSets([[F.col(k)] for k in kinds], *kinds).agg(F.count("*").alias("n"), F.grouping_id().alias("_set"))
+    by = [F.col(k) for k in keys(findings)]
+    rows = findings.select(*by, "severity", "rule", action().alias("action_type"))
+    sets = rows.groupingSets([[*by, F.col(k)] for k in kinds], *by, *kinds).agg(F.count("*").alias("n"), F.grouping_id().alias("_set"))
     # the last grouped column is the lowest bit of grouping_id; a set bit means not grouped by
     kind = F.when(F.col("_set") == 3, kinds[0]).when(F.col("_set") == 5, kinds[1]).otherwise(kinds[2])
-    return sets.select(kind.alias("kind"), F.coalesce(*kinds).alias("name"), "n")
+    return sets.select(*by, kind.alias("kind"), F.coalesce(*kinds).alias("name"), "n")
 
 
 def action() -> Column:
@@ -62,16 +64,17 @@ def recommendations(findings: DataFrame, campus: DataFrame | None = None) -> Dat
 
     campus: (sheet_row) of duplicate locations whose rows have references of their own; a group that begins with one is less sure.
     """
-    groups = findings.groupBy(*KEY).agg(F.min("severity").alias("severity"), F.count("*").alias("n_findings"), F.countDistinct("sheet_row").alias("n_rows"), F.min("sheet_row").alias("first_row"), F.max("sheet_row").alias("last_row"))
+    by = keys(findings)
+    groups = findings.groupBy(*by, *KEY).agg(F.min("severity").alias("severity"), F.count("*").alias("n_findings"), F.countDistinct("sheet_row").alias("n_rows"), F.min("sheet_row").alias("first_row"), F.max("sheet_row").alias("last_row"))
     groups = groups.withColumn("confidence", confidence())
     if campus is not None:
-        marked = campus.select(F.col("sheet_row").alias("_row"), F.lit(True).alias("_campus")).distinct()
-        groups = groups.join(marked, (F.col("rule") == "DQ-13") & (F.col("first_row") == F.col("_row")), "left")
-        groups = groups.withColumn("confidence", F.when(F.col("_campus"), F.least(F.col("confidence"), F.lit(S.CAMPUS_CONFIDENCE))).otherwise(F.col("confidence"))).drop("_row", "_campus")
-    # a group per rule, field and operation: at most a few dozen rows in one window
-    queue = Window.orderBy(severity_rank(F.col("severity")), "rule", F.coalesce("field", F.lit("")), F.desc("n_findings"), F.coalesce("op", F.lit("")))
+        marked = campus.select(*by, F.col("sheet_row").alias("first_row"), F.lit("DQ-13").alias("rule"), F.lit(True).alias("_campus")).distinct()
+        groups = groups.join(marked, [*by, "rule", "first_row"], "left")
+        groups = groups.withColumn("confidence", F.when(F.col("_campus"), F.least(F.col("confidence"), F.lit(S.CAMPUS_CONFIDENCE))).otherwise(F.col("confidence"))).drop("_campus")
+    # a group per rule, field and operation: at most a few dozen rows a file
+    queue = Window.partitionBy(*by).orderBy(severity_rank(F.col("severity")), "rule", F.coalesce("field", F.lit("")), F.desc("n_findings"), F.coalesce("op", F.lit("")))
     return groups.withColumn("position", F.row_number().over(queue)).select(
-        F.concat(F.lit("R-"), F.lpad(F.col("position").cast("string"), 3, "0")).alias("rec_id"), "position", *KEY, action().alias("action_type"), "severity", "n_findings", "n_rows", "first_row", "last_row", F.round("confidence", 2).alias("confidence"),
+        *by, F.concat(F.lit("R-"), F.lpad(F.col("position").cast("string"), 3, "0")).alias("rec_id"), "position", *KEY, action().alias("action_type"), "severity", "n_findings", "n_rows", "first_row", "last_row", F.round("confidence", 2).alias("confidence"),
         (F.col("confidence") < S.UNCERTAINTY_BELOW).alias("uncertain"),
     )
 
@@ -81,10 +84,11 @@ def examples(findings: DataFrame, limit: int = S.EXAMPLES) -> DataFrame:
 
     Of each different change only the first rows are kept before groups are ranked, so no group is gathered whole.
     """
-    same = Window.partitionBy(*KEY, "before", "after").orderBy("sheet_row")
+    by = keys(findings)
+    same = Window.partitionBy(*by, *KEY, "before", "after").orderBy("sheet_row")
     rows = findings.filter("op is not null").withColumn("_again", F.row_number().over(same)).filter(F.col("_again") <= limit)
-    order = Window.partitionBy(*KEY).orderBy(F.when(F.col("_again") == 1, 0).otherwise(1), "sheet_row", "before")
-    return rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= limit).select(*KEY, "sheet_row", "before", "after")
+    order = Window.partitionBy(*by, *KEY).orderBy(F.when(F.col("_again") == 1, 0).otherwise(1), "sheet_row", "before")
+    return rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= limit).select(*by, *KEY, "sheet_row", "before", "after")
 
 
 def invalid(recs: DataFrame, findings: DataFrame) -> DataFrame:

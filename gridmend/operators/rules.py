@@ -1,5 +1,5 @@
 """The quality rules. Rules on one row are one projection, exploded. What DQ-12, DQ-15, DQ-16 and DQ-17 need from other rows
-is one row of statistics, gathered in one pass and broadcast, so they sit in the same projection. Only DQ-13 groups and joins back.
+is a row of statistics a file, gathered in one pass and broadcast, so they sit in the same projection. Only DQ-13 groups and joins back.
 
 A finding has run columns (rule, sheet_row, field, severity, before, after, op); op and after are null where a human must decide.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridmend import schema as S
 from gridmend.functions import clean as C
-from gridmend.operators.frame import mapped, status, with_clean
+from gridmend.operators.frame import keys, mapped, only_owned, status, with_clean
 from gridmend.scratch import written
 
 FINDING_COLUMNS = ["rule", "sheet_row", "field", "severity", "before", "after", "op"]
@@ -165,8 +165,8 @@ def duplicate_groups(df: DataFrame) -> DataFrame:
     """
     named = F.when(~C.is_null("reference"), C.strip(F.col("reference"))) if "reference" in df.columns else F.lit(None).cast("string")
     keyed = with_location_key(df).filter(F.col("address_key") != "")
-    by_reference = keyed.groupBy("address_key", "zip_key", named.alias("_ref")).agg(F.count("*").alias("_n"))
-    found = by_reference.groupBy("address_key", "zip_key").agg(F.sum("_n").alias("members"), F.bool_and(F.col("_ref").isNotNull() & (F.col("_n") == 1)).alias("distinct_references"))
+    by_reference = keyed.groupBy(*keys(df), "address_key", "zip_key", named.alias("_ref")).agg(F.count("*").alias("_n"))
+    found = by_reference.groupBy(*keys(df), "address_key", "zip_key").agg(F.sum("_n").alias("members"), F.bool_and(F.col("_ref").isNotNull() & (F.col("_n") == 1)).alias("distinct_references"))
     return found.filter("members > 1")
 
 
@@ -177,10 +177,17 @@ def with_location_key(df: DataFrame) -> DataFrame:
 
 
 def dq13(df: DataFrame, year: int) -> DataFrame:
-    joined = with_location_key(df).join(written(duplicate_groups(df), "duplicate-groups"), ["address_key", "zip_key"])
+    joined = with_location_key(df).join(written(duplicate_groups(df), "duplicate-groups"), [*keys(df), "address_key", "zip_key"])
     return explode_findings(joined, [Found("DQ-13", "Address", finding("DQ-13", "Address", F.col("address")))])
 
 
+def campus_rows(df: DataFrame) -> DataFrame:
+    """(sheet_row) of locations that rows share which all have a reference of their own: more likely a campus than double entries."""
+    df = only_owned(df)
+    groups = written(duplicate_groups(df).filter("distinct_references"), "campus")
+    return with_location_key(df).join(groups, [*keys(df), "address_key", "zip_key"]).select(*keys(df), "sheet_row")
+
+
 def _sums(df: DataFrame) -> dict[str, Column]:
     """The number of rows and the sum of each value column."""
     return {"_rows": F.count("*")} | {f"_sum_{c}": F.coalesce(F.sum(_value(c)), F.lit(0.0)) for c in S.VALUE_COLUMNS if c in df.columns}
@@ -219,17 +226,25 @@ def dq16(df: DataFrame, year: int, tiv: str = "tiv") -> list[Found]:
     return [found("DQ-16", None, off & ~_is_total(df, _label(df).isNotNull()), F.col(tiv))]
 
 
-def total_column(df: DataFrame) -> str | None:
-    """The header in df's map column `unmapped` that reads most like a total insured value and has a number in it."""
+def total_columns(df: DataFrame) -> DataFrame:
+    """(header) in df's map column `unmapped` that reads most like a total insured value and has a number in it; one a file at most."""
     hint = reduce(lambda w, kv: w.when(F.lower(C.strip(F.col("header"))).contains(kv[1]), kv[0]), list(enumerate(S.TIV_HINTS))[1:], F.when(F.lower(C.strip(F.col("header"))).contains(S.TIV_HINTS[0]), 0))
-    cells = df.select(F.explode("unmapped").alias("header", "value")).withColumn("rank", hint).filter("rank is not null")
-    usable = cells.filter(C.clean_amount(F.col("value"))["value"].isNotNull()).groupBy("header", "rank").agg(F.count("*").alias("n"))
-    best = usable.orderBy("rank", "header").first()  # a row per header
+    cells = df.select(*keys(df), F.explode("unmapped").alias("header", "value")).withColumn("rank", hint).filter("rank is not null")
+    usable = cells.filter(C.clean_amount(F.col("value"))["value"].isNotNull())
+    return usable.groupBy(*keys(df)).agg(F.min_by("header", F.struct("rank", "header")).alias("header")).filter("header is not null")
+
+
+def total_column(df: DataFrame) -> str | None:
+    """The header of a single file's stated total."""
+    best = total_columns(df).first()
     return best["header"] if best else None
 
 
 def with_total(df: DataFrame) -> DataFrame:
     """df with the stated total as column tiv, if one of its unmapped columns is that; DQ-16 reads it."""
+    if keys(df) and "unmapped" in df.columns and "tiv" not in df.columns:
+        found = written(total_columns(df).withColumnRenamed("header", "_total"), "total-columns")
+        return df.join(found, keys(df), "left").withColumn("tiv", F.col("unmapped")[F.col("_total")]).drop("_total")
     header = total_column(df) if "unmapped" in df.columns and "tiv" not in df.columns else None
     return df.withColumn("tiv", F.col("unmapped")[header]) if header else df
 
@@ -268,9 +283,9 @@ def _reconciled(columns: list[Found]) -> list[Found]:
 def explode_findings(df: DataFrame, columns: list[Found], reconciled: bool = False) -> DataFrame:
     """A row for each finding in the columns that isn't null."""
     columns = _reconciled(columns) if reconciled else columns
-    rows = df.select("sheet_row", F.explode(F.array_compact(F.array(*[f.column for f in columns]))).alias("f"))
+    rows = df.select(*keys(df), "sheet_row", F.explode(F.array_compact(F.array(*[f.column for f in columns]))).alias("f"))
     more = ["f.also"] if reconciled else []
-    out = rows.select("f.fixed.rule", "sheet_row", "f.fixed.field", "f.fixed.severity", C.render(F.col("f.before")).alias("before"), "f.after", "f.op", *more)
+    out = rows.select(*keys(df), "f.fixed.rule", "sheet_row", "f.fixed.field", "f.fixed.severity", C.render(F.col("f.before")).alias("before"), "f.after", "f.op", *more)
     return out.withColumnRenamed("also", "also_flagged")
 
 
@@ -310,17 +325,24 @@ REGISTRY: list[Rule] = [
 ]
 
 
+#: Rules that need any one of these columns.
+SOME_OF = {"DQ-12": ["year_built", "storeys", *S.VALUE_COLUMNS], "DQ-15": S.VALUE_COLUMNS, "DQ-16": S.VALUE_COLUMNS}
+
+
 def can_run(rule: Rule, df: DataFrame) -> bool:
     has = lambda columns: any(c in df.columns for c in columns)
-    some = {"DQ-12": ["year_built", "storeys", *S.VALUE_COLUMNS], "DQ-15": S.VALUE_COLUMNS, "DQ-16": S.VALUE_COLUMNS}.get(rule.name)
+    some = SOME_OF.get(rule.name)
     return all(n in df.columns for n in rule.needs) and (some is None or has(some))
 
 
 def with_statistics(df: DataFrame, used: list[Rule]) -> DataFrame:
-    """df with the statistics of the rules on each row: one pass over df, and one row to broadcast."""
+    """df with the statistics of the rules on each row: one pass over df, and a row a file to join."""
     wanted = {name: c for r in used if r.statistics for name, c in r.statistics(df).items()}
     if not wanted:
         return df
+    if keys(df):
+        by_file = written(df.groupBy(*keys(df)).agg(*[c.alias(name) for name, c in wanted.items()]), "statistics")
+        return df.join(by_file, keys(df))
     return df.crossJoin(F.broadcast(df.agg(*[c.alias(name) for name, c in wanted.items()])))
 
 
@@ -339,8 +361,23 @@ def run_rules(df: DataFrame, year: int, only: list[str] | None = None, reconcile
     return reduce(DataFrame.unionByName, parts + [x.withColumn("also_flagged", none) if reconciled else x for x in others])
 
 
+def _status_by_file(df: DataFrame, findings: DataFrame) -> DataFrame:
+    """As rule_status, by file: `fields` says what a file has, and a stated total counts as one of its fields."""
+    files = df.groupBy(*keys(df)).agg(F.max("fields").alias("fields"), F.bool_or(F.col("tiv").isNotNull() if "tiv" in df.columns else F.lit(False)).alias("tiv"))
+    have = F.when(F.col("tiv"), F.concat("fields", F.array(F.lit("tiv")))).otherwise(F.col("fields"))
+    rules = df.sparkSession.createDataFrame([(r.name, list(r.needs), SOME_OF.get(r.name)) for r in REGISTRY], "rule string, needs array<string>, some array<string>")
+    both = files.select(*keys(df), have.alias("have")).crossJoin(F.broadcast(rules))  # eighteen rows a file
+    lacks = F.array_except("needs", "have")
+    why = F.when(F.size(lacks) > 0, F.concat(F.lit("needs "), F.array_join(lacks, ", "))).when(F.col("some").isNotNull() & ~F.arrays_overlap("some", "have"), "needs a field to read")
+    counted = findings.groupBy(*keys(df), "rule").agg(F.count("*").alias("n_findings"))
+    out = both.select(*keys(df), "rule", why.isNull().alias("evaluated"), why.alias("reason")).join(counted, [*keys(df), "rule"], "left")
+    return out.withColumn("n_findings", F.coalesce("n_findings", F.lit(0).cast("long")))
+
+
 def rule_status(df: DataFrame, findings: DataFrame) -> DataFrame:
-    """(rule, evaluated, reason, n_findings) of every rule."""
+    """(rule, evaluated, reason, n_findings) of every rule; with a file key a row for each file and rule."""
+    if keys(df):
+        return _status_by_file(df, findings)
     names = [(r.name, can_run(r, df), None if can_run(r, df) else "needs " + (", ".join(n for n in r.needs if n not in df.columns) or "a field to read")) for r in REGISTRY]
     rules = df.sparkSession.createDataFrame(names, "rule string, evaluated boolean, reason string")
     counted = findings.groupBy("rule").agg(F.count("*").alias("n_findings"))

@@ -1,4 +1,7 @@
-"""Which sheet holds the schedule and where its header is, from cells in long form (sheet, row_idx, col_idx, value)."""
+"""Which sheet holds the schedule and where its header is, from cells in long form (sheet, row_idx, col_idx, value).
+
+sheet is any key of a sheet, of one file or many. Cells may have a type (text, number, date, boolean) that the source knows.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmend.functions.clean import cell_kind, normalise, strip
+from gridmend.scratch import written
 
 SCAN, MIN_SCORE, MIN_UNIQUE, SPARSE = 30, 0.38, 0.25, 0.6
 HEADER_WEIGHTS = {"label_density": 0.25, "fill": 0.10, "uniqueness": 0.15, "type_consistency": 0.25, "vocabulary": 0.25}
@@ -17,27 +21,50 @@ SEPARATOR = " › "
 def trim_grid(cells: DataFrame) -> DataFrame:
     """Cells with a value, with n_rows and n_cols of their sheet; blank trailing rows and columns don't count."""
     filled = cells.filter(F.col("value").isNotNull() & (strip(F.col("value")) != ""))
-    size = filled.groupBy("sheet").agg((F.max("row_idx") + 1).alias("n_rows"), (F.max("col_idx") + 1).alias("n_cols"))
-    return filled.join(size, "sheet")
+    return filled.join(_sizes(filled), "sheet")
+
+
+def _sizes(filled: DataFrame) -> DataFrame:
+    """(sheet, n_rows, n_cols): a row a sheet, written, so that Spark knows its size and cells need no shuffle to meet it."""
+    return written(filled.groupBy("sheet").agg((F.max("row_idx") + 1).alias("n_rows"), (F.max("col_idx") + 1).alias("n_cols")), "sizes")
+
+
+def _kind(df: DataFrame) -> Column:
+    return cell_kind(F.col("value"), F.col("type") if "type" in df.columns else None)
 
 
 def merge_fill(cells: DataFrame, spans: DataFrame) -> DataFrame:
-    """Cells with the anchor of each merged span (sheet, r0, c0, r1, c1) copied over it; a later span wins over an earlier one."""
-    anchors = spans.join(cells, (spans["sheet"] == cells["sheet"]) & (F.col("r0") == F.col("row_idx")) & (F.col("c0") == F.col("col_idx"))).filter("value is not null").select(spans["sheet"], "r0", "c0", "r1", "c1", F.col("value").alias("_anchor"))
-    over = anchors.select("sheet", "r0", "c0", "_anchor", F.explode(F.sequence("r0", "r1")).alias("row_idx"), "c1").select("sheet", "r0", "c0", "_anchor", "row_idx", F.explode(F.sequence("c0", "c1")).alias("col_idx"))
-    last = over.groupBy("sheet", "row_idx", "col_idx").agg(F.max_by("_anchor", F.struct("r0", "c0")).alias("_anchor"))
-    return cells.join(last, ["sheet", "row_idx", "col_idx"], "full").select("sheet", "row_idx", "col_idx", F.coalesce("_anchor", "value").alias("value"))
+    """Cells with the anchor of each merged span (sheet, r0, c0, r1, c1) copied over it; a later span wins over an earlier one.
+
+    Spans are cut off at the last row and column that hold anything, so a span over all a sheet could have makes no more cells than the sheet's grid.
+    """
+    content = ["value", *(["type"] if "type" in cells.columns else [])]
+    filled = cells.filter(F.col("value").isNotNull() & (strip(F.col("value")) != ""))
+    inside = spans.join(_sizes(filled), "sheet").filter("r0 < n_rows and c0 < n_cols").select("sheet", "r0", "c0", F.least("r1", F.col("n_rows") - 1).alias("r1"), F.least("c1", F.col("n_cols") - 1).alias("c1"))
+    anchors = filled.join(written(inside, "spans").withColumnsRenamed({"r0": "row_idx", "c0": "col_idx"}), ["sheet", "row_idx", "col_idx"])
+    rows = anchors.select("sheet", F.col("row_idx").alias("r0"), F.col("col_idx").alias("c0"), F.struct(*content).alias("_anchor"), F.explode(F.sequence("row_idx", "r1")).alias("row_idx"), "c1")
+    over = rows.select("sheet", "r0", "c0", "_anchor", "row_idx", F.explode(F.sequence("c0", "c1")).alias("col_idx"))
+    last = written(over.groupBy("sheet", "row_idx", "col_idx").agg(F.max_by("_anchor", F.struct("r0", "c0")).alias("_anchor")), "merged")
+    place = ["sheet", "row_idx", "col_idx"]
+    rest = cells.join(last.select(*place), place, "left_anti").select(*place, *content)
+    return rest.unionByName(last.select(*place, "_anchor.*"))
 
 
 def type_consistency(grid: DataFrame, starts: DataFrame, sample: int | None = None) -> DataFrame:
     """(sheet, start, type_consistency): mean share of a column's commonest kind in the rows from start on.
 
-    starts: (sheet, start) with at most SCAN rows a sheet. sample: read about so many rows a sheet, at a stride fixed by their number.
+    starts: (sheet, start) with at most SCAN + 1 rows a sheet. Cells are counted once, by column and kind, for each row that a start can
+    be and for all rows below together, whatever the number of starts; a start adds up the counts from its row on.
+    sample: read about so many rows a sheet, at a stride fixed by their number.
     """
-    body = grid.join(starts, "sheet").filter("row_idx >= start")
     if sample:
+        body = grid.join(starts, "sheet").filter("row_idx >= start")
         body = body.filter((F.col("row_idx") - F.col("start")) % F.ceil((F.col("n_rows") - F.col("start")) / sample) == 0)
-    by_kind = body.withColumn("kind", cell_kind(F.col("value"))).groupBy("sheet", "start", "col_idx", "kind").agg(F.count("*").alias("n"))
+        by_kind = body.groupBy("sheet", "start", "col_idx", _kind(grid).alias("kind")).agg(F.count("*").alias("n"))
+    else:
+        step = F.least(F.col("row_idx"), F.lit(SCAN)).alias("step")
+        counts = grid.groupBy("sheet", "col_idx", _kind(grid).alias("kind"), step).agg(F.count("*").alias("n"))
+        by_kind = counts.join(starts, "sheet").filter("step >= start").groupBy("sheet", "start", "col_idx", "kind").agg(F.sum("n").alias("n"))
     by_column = by_kind.groupBy("sheet", "start", "col_idx").agg((F.max("n") / F.sum("n")).alias("share"))
     return by_column.groupBy("sheet", "start").agg(F.avg("share").alias("type_consistency"))
 
@@ -48,7 +75,7 @@ def header_candidates(grid: DataFrame, matches: DataFrame) -> DataFrame:
     text = normalise(F.col("value"))
     rows = top.groupBy("sheet", "row_idx", "n_cols").agg(F.count("*").alias("filled"), F.countDistinct(text).alias("distinct"))
     rows = rows.filter((F.col("filled") >= 2) & (F.col("distinct") / F.col("filled") >= MIN_UNIQUE))
-    cells = top.join(matches, "value", "left").groupBy("sheet", "row_idx", text.alias("_t")).agg(F.max_by(cell_kind(F.col("value")), -F.col("col_idx")).alias("kind"), F.max("target").alias("target"))
+    cells = top.join(matches, "value", "left").groupBy("sheet", "row_idx", text.alias("_t")).agg(F.max_by(_kind(top), -F.col("col_idx")).alias("kind"), F.max("target").alias("target"))
     by_row = cells.groupBy("sheet", "row_idx").agg(F.avg((F.col("kind") == "text").cast("double")).alias("label_density"), F.avg(F.col("target").isNotNull().cast("double")).alias("vocabulary"))
     steady = type_consistency(grid, rows.select("sheet", (F.col("row_idx") + 1).alias("start"))).withColumn("row_idx", F.col("start") - 1).drop("start")
     out = rows.join(by_row, ["sheet", "row_idx"]).join(steady, ["sheet", "row_idx"], "left")
@@ -68,7 +95,7 @@ def sub_headers(grid: DataFrame, matches: DataFrame, spans: DataFrame | None = N
     Such a row is sparse beside the one above, all labels, and under a merged range (sheet, r0, c0, r1, c1) of it or naming a target.
     """
     top = grid.filter(F.col("row_idx") <= SCAN).join(matches, "value", "left")
-    rows = top.groupBy("sheet", "row_idx").agg(F.count("*").alias("filled"), F.bool_and(cell_kind(F.col("value")) == "text").alias("labels"), F.bool_or(F.col("target").isNotNull()).alias("named"))
+    rows = top.groupBy("sheet", "row_idx").agg(F.count("*").alias("filled"), F.bool_and(_kind(top) == "text").alias("labels"), F.bool_or(F.col("target").isNotNull()).alias("named"))
     below = rows.select("sheet", (F.col("row_idx") - 1).alias("row_idx"), F.col("filled").alias("_filled"), "labels", "named")
     pairs = rows.select("sheet", "row_idx", "filled").join(below, ["sheet", "row_idx"]).filter((F.col("_filled") <= SPARSE * F.col("filled")) & F.col("labels"))
     if spans is None:
@@ -111,7 +138,9 @@ def header_names(grid: DataFrame, blocks: DataFrame) -> DataFrame:
     name = F.coalesce(both, "_sub", "_top", F.concat(F.lit("Unnamed_"), F.col("col_idx") + 1))
     row = columns.join(lines, ["sheet", "col_idx"], "left").select("sheet", "col_idx", name.alias("name"))
     again = F.row_number().over(Window.partitionBy("sheet", "name").orderBy("col_idx"))
-    return row.withColumn("_n", again).select("sheet", "col_idx", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.format_string("%s (%d)", "name", "_n")).alias("name"))
+    named = row.withColumn("_n", again).select("sheet", "col_idx", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.format_string("%s (%d)", "name", "_n")).alias("name"))
+    # a name with (n) may be another column's own
+    return named.withColumn("_n", again).select("sheet", "col_idx", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.format_string("%s [%d]", F.col("name"), F.col("col_idx") + 1)).alias("name"))
 
 
 def region_quality(grid: DataFrame, starts: DataFrame) -> DataFrame:

@@ -226,12 +226,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from gridmend.plans import more_queries  # noqa: F401  registers the rest
+    from gridmend.plans import by_file, more_queries  # noqa: F401  register the rest
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from gridmend.plans import more_queries  # noqa: F401
+    from gridmend.plans import by_file, more_queries  # noqa: F401
 
     return dict(_sql)

@@ -68,8 +68,8 @@ def test_merged_range_is_a_span(tmp_path):
     with zipfile.ZipFile(path, "w") as z:
         for n, d in parts.items():
             z.writestr(n, d)
-    spans = [r for r in grid.parse_xlsx(path.read_bytes()) if r[-1] == "span"]
-    assert spans == [(0, "Sheet1", 0, 0, None, 0, 1, "span")]
+    spans = [r for r in grid.parse_xlsx(path.read_bytes()) if r[7] == "span"]
+    assert spans == [(0, "Sheet1", 0, 0, None, 0, 1, "span", None)]
 
 
 def test_headers_are_matched_in_all_rows_scanned(spark):
@@ -91,3 +91,78 @@ def test_nearest_of_more_queries_than_one_block(spark, small, monkeypatch):
     assert result(memory.nearest(queries, rows)) == want and len(want) == 5 * queries.count() > 5 * 7
     monkeypatch.setattr(memory, "MAX_QUERIES", 3)
     assert result(more_queries.semantic_matrix(spark, small)) == scores
+
+
+def test_delimited_files_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    """Quoted fields of several lines over many splits, against the csv module on the whole text."""
+    import csv
+    import io
+    import random
+
+    r = random.Random(2)
+    field = lambda: r.choice(["a", "", '"x;y"', '"two\nlines"', '"say ""hi"""', "it's", 'a 5" pipe', ' "late"', "é😀", '"\n\n"', "12.5"])
+    for name, sep in (("one.csv", ";"), ("two b+c.csv", ","), ("Three.CSV", "\t")):
+        text = "\ufeff" + "\r\n".join(sep.join(field().replace(";", sep) for _ in range(r.randint(1, 5))) if r.random() > 0.1 else "" for _ in range(400)) + "\n\n,,\n".replace(",", sep)
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for at_once in (200_000, 0):
+        monkeypatch.setattr(grid.delimited, "SPLITS_AT_ONCE", at_once)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        try:
+            assert grid.delimited.lines_of(spark, f"file://{tmp_path}").select("path", "block").distinct().count() > 15
+            rows = grid.read_workbooks(spark, f"file://{tmp_path}", None).collect()
+            sizes = {x["path"].rsplit("/", 1)[-1]: x["n_rows"] for x in grid.delimited.read_rows(spark, f"file://{tmp_path}")[1].collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        for name in ("one.csv", "two b+c.csv", "Three.CSV"):
+            text = (tmp_path / name).read_bytes().decode("utf-8-sig")
+            found = csv.Sniffer().sniff(text[: 64 << 10], ",;\t|")
+            want = {(i, j): " ".join(v.split()) or None for i, row in enumerate(csv.reader(io.StringIO(text), found)) for j, v in enumerate(row)}
+            got = {(x["row_idx"], x["col_idx"]): " ".join((x["value"] or "").split()) or None for x in rows if x["path"].endswith("/" + name) and x["kind"] == "cell"}
+            assert got == want, name
+            assert sizes[name] == 1 + max(i for (i, _), v in want.items() if v)
+
+
+def test_odd_files_are_errors(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "blank.csv").write_text("\n,,\n")
+    (tmp_path / "old.xls").write_text("x")
+    (tmp_path / "long.csv").write_text("x,y\nz," + "y" * 200_000 + "\n")
+    rows = grid.read_workbooks(spark, f"file://{tmp_path}")
+    said = {r["path"].rsplit("/", 1)[-1]: r["value"] for r in rows.filter("kind = 'error'").collect()}
+    assert set(said) == {"none.csv", "blank.csv", "old.xls", "long.csv"} and "empty" in said["none.csv"] and "supported" in said["old.xls"]
+    assert {r["path"].rsplit("/", 1)[-1] for r in grid.sound(rows).collect()} == {"a b.csv"}
+
+
+def test_numbers_dates_and_epochs(tmp_path):
+    path = tmp_path / "d.xlsx"
+    path.write_bytes(grid.write_xlsx([["a"]]))
+    with zipfile.ZipFile(path) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    parts["xl/workbook.xml"] = parts["xl/workbook.xml"].replace(b"<sheets>", b'<workbookPr date1904="1"/><sheets>')
+    cells = '<c r="A1" s="1"><v>32874</v></c><c><v>1.25E+7</v></c><c><v>-3.5e-3</v></c><c><v>2110</v></c><c><v>7.0</v></c><c t="d"><v>1990-01-03T00:00:00</v></c><c s="1"><v>9e99</v></c><c t="e"><v>#REF!</v></c><c><v>nan</v></c>'
+    parts["xl/worksheets/sheet1.xml"] = f'<worksheet xmlns="{grid._NS["m"]}"><sheetData><row r="1">{cells}</row></sheetData></worksheet>'.encode()
+    with zipfile.ZipFile(path, "w") as z:
+        for n, d in parts.items():
+            z.writestr(n, d)
+    found = [(r[4], r[8]) for r in grid.parse_xlsx(path.read_bytes())]
+    assert found[:6] == [("1994-01-02", "date"), ("12500000", "number"), ("-0.0035", "number"), ("2110", "number"), ("7", "number"), ("1990-01-03", "date")]
+    assert found[6][1] == "number" and "E" not in found[6][0].upper() and found[7:] == [("#REF!", "text"), ("nan", "text")]
+
+
+def test_spans_end_with_the_grid(spark):
+    cells = spark.createDataFrame([("s", 0, 0, "T", "text"), ("s", 2, 1, "5", "number")], "sheet string, row_idx int, col_idx int, value string, type string")
+    spans = spark.createDataFrame([("s", 0, 0, 1_048_575, 16_383), ("s", 9, 9, 10, 10), ("other", 0, 0, 1, 1)], "sheet string, r0 int, c0 int, r1 int, c1 int")
+    filled = {(r["row_idx"], r["col_idx"]): (r["value"], r["type"]) for r in sheets.merge_fill(cells, spans).collect()}
+    assert filled == {(r, c): ("T", "text") for r in range(3) for c in range(2)}
+
+
+def test_type_consistency_of_every_start(spark):
+    """One pass over the cells gives what a pass for each start gives."""
+    cells = [("s", r, c, "x" if (r * c) % 3 else str(r)) for r in range(70) for c in range(4) if (r + c) % 5]
+    g = sheets.trim_grid(spark.createDataFrame(cells, "sheet string, row_idx int, col_idx int, value string"))
+    starts = spark.createDataFrame([("s", k) for k in range(31)], "sheet string, start int")
+    got = {r["start"]: r["type_consistency"] for r in sheets.type_consistency(g, starts).collect()}
+    every = {r["start"]: r["type_consistency"] for r in sheets.type_consistency(g, starts, sample=10**9).collect()}
+    assert got.keys() == every.keys() and all(abs(got[k] - every[k]) < 1e-12 for k in got) and len(got) == 31
