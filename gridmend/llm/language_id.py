@@ -2,7 +2,8 @@
 
 Document frequencies come from all learnable documents, as sums per bucket. Weights are trained by follow-the-regularised-leader
 (FTRL-proximal) with L1 and L2 penalties on a bounded sample: at most about SAMPLE_PER_LANGUAGE documents of each language and
-SAMPLE of all, chosen by a hash of doc_id; the features of the sample, and nothing else, reach the driver. A fifth of the sample is kept from training
+SAMPLE of all, and fewer where those would have more than SAMPLE_BYTES of features, chosen by a hash of doc_id; the features of the sample, and
+nothing else, reach the driver. A fifth of the sample is kept from training
 and sets the temperature by which scores are divided, so that a score is the probability of being right. Every document is then
 scored in one pass, whole, with no shuffle.
 
@@ -27,6 +28,8 @@ from .common import crc_mod, join_small
 
 BUCKETS = 1 << 14
 SAMPLE_PER_LANGUAGE, SAMPLE, EPOCHS = 1000, 20_000, 2
+#: of a document at most FEATURE_BYTES for each different n-gram, of which a character begins three at most
+SAMPLE_BYTES, FEATURE_BYTES = 256 << 20, 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
 UNKNOWN = "und"
 _ROWS, _CHARS = 64, 1 << 19
@@ -167,8 +170,10 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """From doc_id, text and lang of the documents that may be learned from."""
     own = docs.select("doc_id", "text", "lang").filter((crc_mod(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
-    sizes = own.groupBy("lang").agg(F.count("*").alias("size"))
-    languages = [(r["lang"], r["size"]) for r in sizes.orderBy("lang").collect()]  # a row per language
+    most = F.least(F.lit(BUCKETS), 3 * F.coalesce(F.char_length("text"), F.lit(0))) * FEATURE_BYTES
+    sizes = own.groupBy("lang").agg(F.count("*").alias("size"), F.avg(most).alias("bytes"))
+    found = sizes.orderBy("lang").collect()  # a row per language
+    languages = [(r["lang"], r["size"]) for r in found]
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((0, BUCKETS)), 1.0)
     df = np.zeros(BUCKETS)
@@ -177,7 +182,8 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
         df[r["bucket"]] = r["df"]
     idf = (np.log((1 + sum(n for _, n in languages)) / (1 + df)) + 1).astype(np.float32)
     per_language = min(per_language, max(SAMPLE // len(languages), 1))
-    rates = sizes.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), per_language / F.col("size")).alias("_rate"))
+    share = min(1.0, SAMPLE_BYTES / max(sum(min(r["size"], per_language) * r["bytes"] for r in found), 1.0))
+    rates = sizes.select(F.col("lang").alias("_lang"), (F.least(F.lit(1.0), per_language / F.col("size")) * share).alias("_rate"))
     order = F.xxhash64("doc_id", F.lit(11))
     chosen = join_small(own, rates, F.col("lang") == F.col("_lang"), "inner").filter(F.pmod(order, F.lit(1 << 20)) < F.col("_rate") * (1 << 20))
     rows = chosen.select("lang", order.alias("order"), "text").mapInArrow(_sample_features, "lang string, order long, at binary, n binary").collect()

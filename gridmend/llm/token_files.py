@@ -90,8 +90,10 @@ def _writer(path: str, end_id: int):
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, partitions: int | None = None) -> None:
     """Writes the token files of docs below path."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest(F.coalesce("text", F.lit(""))).alias("_digest"))
-    dealt = keyed.repartitionByRange(*([partitions] if partitions else []), "doc_id", "_digest").sortWithinPartitions("doc_id", "_digest")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest(F.coalesce("text", F.lit(""))).alias("_digest"), F.monotonically_increasing_id().alias("_place"))
+    # the place parts equal rows, which may be a third of all; those are alike wherever they go
+    order = ["doc_id", "_digest", "_place"]
+    dealt = keyed.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
     made = dealt.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(_writer(tokenizer, end_id), SCHEMA)
     options = {
         "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.dictionary.page.size": DICTIONARY, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "compression": "zstd", "parquet.compression.codec.zstd.level": "1",

@@ -180,3 +180,25 @@ def test_hash_clash_is_caught(seed, monkeypatch):
     raw = np.frombuffer(b"one two three four five six seven", np.uint8)
     ids, _ = own.encode(raw, np.array([0, len(raw)]))
     assert own.decode(ids)[0].tobytes() == raw.tobytes()
+
+
+def test_equal_rows_are_dealt_to_many_files(spark):
+    """A third of all rows without an id and with one text, in no file of their own."""
+    rows = spark.range(6000).selectExpr("if(id % 3 = 0, null, id) doc_id", "if(id % 3 = 0, 'the same text', concat('text ', id)) text").repartition(6)
+    path = shared_path(spark, "equal")
+    token_files.write_tokens(rows, P.path("byte_bpe_50k.json"), path, partitions=12)
+    sizes = [r["count"] for r in token_files._files(spark, path).groupBy("part").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 1200
+    read = token_files.read_tokens(spark, path).orderBy("start").collect()
+    assert [r["start"] for r in read] == [0, *__import__("itertools").accumulate(r["n_tokens"] for r in read)][:-1]
+
+
+def test_sample_is_bounded_in_bytes(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    took = []
+    plain = language_id.train_ftrl
+    monkeypatch.setattr(language_id, "train_ftrl", lambda rows, n: took.append(sum(6 * len(at) for _, at, _ in rows)) or plain(rows, n))
+    language_id.fit(docs)
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 200_000)
+    language_id.fit(docs)
+    assert took[1] < 300_000 < took[0]
