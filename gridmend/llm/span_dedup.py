@@ -16,7 +16,9 @@ The first occurrence of a run, by doc_id and then by place, stays; the sentences
 them stay as they are: with sentences that make up whole lines go those lines' indentation and one line break each, with others
 the white space towards the sentence that follows in the line, or, at a line's end, that before them.
 
-Runs that a document repeats are found as it is read. For the rest only (hash, document) rows are shuffled: once into a least and a
+A run is known by two independent hashes of 64 bits: nothing is removed because one of them is shared by chance.
+
+Runs that a document repeats are found as it is read. For the rest only (hashes, document) rows are shuffled: once into a least and a
 greatest document per hash, with partial sums, and once more to join the hashes that have two. Those are written first, so that
 adaptive execution may split the join where a passage is in a third of all documents. What is then shuffled with the texts is each
 document's own list of hashes to remove.
@@ -84,7 +86,8 @@ class Sentences:
         first, last = self._pairs(k, natural, sentences, window_words, span_words)
         same = self.row[first] == self.row[last]
         self.first, self.last = first[same], last[same]
-        self.hashes = span_hashes(hashes, self.starts[self.first], self.ends[self.last]).view(np.int64) if n else np.zeros(0, np.int64)
+        spans = self.starts[self.first], self.ends[self.last]
+        self.hashes, self.seconds = (span_hashes(x, *spans).view(np.int64) if n else np.zeros(0, np.int64) for x in (hashes, w.second_hashes() if n else hashes))
         self.run_row = self.row[self.first]
 
     def _pairs(self, k: np.ndarray, natural: np.ndarray, sentences: int, window_words: int, span_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,20 +109,25 @@ def _by_row(rows: np.ndarray, n: int) -> np.ndarray:
     return np.append(0, np.cumsum(np.bincount(rows, minlength=n)))
 
 
+_RUNS = T.ArrayType(T.StructType([T.StructField("h", T.LongType(), False), T.StructField("g", T.LongType(), False)]), False)
+_RUNS_ARROW = pa.list_(pa.field("element", pa.struct([pa.field("h", pa.int64(), False), pa.field("g", pa.int64(), False)]), False))
+
+
 def _hasher(*limits: int):
-    @F.arrow_udf(T.ArrayType(T.LongType(), False))
+    @F.arrow_udf(_RUNS)
     def run_hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             made = []
             for _, _, raw, offsets in texts(column):
                 s = Sentences(raw, offsets, *limits)
                 # each hash once a document
-                order = np.lexsort((s.hashes, s.run_row))
-                h, r = s.hashes[order], s.run_row[order]
+                order = np.lexsort((s.seconds, s.hashes, s.run_row))
+                h, g, r = s.hashes[order], s.seconds[order], s.run_row[order]
                 new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-                made.append(pa.ListArray.from_arrays(pa.array(_by_row(r[new], len(offsets) - 1), pa.int32()), pa.array(h[new])))
-            yield pa.concat_arrays(made) if made else pa.array([], pa.list_(pa.int64()))
+                new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (r[1:] != r[:-1])
+                runs = pa.StructArray.from_arrays([pa.array(h[new]), pa.array(g[new])], fields=list(_RUNS_ARROW.value_type))
+                made.append(pa.ListArray.from_arrays(pa.array(_by_row(r[new], len(offsets) - 1), pa.int32()), runs, type=_RUNS_ARROW))
+            yield pa.concat_arrays(made) if made else pa.array([], _RUNS_ARROW)
 
     return run_hashes
 
@@ -167,16 +175,18 @@ def _remover(*limits: int):
                 s = Sentences(raw, offsets, *limits)
                 part = removed.slice(a, b - a)
                 lengths = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                lists = part.flatten().to_numpy(zero_copy_only=False)
+                flat = part.flatten()
+                lists, seconds = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 ends = np.append(0, np.cumsum(lengths))
                 # all but the first place of each hash in a document, and all places of those to remove
-                order = np.lexsort((s.first, s.hashes, s.run_row))
-                h, r = s.hashes[order], s.run_row[order]
+                order = np.lexsort((s.first, s.seconds, s.hashes, s.run_row))
+                h, g, r = s.hashes[order], s.seconds[order], s.run_row[order]
                 again = np.zeros(len(h), bool)
-                again[1:] = (h[1:] == h[:-1]) & (r[1:] == r[:-1]) & (s.first[order][1:] != s.first[order][:-1])
+                again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1]) & (r[1:] == r[:-1]) & (s.first[order][1:] != s.first[order][:-1])
                 for row in np.flatnonzero(lengths):
                     x, y = np.searchsorted(r, [row, row + 1])
-                    again[x:y] |= np.isin(h[x:y], lists[ends[row] : ends[row + 1]])
+                    own = slice(ends[row], ends[row + 1])
+                    again[x:y] |= np.isin(h[x:y], lists[own]) & np.isin(g[x:y], seconds[own])
                 hit = order[again]
                 edge = np.zeros(len(s.starts) + 1, np.int64)
                 np.add.at(edge, s.first[hit], 1)
@@ -203,10 +213,10 @@ def span_dedup(docs: DataFrame, sentences: int = SENTENCES, window_words: int =
     """docs without the sentences under any but the first occurrence of a repeated run."""
     limits = (sentences, window_words, span_words, cap)
     rows = docs.drop("_doc", "_removed", "_kept").withColumn("_doc", _document(docs))
-    runs = rows.select("_doc", F.explode(_hasher(*limits)(F.col("text"))).alias("h"))
-    repeated = runs.groupBy("h").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).filter("first != last").drop("last")
-    later = runs.join(cut(repeated, "repeated-runs").hint("merge"), "h").filter("_doc != first")
-    later = cut(later.groupBy("_doc").agg(F.collect_set("h").alias("_removed")), "runs-to-remove")
+    runs = rows.select("_doc", F.inline(_hasher(*limits)(F.col("text"))))
+    repeated = runs.groupBy("h", "g").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).filter("first != last").drop("last")
+    later = runs.join(cut(repeated, "repeated-runs").hint("merge"), ["h", "g"]).filter("_doc != first")
+    later = cut(later.groupBy("_doc").agg(F.collect_set(F.struct("h", "g")).alias("_removed")), "runs-to-remove")
     joined = rows.join(later.hint("shuffle_hash"), "_doc", "left")
     out = joined.withColumn("_kept", _remover(*limits)(F.col("text"), F.col("_removed")))
     new = {"text": F.col("_kept")["text"], "n_chars": F.length(F.col("_kept")["text"]).cast("long"), "n_sentences": F.col("_kept")["n_sentences"], "n_removed": F.col("_kept")["n_removed"]}

@@ -17,6 +17,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BYTE2 = np.random.default_rng(20240202).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -92,6 +93,10 @@ class Words:
     def hashes(self) -> np.ndarray:
         return span_hashes(_BYTE[self.raw], self.starts, self.ends)
 
+    def second_hashes(self) -> np.ndarray:
+        """Independent of the first: where both are equal, words are."""
+        return span_hashes(_BYTE2[self.raw], self.starts, self.ends)
+
 
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of n words, and the row of each; a text of 1 to n-1 words has one run, all of it."""

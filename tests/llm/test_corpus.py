@@ -9,7 +9,9 @@ from collections import Counter
 
 import pytest
 
-from gridmend.llm import components, decontamination, ngram_join, span_dedup, warc
+from pyspark.sql import functions as F
+
+from gridmend.llm import common, components, decontamination, ngram_join, span_dedup, warc
 from gridmend.llm.common import shared_path
 
 
@@ -165,6 +167,93 @@ def test_span_dedup_against_brute_force(spark):
     assert sum(map(len, gone.values())) > 20
 
 
+def test_equal_runs_need_both_hashes(spark, monkeypatch):
+    """Runs that share their first hash by chance stay."""
+    rows = [(k, " ".join(f"d{k}s{j}w{i}" for j in range(3) for i in range(6)).replace("w5", "w5.")) for k in range(6)] + [(9, PASSAGE), (10, PASSAGE)]
+    plain = span_dedup.Sentences.__init__
+
+    def same(self, *x):
+        plain(self, *x)
+        self.hashes = self.hashes * 0 + 7
+
+    monkeypatch.setattr(span_dedup.Sentences, "__init__", same)
+    spark.sparkContext._jvm.System.gc()
+    made = []
+    import pyarrow as pa
+
+    for _, t in rows:
+        made.append(span_dedup._hasher(3, 15, 25, 25).func(iter([pa.array([t])])).__next__().to_pylist()[0])
+    assert all(x["h"] == 7 for runs in made for x in runs)
+    seconds = [{x["g"] for x in runs} for runs in made]
+    assert seconds[-1] == seconds[-2] and all(not (a & b) for i, a in enumerate(seconds[:-1]) for b in seconds[:i])
+    gone = span_dedup._remover(3, 15, 25, 25).func(iter([(pa.array([rows[0][1], PASSAGE]), pa.array([made[-1], made[-1]], span_dedup._RUNS_ARROW))])).__next__().to_pylist()
+    assert gone[0]["n_removed"] == 0 and gone[1]["text"] == ""
+
+
+def spans_by_hand(rows, sentences=3, window_words=15, span_words=25):
+    """The module's rules over texts in which every sentence ends with a mark and has at most 25 words, so that no stretch is cut."""
+    split = [[s.split() for s in re.findall(r"\S[^.!?\n]*[.!?]?", t)] for _, t in rows]
+    runs = []
+    for i, own in enumerate(split):
+        size = [len(x) for x in own]
+        found = set()
+        for k in range(len(own)):
+            if k + sentences <= len(own) and sum(size[k : k + sentences]) >= window_words:
+                found.add((k, k + sentences - 1))
+            ahead = next((j for j in range(k + 1, len(own)) if sum(size[k : j + 1]) >= span_words), None)
+            back = next((j for j in range(k - 1, -1, -1) if sum(size[j : k + 1]) >= span_words), None)
+            found |= {(k, ahead)} if ahead is not None else set()
+            found |= {(back, k)} if back is not None else set()
+        runs += [(rows[i][0], a, b, i, tuple(w for x in own[a : b + 1] for w in x)) for a, b in found]
+    first, gone = {}, [set() for _ in rows]
+    for _, a, b, i, words in sorted(runs):
+        if first.setdefault(words, (i, a)) != (i, a):
+            gone[i] |= set(range(a, b + 1))
+    return {rows[i][0]: (" ".join(w for k, x in enumerate(own) if k not in gone[i] for w in x), len(gone[i])) for i, own in enumerate(split)}
+
+
+def test_span_dedup_defaults_against_brute_force(spark):
+    r = random.Random(21)
+    pool = [" ".join(f"p{k}w{r.randint(0, 9)}" for _ in range(r.randint(2, 14))) + r.choice(".!?") for k in range(25)]
+    passages = [[r.choice(pool) for _ in range(r.randint(2, 5))] for _ in range(8)]
+    rows = []
+    for i in range(80):
+        parts = []
+        for _ in range(r.randint(0, 5)):
+            parts += r.choice(passages) if r.random() < 0.6 else [f"own{i}x{r.randint(0, 99)} " * r.randint(1, 12) + "end."]
+        rows.append((i, r.choice([" ", "\n"]).join(parts)))
+    want = spans_by_hand(rows)
+    got = {x["doc_id"]: (" ".join(x["text"].split()), x["n_removed"]) for x in span_dedup.span_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 100
+
+
+def test_hot_runs_buckets_and_roots_are_split(spark, monkeypatch):
+    """A passage in all documents: the join that finds it is split. A root with all others as neighbours: no part has more than its share."""
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "20k")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "10k")
+        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.2")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = spark.range(6000).selectExpr("id AS _doc", "cast(7 AS long) h", "cast(7 AS long) g").union(spark.range(3000).selectExpr("id", "id * 31 + 100", "id")).repartition(8)
+        repeated = common.cut(rows.groupBy("h", "g").agg(F.min("_doc").alias("first")), "repeated")
+        joined = rows.join(repeated.hint("merge"), ["h", "g"])
+        sizes = [x["n"] for x in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        plan = joined._jdf.queryExecution().executedPlan()
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString() or max(sizes) < 6000, plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    monkeypatch.setattr(components, "PART_EDGES", 100)
+    edges = spark.range(1, 3000).selectExpr("0 AS a", "id AS b")
+    parts = []
+    plain = components._with_least
+    monkeypatch.setattr(components, "_with_least", lambda e, least, n: parts.append(n) or plain(e, least, n))
+    found = components.connected(edges, "a", "b")
+    assert found.count() == 2999 and found.filter("root <> 0").count() == 0 and max(parts) >= 2 * 2999 // 100
+
+
 def plain_leaks(texts, items):
     """All (position, item_id) by windows, BM25 and overlaps in plain Python, with the module's parameters."""
     D = decontamination
