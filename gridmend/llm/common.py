@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
+from gridmend import scratch
 
 #: Rows that a side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -26,15 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; if unset, the warehouse of a cluster or a local folder of tests."""
-    if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _own_dirs[app]
+    """The folder of spark.checkpoint.dir; if unset, a shared warehouse or a local folder of tests, and on other clusters an error."""
+    return scratch.root(spark)
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
