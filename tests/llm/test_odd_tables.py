@@ -35,18 +35,37 @@ def odd(spark, small, tmp_path_factory):
     labels.union(spark.createDataFrame([(None, 1, 0), (900, None, None), (901, 7, 0)], labels.schema)).select("*", F.lit("clash").alias("statistics")).write.parquet(f"{folder}/labels.parquet")
     items = spark.read.parquet(f"{small}/benchmark.parquet")
     items.union(spark.createDataFrame([(None, None), (77, ""), (78, "!!")], items.schema)).select("*", F.lit("clash").alias("df")).write.parquet(f"{folder}/benchmark.parquet")
+    turns = spark.read.parquet(f"{small}/conversations.parquet")
+    talk = [(None, 1, "user", "no id"), (700, None, "user", "first"), (700, None, "user", "first"), (700, 3, None, None), (700, 2, "", ""), (701, 0, "user", long), (701, 0, "user", long), (702, 5, "é", "\x00")]
+    turns.union(spark.createDataFrame(talk, turns.schema)).select("*", *[F.lit("clash").alias(c) for c in ("ids", "at", "hi", "own", "depth")]).write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
 @pytest.fixture(scope="module")
 def empty(spark, odd, tmp_path_factory):
     folder = f"file://{tmp_path_factory.mktemp('empty')}"
-    for name in ("documents", "pages", "labels", "benchmark"):
+    for name in ("documents", "pages", "labels", "benchmark", "conversations"):
         spark.read.parquet(f"{odd}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_trie_and_phrases(spark, odd, empty):
+    """Not a row for each row of their tables; brute force has the rest (test_new_operators)."""
+    nodes = registry.queries()["op12_prefix_trie"](spark, odd).collect()
+    root = [n for n in nodes if n["depth"] == 0]
+    own = spark.read.parquet(f"{odd}/conversations.parquet").filter("conv_id is not null")
+    assert len(root) == 1 and root[0]["n_convs"] == own.select("conv_id").distinct().count() and root[0]["parent_conv_id"] is None
+    assert sum(n["n_children"] for n in nodes) == len(nodes) - 1 and sum(n["n_children"] == 0 for n in nodes) == root[0]["n_leaves"]
+    phrases = registry.queries()["op13_collocations"](spark, odd).collect()
+    assert phrases and all(p["a"] >= 10 and p["a"] <= min(p["l"], p["r"]) for p in phrases) and {p["lang"] for p in phrases} >= {"en"}
+    for name in ("op12_prefix_trie", "op13_collocations"):
+        assert registry.queries()[name](spark, empty).count() == 0
+
+
+OTHER_ROWS = ("op12_prefix_trie", "op13_collocations")
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(OTHER_ROWS)))
 def test_a_row_for_each_row(spark, odd, empty, name):
     table = "pages" if "warc" in name else "documents"
     there = spark.read.parquet(f"{odd}/{table}.parquet").count()
