@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -13,6 +17,7 @@ from pyspark.sql import types as T
 from gridmend import schema as S
 from gridmend.functions.clean import normalise
 from gridmend.operators import profile
+from gridmend.operators.memory import FLOOR, FULL
 
 WEIGHTS = {"lexical": 0.30, "semantic": 0.35, "fingerprint": 0.35}
 MIN_SCORE, ADMISSIBLE_LEXICAL, ADMISSIBLE_SEMANTIC, LOW_MARGIN = 0.25, 0.90, 0.70, 0.15
@@ -259,24 +264,70 @@ def assign(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy("sheet").applyInPandas(solve, _ASSIGNED)
 
 
-def build_evidence(columns: DataFrame, cells: DataFrame, phrases: DataFrame, year: int) -> DataFrame:
-    """A row per column (sheet, column_idx, header) and target, with the scores of each channel; cells: (sheet, column_idx, pos, value)."""
+GRAMS, DIMENSIONS = (3, 4, 5), 512
+
+
+def hashed_grams(texts: pd.Series) -> np.ndarray:
+    """A vector a text: its character n-grams, hashed to DIMENSIONS places with signs, as the logarithm of their counts. The encoder at hand; others are a parameter."""
+    out = np.zeros((len(texts), DIMENSIONS))
+    for i, text in enumerate(texts):
+        padded = f" {text} "
+        grams = Counter(padded[k : k + n] for n in GRAMS for k in range(len(padded) - n + 1))
+        for gram, n in grams.items():
+            h = zlib.crc32(gram.encode())
+            out[i, h % DIMENSIONS] += math.log1p(n) * (1 if h >> 31 else -1)
+    return out
+
+
+def semantic_scores(columns: DataFrame, descriptions: dict[str, str], encode: Callable[[pd.Series], np.ndarray] | None = hashed_grams) -> DataFrame:
+    """(header, target, semantic) of each different header and described target: the calibrated cosine of their vectors.
+
+    The descriptions, one a target, go to the tasks, which encode them once each beside the headers that they hold. encode None, or one that
+    raises ImportError in a task, gives null scores: fusion then leaves the channel out.
+    """
+    targets, said = list(descriptions), pd.Series(list(descriptions.values()), dtype=object)
+    schema = "header string, target string, semantic double"
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        known = None
+        for pdf in batches:
+            try:
+                known = unit(encode(said)) if known is None else known
+                found = unit(encode(pdf["long"])) @ known.T
+            except ImportError:
+                found = np.full((len(pdf), len(targets)), np.nan)
+            made = np.clip((found - FLOOR) / (FULL - FLOOR), 0, 1).round(4)
+            yield pd.DataFrame({"header": np.repeat(pdf["header"].to_numpy(), len(targets)), "target": np.tile(targets, len(pdf)), "semantic": made.ravel()})
+
+    headers = columns.select("header").distinct().withColumn("long", F.coalesce(prepare(F.col("header")), F.lit("")))
+    if encode is None:
+        return headers.select("header", F.explode(F.array(*map(F.lit, targets))).alias("target"), F.lit(None).cast("double").alias("semantic"))
+    return headers.mapInPandas(score, schema).withColumn("semantic", F.nanvl("semantic", F.lit(None)))
+
+
+def build_evidence(columns: DataFrame, cells: DataFrame, phrases: DataFrame, year: int, semantic: DataFrame | None = None) -> DataFrame:
+    """A row per column (sheet, column_idx, header) and target, with the scores of each channel; cells: (sheet, column_idx, pos, value).
+
+    semantic: (header, target, semantic) of `semantic_scores` or another model; where it has none the channel is left out.
+    """
     key = F.to_json(F.struct("sheet", "column_idx"))
     fits = profile.fingerprint(profile.profile(cells.select(key.alias("column"), "pos", "value", *[c for c in ("type",) if c in cells.columns]), year))
     fits = fits.withColumn("x", F.from_json("column", "sheet string, column_idx int")).select("x.*", "target", "fingerprint", "abstained")
     named = lexical(columns, phrases).select("header", "target", "ordinal", "lexical", "exact")
     out = columns.join(named, "header").join(fits, ["sheet", "column_idx", "target"], "left").fillna({"fingerprint": 0.0, "abstained": True})
-    return out.withColumn("fused", fuse(F.col("lexical"), F.col("fingerprint"), F.col("abstained"))).withColumn("semantic", F.lit(None).cast("double"))
+    out = out.withColumn("semantic", F.lit(None).cast("double")) if semantic is None else out.join(semantic, ["header", "target"], "left")
+    return out.withColumn("fused", fuse(F.col("lexical"), F.col("fingerprint"), F.col("abstained"), F.col("semantic")))
 
 
 def map_columns(evidence: DataFrame) -> DataFrame:
     """The stage's output: per column its target, confidence, method, flag, runner-up and the scores behind them."""
-    scores = evidence.select("sheet", "column_idx", "target", "exact", "lexical", "fingerprint")
+    scores = evidence.select("sheet", "column_idx", "target", "exact", "lexical", "fingerprint", "semantic")
     chosen = assign(evidence).join(scores, ["sheet", "column_idx", "target"], "left")
     plain = margin_confidence(F.col("fused"), F.col("margin"))
     boosted = exact_boost(plain, F.col("fused"), F.coalesce("exact", F.lit(False)), F.coalesce("fingerprint", F.lit(0.0)))
     chosen = chosen.withColumn("confidence", F.when(F.col("target").isNull(), 0.0).otherwise(boosted))
-    return chosen.withColumn("method", method(F.col("target"), F.coalesce("exact", F.lit(False)), F.col("lexical"), F.col("fingerprint"))).withColumn("flag", review_flag(F.col("confidence"), F.col("target")))
+    return chosen.withColumn("method", method(F.col("target"), F.coalesce("exact", F.lit(False)), F.col("lexical"), F.col("fingerprint"), F.coalesce("semantic", F.lit(0.0)))).withColumn("flag", review_flag(F.col("confidence"), F.col("target")))
 
 
 def unmapped_targets(mappings: DataFrame) -> DataFrame:

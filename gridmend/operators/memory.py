@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridmend.operators import vectors
+
 FLOOR, FULL = 0.35, 0.80
 MAX_QUERIES = 1000
 
@@ -38,10 +40,8 @@ def compare(queries: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, vec_id, similarity) of each query's k nearest rows, for queries (query_id, query).
+    """(query_id, vec_id, similarity, rank) of each query's k nearest rows, for queries (query_id, query); blocks of both are compared as matrices.
 
-    Each task's rows are ranked by window groups of the query, whose limit Spark also applies before it shuffles.
+    Over a table that is searched again and again, `vectors` keeps an index.
     """
-    pairs = compare(queries, rows).select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return vectors.exact(rows, queries, k)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from gridmend import schema as S
 from gridmend.operators import mapping as M
-from gridmend.operators import memory, profile, sheets, verify
+from gridmend.operators import memory, profile, sheets, vectors, verify
 from gridmend.plans import oracle as O
 from gridmend.plans.fixture import SOV_SQL, frame
-from gridmend.plans.registry import YEAR, findings_of, on_frame, query
+from gridmend.plans.registry import YEAR, _sql, findings_of, on_frame, query
 from gridmend.scratch import scratch, written
 from gridmend.sources import grid as G
 from gridmend.streaming import rules as stream_rules
@@ -179,32 +179,55 @@ def mapping_issues(spark: SparkSession, d: str) -> DataFrame:
     return M.mapping_issues(mappings, mappings, model=True).filter("field is null")
 
 
-_QUERIES = "q AS (SELECT label AS query_id, embedding AS query FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) WHERE k = 1), p AS (SELECT query_id, vec_id, round(list_cosine_similarity(query::DOUBLE[], embedding::DOUBLE[]), 6) AS similarity FROM embeddings, q)"
 
 
-def _label_queries(rows: DataFrame) -> DataFrame:
-    """The first vector of each label: as many queries as there are labels."""
-    return rows.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("query"))
+_TWENTIETH = "q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT query_id, vec_id, round(list_cosine_similarity(query::DOUBLE[], embedding::DOUBLE[]), 6) AS similarity FROM embeddings, q)"
 
 
-_TWENTIETH = "q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT query_id, vec_id, round(list_cosine_similarity(query::DOUBLE[], embedding::DOUBLE[]), 6) AS similarity FROM embeddings, q)"
+def _queries_of(rows: DataFrame) -> DataFrame:
+    return rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 @query("nearest_decisions", f"WITH {_TWENTIETH} SELECT query_id, vec_id, rank, round(similarity, 4) AS similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INT) AS rank FROM p) WHERE rank <= 5")
 def nearest_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Queries are the rows whose id is divisible by 20, against all rows."""
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return memory.nearest(queries, rows).withColumn("similarity", F.round("similarity", 4))
+    return memory.nearest(_queries_of(rows), rows).withColumn("similarity", F.round("similarity", 4))
 
 
-@query("semantic_matrix", f"WITH {_QUERIES} SELECT query_id, vec_id, round(greatest(0.0, least(1.0, (similarity - 0.35) / 0.45)), 4) AS score FROM p")
+@query("semantic_matrix", f"WITH {_TWENTIETH} SELECT query_id, vec_id, round(greatest(0.0, least(1.0, (similarity - 0.35) / 0.45)), 4) AS score FROM p")
 def semantic_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """All scores of the queries that nearest_decisions has."""
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    pairs = memory.compare(_label_queries(rows), rows)
+    pairs = memory.compare(_queries_of(rows), rows)
     return pairs.select("query_id", "vec_id", memory.calibrate(F.round(memory.cosine(F.col("query"), F.col("embedding")), 6)).alias("score"))
 
 
+def _indexed(spark: SparkSession, rows: DataFrame) -> tuple[str, vectors.Lists]:
+    """An index into which every row came twice: first, for every other one, with its vector turned round, then as it is."""
+    lists, path = vectors.fit(rows), scratch(spark, "vectors")
+    turned = rows.filter("vec_id % 2 = 1").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    vectors.upsert(path, turned, lists)
+    vectors.upsert(path, rows, lists)
+    return path, lists
+
+
+@query("vector_index", _sql["nearest_decisions"])
+def vector_index(spark: SparkSession, d: str) -> DataFrame:
+    """The exact search of an index after an upsert."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    path, lists = _indexed(spark, rows)
+    return vectors.search(vectors.read(spark, path), _queries_of(rows), lists).withColumn("similarity", F.round("similarity", 4))
+
+
+@query("vector_search")
+def vector_search(spark: SparkSession, d: str) -> DataFrame:
+    """The search of half of the lists, as these vectors have no clusters; a test measures its recall over the same queries."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    path, lists = _indexed(spark, rows)
+    return vectors.search(vectors.read(spark, path), _queries_of(rows), lists, probes=-(-len(lists.centroids) // 2)).withColumn("similarity", F.round("similarity", 4))
+
+
 _NUMS = "list_distinct(list_transform(list_filter(regexp_extract_all(text, '[0-9][0-9,]*(?:\\.[0-9]+)?%?'), lambda x: NOT ends_with(x, '%')), lambda x: replace(x, ',', '')))"
 query("number_trace", f"SELECT doc_id, CAST(len(list_filter({_NUMS}, lambda x: x NOT IN (CAST(doc_id AS VARCHAR), CAST(n_chars AS VARCHAR)))) AS INT) AS n_untraceable FROM documents")(
     lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(verify.untraceable(F.col("text"), F.array(F.col("doc_id").cast("string"), F.col("n_chars").cast("string")))).alias("n_untraceable"))
