@@ -39,9 +39,10 @@ def mapped(df: DataFrame) -> list[str]:
 
 
 def select_mapping(df: DataFrame, mapping: dict[str, str], row: str = "sheet_row") -> DataFrame:
-    """Source columns as target columns; what no target took goes into a map by header."""
+    """Source columns as target columns; what no target took goes into a map by header, column_{i} (from 0) for a blank one."""
+    headers = {c: c if c.strip() else f"column_{k}" for k, c in enumerate(x for x in df.columns if x != row)}
     rest = [c for c in df.columns if c not in mapping.values() and c != row]
-    unmapped = F.create_map(*[x for c in rest for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]) if rest else F.create_map().cast("map<string,string>")
+    unmapped = F.create_map(*[x for c in rest for x in (F.lit(headers[c]), F.col(f"`{c}`").cast("string"))]) if rest else F.create_map().cast("map<string,string>")
     return df.select(F.col(row).cast("long").alias("sheet_row"), *[F.col(f"`{mapping[f]}`").cast("string").alias(S.COLUMN_OF[f]) for f in S.FIELD_NAMES if f in mapping], unmapped.alias("unmapped"))
 
 

@@ -65,12 +65,12 @@ MORE_PHRASES: dict[str, list[str]] = {
     "Building Value": ["bldg", "building val", "bldg val", "building rc", "bldg rc", "rc value", "building replacement value", "real property value", "structure", "building tiv value", "bldg limit", "building sum insured", "prop damage bldg"],
     "Contents": ["contents val", "content", "bpp value", "personal prop", "pers property", "machinery and equipment", "m&e", "equipment", "stock and contents", "contents sum insured", "contents rc"],
     "BI": ["bi value", "bi/ee value", "business income value", "business interruption value", "time element value", "ee", "extra exp", "rental income", "loss of rents", "gross earnings", "bi limit value", "profits"],
-    "Occupancy": ["risk class", "business type", "industry", "sic", "naics", "occ code", "occ class", "tenancy"],
+    "Occupancy": ["risk class", "business type", "industry", "sic", "naics", "occ code", "occ class", "tenancy", "occupancy desc", "occupancy description", "building use", "property use"],
     "Construction": ["construction desc", "construction class", "const class", "constr class", "iso const", "building type", "frame type", "material", "wall construction", "roof and wall", "cons", "construction code"],
     "Storeys": ["no stories", "num stories", "# stories", "# floors", "storys above grade", "floor count", "levels", "no of levels", "height", "stories/floors"],
     "Number of Buildings": ["# bldgs", "# buildings", "no bldgs", "num bldgs", "count of buildings", "structures", "no of structures", "bldg qty", "units", "no of units"],
     "Year Built": ["yr", "year", "yr of construction", "date built", "year of build", "original construction year", "construction date", "built year", "vintage", "effective year built", "eyb"],
-    "Fire Sprinklers (Y/N)": ["sprinkler y/n", "sprinklered y n", "sprinkler system", "auto sprinklers", "fire suppression", "suppression", "sprinkler indicator", "spr", "spkr", "sprink"],
+    "Fire Sprinklers (Y/N)": ["sprinkler y/n", "sprinklered y n", "sprinkler system", "auto sprinklers", "fire suppression", "suppression", "sprinkler indicator", "spr", "spkr", "sprink", "sprinkler coverage", "fire protection"],
     "Other": ["other val", "misc value", "other prop value", "yard improvements", "outdoor property", "fences and signs", "improvements", "betterments", "tenant improvements", "eq value", "equipment breakdown", "all other"],
 }
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridmend import run
 from gridmend import schema as S
 from gridmend.operators import frame as FR
+from gridmend.operators import model
 from gridmend.operators import review, rules, score, transform
 from gridmend.operators.frame import FILE
 from gridmend.plans import oracle as O
@@ -116,6 +117,27 @@ R.on_frame("campus_recommendations", O.on_findings(f"SELECT rec_id, rule, field,
     lambda df: review.recommendations(_found(df), rules.campus_rows(df)).select("rec_id", "rule", "field", "op", "first_row", "confidence", "uncertain")
 )
 
+R.on_frame("eligible_for_reasoning", O.on_findings(f"SELECT {R._REC} FROM r WHERE uncertain QUALIFY row_number() OVER (ORDER BY position) <= 6", O.RECS))(lambda df: model.eligible(review.recommendations(_found(df))))
+
+
+def _mapped(df: DataFrame) -> DataFrame:
+    """The audit if every operation is accepted, the mapping of sprinklers, too, whose every row has its own proposal."""
+    found = _found(df)
+    recs = written(review.recommendations(found), "recommendations")
+    decisions = recs.select("rec_id", F.lit("accept").alias("decision"), F.lit(None).cast("string").alias("edited_op"), F.lit("reviewer").alias("reviewer"))
+    return transform.transform(df, found, transform.apply_decisions(recs, decisions))[1].filter("field like '%prinkler%'").select(*_AUDIT.split(", "))
+
+
+_SPRINKLED = R._CHANGED.replace(" AND op <> 'map_values'", "")
+R.on_frame("audit_map_values", O.on_findings("SELECT sheet_row, field, operation, before, coalesce(after, '(empty)') AS after, 'reviewer' AS approved_by FROM a WHERE field LIKE '%prinkler%'", _SPRINKLED))(_mapped)
+
+
+@R.query("preview_total", "SELECT count(*) AS n_rows FROM customer")
+def preview_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a preview of the first rows is a part of."""
+    return frame(spark, sf_dir).agg(F.count("*").alias("n_rows"))
+
+
 # workbooks of typed cells: numbers with exponents, dates in a column of years, booleans
 ROWS = 500
 
