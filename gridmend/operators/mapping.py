@@ -75,13 +75,18 @@ MORE_PHRASES: dict[str, list[str]] = {
 }
 
 
-def glossary(spark, extra: dict[str, list[str]] | None = None) -> DataFrame:
+def glossary_rows(extra: dict[str, list[str]] | None = None) -> list[tuple[str, int, str, int]]:
     """(target, ordinal, phrase, rank): each target's name and phrases, longest first."""
     rows = []
     for k, t in enumerate(S.FIELD_NAMES):
         phrases = {p.lower().strip() for p in [t, *VOCABULARY[t], *(extra or {}).get(t, [])]}
         rows += [(t, k, p, r) for r, p in enumerate(sorted(phrases, key=lambda p: (-len(p), p)))]
-    return spark.createDataFrame(rows, "target string, ordinal int, phrase string, rank int")
+    return rows
+
+
+def glossary(spark, extra: dict[str, list[str]] | None = None) -> DataFrame:
+    """The rows of glossary_rows."""
+    return spark.createDataFrame(glossary_rows(extra), "target string, ordinal int, phrase string, rank int")
 
 
 def prepare(header: Column) -> Column:

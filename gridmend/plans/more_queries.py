@@ -9,6 +9,7 @@ from gridmend import schema as S
 from gridmend.operators import mapping as M
 from gridmend.operators import memory, profile, sheets, vectors, verify
 from gridmend.plans import oracle as O
+from gridmend.plans import sheet_sql as SQL
 from gridmend.plans.fixture import SOV_SQL, frame
 from gridmend.plans.registry import YEAR, _sql, findings_of, on_frame, query
 from gridmend.scratch import scratch, written
@@ -144,14 +145,19 @@ def _located(spark: SparkSession, d: str):
     return grid, matches, written(sheets.header_blocks(grid, written(sheets.header_candidates(grid, matches), "candidates"), matches, spans), "blocks")
 
 
-query("match_target")(lambda spark, d: _matches(spark, cells_of(spark, d)))
-query("header_candidates")(lambda spark, d: sheets.header_candidates(g := sheets.trim_grid(cells_of(spark, d)), _matches(spark, g)))
+_TOP = f"row_idx < {sheets.SCAN}"
+query("match_target", f"{_GRID_DUCK}, g AS (SELECT * FROM cells WHERE value IS NOT NULL), {SQL.matches(_TOP)} SELECT value, target FROM m")(lambda spark, d: _matches(spark, cells_of(spark, d)))
+_FACTORS = ["label_density", "fill", "uniqueness", "type_consistency", "vocabulary", "score"]
+query("header_candidates", f"{_GRID_DUCK}, {_FILLED}, {SQL.matches(_TOP)}, {SQL.CANDIDATES} SELECT sheet, row_idx, {', '.join(f'round({c}, 6) AS {c}' for c in _FACTORS)} FROM ca")(
+    lambda spark, d: sheets.header_candidates(g := sheets.trim_grid(cells_of(spark, d)), _matches(spark, g)).select("sheet", "row_idx", *[F.round(c, 6).alias(c) for c in _FACTORS])
+)
 query("detect_headers", f"WITH {_SHEETS} SELECT CAST(n AS VARCHAR) AS sheet, n AS header_row, composite, n + CASE WHEN composite THEN 2 ELSE 1 END AS data_start FROM s")(lambda spark, d: _located(spark, d)[2].select("sheet", "header_row", "composite", "data_start"))
 query("header_names", f"WITH {_SHEETS} SELECT CAST(n AS VARCHAR) AS sheet, col_idx, CASE WHEN composite AND k IN (5, 6) THEN 'Values › ' || h ELSE h END AS name FROM k UNION ALL SELECT CAST(n AS VARCHAR), 9, 'Unnamed_10' FROM s")(
     lambda spark, d: (lambda g, m, h: sheets.header_names(g, h))(*_located(spark, d))
 )
-query("sheet_scores")(lambda spark, d: (lambda g, m, h: sheets.sheet_scores(g, h, m))(*_located(spark, d)))
-query("classify_sheets")(lambda spark, d: (lambda g, m, h: sheets.classify_sheets(sheets.sheet_scores(g, h, m)).select("sheet", "class", "confidence", "score"))(*_located(spark, d)))
+_SCORED = f"WITH {SQL.varied(SOV_SQL.replace('{source}', 'customer'), _GRID_COLS, _WORDS, _VALUES)}, {_FILLED}, {SQL.matches(_TOP)}, {SQL.CANDIDATES}, {SQL.SCORES}"
+query("sheet_scores", f"{_SCORED} SELECT * FROM ss")(lambda spark, d: (lambda g, m, h: sheets.sheet_scores(g, h, m))(*_located(spark, d)))
+query("classify_sheets", f"{_SCORED} {SQL.CLASSES}")(lambda spark, d: (lambda g, m, h: sheets.classify_sheets(sheets.sheet_scores(g, h, m)).select("sheet", "class", "confidence", "score"))(*_located(spark, d)))
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
