@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridmend import schema as S
-from gridmend.operators import mapping, review, rules, score, sheets, transform
+from gridmend.operators import mapping, model, profile, review, rules, score, sheets, transform
 from gridmend.operators.frame import FILE
 from gridmend.scratch import written
 from gridmend.sources import grid
 
 #: Changes with the tables' meaning; `resume` refuses a run of another version.
 STATE_VERSION = 2
-TABLES = ["files", "cells", "spans", "sheet_names", "manifest", "columns", "mappings", "issues", "frame", "findings", "quality", "recommendations", "cleaned", "audit"]
+TABLES = ["files", "cells", "spans", "sheet_names", "manifest", "columns", "mappings", "issues", "frame", "findings", "quality", "recommendations", "cleaned", "audit", "opinions", "reasons"]
 ISSUES = "file_id string, sheet string, stage string, rule string, field string, severity string, detail string"
 
 
@@ -57,6 +57,8 @@ class Run:
     recommendations: DataFrame | None = None
     cleaned: DataFrame | None = None
     audit: DataFrame | None = None
+    opinions: DataFrame | None = None
+    reasons: DataFrame | None = None
     trace: list[tuple[str, int]] = field(default_factory=list)
     step: int = 0
 
@@ -268,6 +270,31 @@ def assess(r: Run) -> None:
     r.keep("recommendations", review.recommendations(r.findings, rules.campus_rows(r.frame)))
 
 
+def adjudicate(r: Run, ask: model.Model | None, extra: dict[str, list[str]] | None = None, **how) -> Run:
+    """After the mapping: columns whose runner-up is close, as a model's verified reply would have them. `opinions` has every call."""
+    if ask is None:
+        return r
+    cells = _body(r).select("sheet", F.col("col_idx").alias("column_idx"), F.col("row_idx").alias("pos"), "value")
+    profiled = written(profile.profile(cells.select(model.column_key().alias("column"), "pos", "value"), r.year), "profiles")
+    phrases = mapping.glossary(r.cells.sparkSession, extra if extra is not None else mapping.MORE_PHRASES)
+    made, opinions = model.adjudicate(r.mappings, cells, profiled, phrases, ask, **how)
+    r.keep("opinions", opinions)
+    r.keep("mappings", written(made.select(*r.mappings.columns), "adjudicated"))
+    _save(r)
+    return r
+
+
+def reason(r: Run, ask: model.Model | None, **how) -> Run:
+    """After the assessment: prose and doubt of the unsure recommendations, as far as a model's reply holds. `reasons` has every call."""
+    if ask is None:
+        return r
+    made, reasons = model.reason(r.recommendations, r.findings, ask, **how)
+    r.keep("reasons", reasons)
+    r.keep("recommendations", written(made, "explained"))
+    _save(r)
+    return r
+
+
 def decide(r: Run, decisions: DataFrame | None = None, reviewer: str = "auto") -> Run:
     """Applies a reviewer's decisions (file_id, rec_id, decision, edited_op, reviewer); without any, all recommendations are accepted.
 

@@ -4,8 +4,10 @@ import json
 
 from pyspark.sql import functions as F
 
+from gridmend import run
 from gridmend.operators import mapping, model, profile, review
 from gridmend.scratch import scratch
+from gridmend.sources import grid
 
 
 def counting(tmp_path, answer, fail=0):
@@ -84,3 +86,26 @@ def test_adjudication_changes_a_close_column(spark, tmp_path):
     out, audit = model.adjudicate(maps, cells, profiled, mapping.glossary(spark), lies)
     assert {r["target"] for r in out.collect()} == {"Occupancy", "City", "County"} and audit.filter("accepted").isEmpty()
     assert audit.filter(F.array_contains("failures", "quotes a value that the column lacks")).count() == 2
+
+
+def test_a_run_with_a_model(spark, tmp_path):
+    """The stages between mapping, assessment and review; another session finds the model's words and the audit of its calls."""
+    (tmp_path / "calls").mkdir()
+    rows = [["Loc #", "Street Address", "Const", "Occ", "Bldg Value", "Yr Built"]] + [[f"L{k}", f"{k} Main Street", "Frame", "Office", str(500_000 + k), "3015" if k == 3 else str(1950 + k)] for k in range(8)]
+    (tmp_path / "m.xlsx").write_bytes(grid.write_xlsx(rows))
+
+    def answer(x):
+        if "rec_id" in x:
+            return json.dumps({"named_rec": x["rec_id"], "prose": "The values that are shown can't be what was meant by whoever wrote them.", "doubt": "A person should look."})
+        return json.dumps({"named_column": x["header"], "target": x["candidates"][0], "reason": "It reads like that."})
+
+    ask, out = counting(tmp_path / "calls", answer), f"file://{tmp_path}/out"
+    r = run.map_columns(run.find_sheets(run.read(spark, f"file://{tmp_path}/m.xlsx", 2026, "m", out)))
+    before = {x["column_idx"]: x["target"] for x in r.mappings.collect()}
+    run.adjudicate(r, ask)
+    assert {x["column_idx"]: x["target"] for x in r.mappings.collect()} == before and r.opinions.count() == mapping.low_margin(r.mappings).count()
+    run.reason(run.assess(r), ask)
+    again = run.resume(spark, out, "m")
+    said = {x["rule"]: x["prose"] for x in again.recommendations.collect()}
+    assert said["DQ-05"] and again.reasons.filter("accepted").count() == sum(p is not None for p in said.values())
+    assert run.clean(run.decide(again)).cleaned.count() == 8
