@@ -133,7 +133,7 @@ STREET_WORDS: dict[str, str] = {
     "lane": "ln", "ln": "ln", "court": "ct", "ct": "ct", "place": "pl", "pl": "pl", "parkway": "pkwy", "pkwy": "pkwy", "highway": "hwy", "hwy": "hwy",
     "suite": "ste", "ste": "ste", "north": "n", "south": "s", "east": "e", "west": "w", "northeast": "ne", "northwest": "nw", "southeast": "se", "southwest": "sw",
 }
-# Notations of a year, in the order in which they are tried.
+# Notations of a year, in the order in which they are tried. [0-9] is any digit, as Spark and SQL engines differ in what else \d is.
 DATE_SHAPES: list[tuple[str, str]] = [
     ("bare year", r"^\s*(1[6-9][0-9]{2}|20[0-9]{2})\s*$"),
     ("ISO date", r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"),

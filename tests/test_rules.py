@@ -153,3 +153,22 @@ def test_digits_of_zips_and_amounts(spark):
     df = table(spark, a=["29640"] * 3, b=["1000", "20000", "500"], c=["02110", "1", "7"])
     got = {r["column"]: r["digits_are"] for r in profile.resolve_digits(profile.cells(df, ["a", "b", "c"]), 2026).collect()}
     assert got["a"] == "zip" and got["b"] == "currency"
+
+
+def test_a_hot_location_is_split(spark):
+    """A third of all rows at one address: the join that gives them their findings may be split."""
+    settings = {"skewJoin.skewedPartitionThresholdInBytes": "20k", "advisoryPartitionSizeInBytes": "10k", "skewJoin.skewedPartitionFactor": "1.2", "coalescePartitions.enabled": "false", "autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(f"spark.sql.adaptive.{k}", None) for k in settings}
+    plain = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.adaptive.{k}", v)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = spark.range(9000).selectExpr("id AS sheet_row", "if(id % 3 = 0, '1 Main Street', concat(id div 2, ' Oak Avenue')) address", "'02110' zip", "concat('L', id) reference").repartition(6)
+        found = rules.run_rules(df, 2026, ["DQ-13"])
+        rows = found.collect()
+        assert len(rows) >= 3000 and "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.adaptive.{k}") if v is None else spark.conf.set(f"spark.sql.adaptive.{k}", v)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", plain)
