@@ -380,3 +380,65 @@ def test_pipeline(spark, small):
 
     out = corpus_pipeline.run(spark, small).collect()
     assert out and all(r["decodes"] for r in out) and len({r["doc_id"] for r in out}) == len(out)
+
+
+def plain_spans(rows):
+    """What span_dedup leaves of (doc_id, text), as words, by the module's sentences and runs of whole words in place of hashes."""
+    import numpy as np
+
+    D, runs, own = span_dedup, [], {}
+    for d, text in sorted(rows):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        s = D.Sentences(raw, np.array([0, len(raw)]), D.SENTENCES, D.WINDOW_WORDS, D.SPAN_WORDS, D.CAP)
+        w = [raw[a:b].tobytes().decode() for a, b in zip(s.words.starts, s.words.ends)]
+        lines = [raw[: s.words.starts[k]].tobytes().count(10) for k in range(len(w))]
+        natural = [k == 0 or lines[k] != lines[k - 1] or w[k - 1][-1] in ".!?" for k in range(len(w))] + [True]
+        bounds = [*s.starts.tolist(), len(w)]
+        sentences = [w[a:b] for a, b in zip(bounds, bounds[1:])]
+        size, n, found = [len(x) for x in sentences], len(sentences), set()
+        for k in range(n):
+            if k + 3 <= n and sum(size[k : k + 3]) >= D.WINDOW_WORDS and all(natural[bounds[j]] for j in range(k, k + 4)):
+                found.add((k, k + 2))
+            ahead = next((j for j in range(k + 1, n) if sum(size[k : j + 1]) >= D.SPAN_WORDS), None)
+            back = next((j for j in range(k - 1, -1, -1) if sum(size[j : k + 1]) >= D.SPAN_WORDS), None)
+            found |= {x for x in ((k, ahead), (back, k)) if None not in x}
+        own[d] = sentences
+        runs += [(d, a, b, tuple(x for y in sentences[a : b + 1] for x in y)) for a, b in found]
+    first, gone = {}, {d: set() for d in own}
+    for d, a, b, words in sorted(runs):
+        if first.setdefault(words, (d, a)) != (d, a):
+            gone[d] |= set(range(a, b + 1))
+    return {d: " ".join(x for k, y in enumerate(own[d]) if k not in gone[d] for x in y) for d in own if not gone[d] or len(gone[d]) < len(own[d])}
+
+
+def test_pipeline_against_plain_stages(spark, small):
+    """The first two stages by their SQL, the third and fourth in plain Python, the last by the library."""
+    import duckdb
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline
+    from gridmend.llm import sql
+
+    con = duckdb.connect()
+    con.execute(f"create table documents as select * from read_parquet('{small}/documents.parquet')")
+    found = con.execute(sql.OP1)
+    names = [d[0] for d in found.description]
+    kept = [r[names.index("doc_id")] for r in found.fetchall() if r[names.index("kept")]]
+    con.execute(f"delete from documents where doc_id not in ({', '.join(map(str, kept))})")
+    found = con.execute(sql.OP7)
+    names = [d[0] for d in found.description]
+    ones = {r[names.index("doc_id")] for r in found.fetchall() if r[names.index("class_id")] == r[names.index("doc_id")]}
+    texts = [r for r in con.execute("select doc_id, text from documents").fetchall() if r[0] in ones]
+    left = plain_spans(texts)
+    items = duckdb.connect().execute(f"select item_id, text from read_parquet('{small}/benchmark.parquet')").fetchall()
+    order = sorted(left)
+    leaked = {order[i] for i, _ in plain_leaks([left[d] for d in order], items)}
+    want = {d: t for d, t in left.items() if d not in leaked}
+    rows = corpus_pipeline.run(spark, small).collect()
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        ranks = {base64.b64decode(x): int(n) for x, n in (line.split() for line in file if line.strip())}
+    library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r["doc_id"]: library.decode(r["ids"]) for r in rows}
+    assert {d: " ".join(t.split()) for d, t in got.items()} == {d: " ".join(t.split()) for d, t in want.items()}
+    assert all(r["ids"] == library.encode_ordinary(got[r["doc_id"]]) for r in rows) and leaked and len(kept) > len(ones) > len(want)
