@@ -201,11 +201,20 @@ def nearest_decisions(spark: SparkSession, d: str) -> DataFrame:
     return memory.nearest(_queries_of(rows), rows).withColumn("similarity", F.round("similarity", 4))
 
 
-@query("semantic_matrix", f"WITH {_TWENTIETH} SELECT query_id, vec_id, round(greatest(0.0, least(1.0, (similarity - 0.35) / 0.45)), 4) AS score FROM p")
+_MEANS = "q AS (SELECT label AS query_id, list(m ORDER BY i) AS query FROM (SELECT label, i, avg(e) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label), p AS (SELECT query_id, vec_id, round(list_cosine_similarity(query, embedding::DOUBLE[]), 6) AS similarity FROM embeddings, q)"
+
+
+def _means(rows: DataFrame) -> DataFrame:
+    """(query_id, query): the mean of all vectors of each label, of which there are few."""
+    places = rows.select("label", F.posexplode("embedding").alias("i", "e")).groupBy("label", "i").agg(F.avg(F.col("e").cast("double")).alias("m"))
+    return places.groupBy(F.col("label").alias("query_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("query"))
+
+
+@query("semantic_matrix", f"WITH {_MEANS} SELECT query_id, vec_id, round(greatest(0.0, least(1.0, (similarity - 0.35) / 0.45)), 4) AS score FROM p")
 def semantic_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """All scores of the queries that nearest_decisions has."""
+    """Every row beside the mean of every label, as a header is scored beside every target's description."""
     rows = spark.read.parquet(f"{d}/embeddings.parquet")
-    pairs = memory.compare(_queries_of(rows), rows)
+    pairs = memory.compare(written(_means(rows), "means"), rows)
     return pairs.select("query_id", "vec_id", memory.calibrate(F.round(memory.cosine(F.col("query"), F.col("embedding")), 6)).alias("score"))
 
 
