@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridmend import schema as S
 from gridmend.functions.clean import strip
+from gridmend.scratch import written
 
 MIN_SAMPLE, SECOND_WEIGHT = 3, 0.6
 LEAN_ROWS, LEAN_RATIO, ZIP_SPREAD = 8, 0.4, 120.0
@@ -92,7 +93,7 @@ def profile(values: DataFrame, year: int) -> DataFrame:
 
     Cells are counted by column, shape and text before anything is joined; the rest works on those counts.
     """
-    shaped = _shaped(values, year)
+    shaped = written(_shaped(values, year), "shapes")  # read three times
     whole = shaped.groupBy("column", "v").agg(F.sum("n").alias("n")).groupBy("column").agg(F.sum("n").alias("non_empty"), F.count("*").alias("_different"))
     whole = whole.select("column", "non_empty", F.round(F.col("_different") / F.col("non_empty"), 4).alias("distinct_ratio"))
     counted = shaped.groupBy("column", "shape").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
