@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -10,6 +11,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,13 +98,15 @@ def prepare(header: Column) -> Column:
 
 
 def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    row = np.zeros(len(b) + 1, np.int64)
-    codes = np.array([ord(c) for c in b], np.int64)
+    """Length of the longest common subsequence. Bit k of the row is off where a match of b's letter k adds to the length."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << k
+    full = row = (1 << len(b)) - 1
     for c in a:
-        best = np.maximum(row[1:], row[:-1] + (codes == ord(c)))
-        row[1:] = np.maximum.accumulate(best)
-    return int(row[-1])
+        hit = row & at.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
 
 
 def _similar(a: str, b: str) -> float:
@@ -130,42 +134,142 @@ def token_set(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+    """Null where a is null."""
+    return pd.Series([None if x is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    """A row a text: how often it has each letter of a normalised text."""
+    return np.array([[t.count(c) for c in _LETTERS] for t in texts], np.int64).reshape(len(texts), len(_LETTERS))
+
+
+class _Phrases:
+    """A glossary laid out for `best`: its phrases by target, their letters, and where each word is."""
+
+    def __init__(self, rows: list[tuple[str, int, str, int]]):
+        named = sorted(((k, r, t, p, _plain(p)) for t, k, p, r in rows if _plain(p)), key=lambda x: x[:2])
+        self.names = [(t, k) for k, t in sorted({(x[0], x[2]) for x in named})]
+        self.phrases, self.plain = [x[3] for x in named], [x[4] for x in named]
+        self.sets = [set(p.split()) for p in self.plain]
+        self.letters = _letters([" ".join(sorted(s)) for s in self.sets])
+        self.sizes = self.letters.sum(1)
+        self.spans = [[i for i, x in enumerate(named) if x[0] == k] for _, k in self.names]
+        self.with_word: dict[str, list[int]] = {}
+        for i, s in enumerate(self.sets):
+            for w in s:
+                self.with_word.setdefault(w, []).append(i)
+
+    def best(self, bare: str, long: str) -> list[tuple[float, str, bool]]:
+        """(score, phrase, exact) of each target. A phrase is scored only while a bound of its score reaches the best so far.
+
+        Common letters bound the longest common subsequence; what shared words alone give is known from their lengths.
+        """
+        words = set(long.split())
+        own = _letters([" ".join(sorted(words))])[0]
+        bound = 2 * np.minimum(self.letters, own).sum(1) / np.maximum(self.sizes + own.sum(), 1)
+        shared: dict[int, list[str]] = {}
+        for w in words:
+            for i in self.with_word.get(w, ()):
+                shared.setdefault(i, []).append(w)
+        for i, ws in shared.items():
+            both = sum(map(len, ws)) + len(ws) - 1
+            whole = len(ws) in (len(words), len(self.sets[i]))
+            bound[i] = 1.0 if whole else max(bound[i], 2 * both / (both + min(own.sum(), self.sizes[i])))
+        out = []
+        for span in self.spans:
+            exact = next((i for i in span if self.plain[i] == bare), None)
+            if exact is not None:
+                out.append((1.0, self.phrases[exact], True))
+                continue
+            top, at = -1.0, span[0]
+            for i in sorted(span, key=lambda i: (-bound[i], i)):
+                if bound[i] < top - 1e-9:
+                    break
+                score = token_set_ratio(long, self.plain[i])
+                if (score, -i) > (top, -at):
+                    top, at = score, i
+            out.append((top, self.phrases[at], False))
+        return out
+
+
+def _plain(phrase: str) -> str:
+    return " ".join(re.findall("[a-z0-9]+", phrase.lower()))
+
+
+def lexical(headers: DataFrame, phrases: list[tuple[str, int, str, int]]) -> DataFrame:
+    """(header, target, ordinal, lexical, phrase, exact) for each different header and target; phrases: `glossary_rows`.
 
+    Each different header is one row of a task, which holds the glossary and looks for each target's best phrase from the highest bound down:
+    no pairs of headers and phrases are rows of a table. Ties go to the longest phrase. A null or wordless header scores 0 everywhere.
+    """
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Phrases(phrases)
+        for pdf in batches:
+            rows = [(h, t, k, *x) for h, b, l in zip(pdf["header"], pdf["bare"], pdf["long"]) for (t, k), x in zip(known.names, known.best(b, l))]
+            yield pd.DataFrame(rows, columns=["header", "target", "ordinal", "lexical", "phrase", "exact"])
 
-def lexical(headers: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(header, target, lexical, phrase, exact) for each different header and target. phrases is a glossary, a few hundred rows.
+    own = headers.select("header").distinct().select("header", F.coalesce(normalise(F.col("header")), F.lit("")).alias("bare"), F.coalesce(prepare(F.col("header")), F.lit("")).alias("long"))
+    return own.mapInPandas(score, "header string, target string, ordinal int, lexical double, phrase string, exact boolean").withColumn("lexical", F.round("lexical", 4))
 
-    Pairs are headers times the fixed glossary; only those whose words differ are scored in Python, each different pair once.
+
+def _grams(text: str) -> list[str]:
+    return [text[k : k + 2] for k in range(len(text) - 1)]
+
+
+def _shared(both: float) -> int:
+    """How many pairs of letters two texts with so many letters in all share at least, if their ratio is FUZZY or more.
+
+    Matched letters are FUZZY * both / 2 or more on either side, and all others at most the rest; each gap between matched blocks holds one of those.
+    """
+    return max(1, math.ceil((1.5 * FUZZY - 1) * both - 1 - 1e-9))
+
+
+def _index(spark, phrases: list[tuple[str, int, str, int]]) -> DataFrame:
+    """The keys by which texts meet phrases: the whole phrase, its rarest word, and enough of its rarest letter pairs that a text alike has one of them."""
+    plain = [(t, k, r, _plain(p)) for t, k, p, r in phrases if _plain(p)]
+    often = Counter(w for *_, p in plain for w in set(p.split())) + Counter(g for *_, p in plain for g in set(_grams(p)))
+    rows = []
+    for t, k, r, p in plain:
+        words, grams = sorted(set(p.split())), _grams(p)
+        keys = ["=" + p, "w" + min(words, key=lambda w: (often[w], w))]
+        spare = _shared(len(p) * 2 / (2 - FUZZY)) - 1  # the shortest text alike has FUZZY / (2 - FUZZY) of the phrase's letters
+        for g in sorted(set(grams), key=lambda g: (-often[g], g)):
+            if grams.count(g) <= spare:
+                spare -= grams.count(g)
+            else:
+                keys.append("g" + g)
+        rows += [(key, t, k, r, p, words, grams) for key in keys]
+    names = ["_key", "target", "ordinal", "rank", "_phrase", "_words", "_grams"]
+    types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string())]
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, types)], names))
+
+
+def match_target(cells: DataFrame, phrases: list[tuple[str, int, str, int]]) -> DataFrame:
+    """(value, target) of each different cell text that reads as a target's header; phrases: `glossary_rows`.
+
+    Each text meets phrases by an equal join on keys: itself, its words, its letter pairs. Only what has the lengths and pairs of a likeness is compared.
     """
-    pairs = headers.select("header").distinct().withColumns({"_bare": normalise(F.col("header")), "_long": prepare(F.col("header"))}).crossJoin(F.broadcast(phrases.withColumn("_phrase", normalise(F.col("phrase")))))
-    exact = F.col("_bare") == F.col("_phrase")
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    x, y = words(F.col("_long")), words(F.col("_phrase"))
-    inside = F.arrays_overlap(x, y) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
-    pairs = pairs.filter("_phrase != ''").withColumn("_known", F.when(exact | (inside & (F.col("_long") != "")), 1.0))
-    far = pairs.filter("_known is null").withColumn("_score", token_set("_long", "_phrase"))
-    scored = pairs.filter("_known is not null").withColumn("_score", F.col("_known")).unionByName(far)
-    best = scored.groupBy("header", "target", "ordinal").agg(F.max_by(F.struct("_score", "phrase", exact.alias("exact")), F.struct(exact.cast("int"), "_score", -F.col("rank"))).alias("x"))
-    return best.select("header", "target", "ordinal", F.round("x._score", 4).alias("lexical"), "x.phrase", "x.exact")
-
-
-def match_target(cells: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(value, target) of each different cell text that reads as a target's header."""
-    words = lambda c: F.array_distinct(F.split(c, " "))
+    longest = max([len(_plain(p)) for _, _, p, _ in phrases], default=0)
     own = cells.select("value").distinct().withColumn("_text", normalise(F.col("value"))).filter("_text != ''")
-    pairs = own.crossJoin(F.broadcast(phrases.select("target", "ordinal", "rank", normalise(F.col("phrase")).alias("_phrase"))))
+    own = own.withColumn("_own", F.array_distinct(F.split("_text", " "))).withColumn("_n", F.size("_own"))
+    near = (F.col("_n") <= MAX_TOKENS) & F.length("_text").between(2, math.ceil(longest * (2 - FUZZY) / FUZZY))
+    pairs = F.when(near, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - 1, F.lit(1))), lambda k: F.substr("_text", k, F.lit(2))))).otherwise(F.array())
+    mark = lambda kind, found: F.transform(found, lambda x: F.concat(F.lit(kind), x))
+    keys = F.concat(F.array(F.concat(F.lit("="), "_text")), mark("w", F.when(F.col("_n") <= MAX_TOKENS, F.col("_own")).otherwise(F.array())), mark("g", F.col("_pairs")))
+    met = own.withColumn("_pairs", pairs).withColumn("_key", F.explode(keys)).join(_index(cells.sparkSession, phrases), "_key")
     exact = F.col("_text") == F.col("_phrase")
-    n = F.size(words(F.col("_text")))
-    inside = F.size(F.array_except(words(F.col("_phrase")), words(F.col("_text")))) == 0
-    share = F.size(words(F.col("_phrase"))) / n
-    plain = F.when(exact, 2.0).when(inside, F.when(share >= MIN_SHARE, 0.9 + 0.1 * share))
-    pairs = pairs.withColumns({"_plain": plain, "_inside": inside}).filter(exact | (n <= MAX_TOKENS))
-    # twice the common letters over all letters is the ratio: lengths that are too unlike rule it out without Python
+    inside = F.size(F.array_except("_words", "_own")) == 0
+    share = F.size("_words") / F.col("_n")
+    met = met.withColumn("_plain", F.when(exact, 2.0).when(inside & (F.col("_n") <= MAX_TOKENS) & (share >= MIN_SHARE), 0.9 + 0.1 * share))
     shorter, both = F.least(F.length("_text"), F.length("_phrase")), F.length("_text") + F.length("_phrase")
-    near = pairs.filter(F.col("_plain").isNull() & ~F.col("_inside") & (2 * shorter >= FUZZY * both)).withColumn("_score", _sequence_ratio("_text", "_phrase")).filter(F.col("_score") >= FUZZY)
-    scored = pairs.filter("_plain is not null").withColumn("_score", F.col("_plain")).unionByName(near)
-    return scored.groupBy("value").agg(F.max_by("target", F.struct("_score", -F.col("ordinal"), -F.col("rank"))).alias("target"))
+    common = F.size(F.filter("_grams", lambda g: F.array_contains("_pairs", g)))
+    alike = F.col("_key").startswith("g") & ~inside & (2 * shorter >= FUZZY * both) & (common >= (1.5 * FUZZY - 1) * both - 1 - 1e-9)
+    found = met.filter(F.col("_plain").isNotNull() | alike).withColumn("_score", F.coalesce("_plain", _sequence_ratio(F.when(F.col("_plain").isNull(), F.col("_text")), "_phrase")))
+    return found.filter(F.col("_plain").isNotNull() | (F.col("_score") >= FUZZY)).groupBy("value").agg(F.max_by("target", F.struct("_score", -F.col("ordinal"), -F.col("rank"))).alias("target"))
 
 
 def fuse(lexical_: Column, fingerprint: Column, abstained: Column, semantic: Column | None = None) -> Column:
@@ -311,7 +415,7 @@ def semantic_scores(columns: DataFrame, descriptions: dict[str, str], encode: Ca
     return headers.mapInPandas(score, schema).withColumn("semantic", F.nanvl("semantic", F.lit(None)))
 
 
-def build_evidence(columns: DataFrame, cells: DataFrame, phrases: DataFrame, year: int, semantic: DataFrame | None = None) -> DataFrame:
+def build_evidence(columns: DataFrame, cells: DataFrame, phrases: list[tuple[str, int, str, int]], year: int, semantic: DataFrame | None = None) -> DataFrame:
     """A row per column (sheet, column_idx, header) and target, with the scores of each channel; cells: (sheet, column_idx, pos, value).
 
     semantic: (header, target, semantic) of `semantic_scores` or another model; where it has none the channel is left out.

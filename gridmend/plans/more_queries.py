@@ -134,7 +134,7 @@ _SHEETS = "s AS (SELECT DISTINCT c_nationkey AS n, c_nationkey % 3 = 0 AS compos
 
 
 def _matches(spark: SparkSession, grid: DataFrame) -> DataFrame:
-    return M.match_target(grid.filter(F.col("row_idx") < sheets.SCAN).select("value"), M.glossary(spark))
+    return M.match_target(grid.filter(F.col("row_idx") < sheets.SCAN).select("value"), M.glossary_rows())
 
 
 def _located(spark: SparkSession, d: str):
@@ -165,10 +165,26 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
     grid, _, blocks = _located(spark, d)
     heads = sheets.header_names(grid, blocks).select("sheet", F.col("col_idx").alias("column_idx"), F.col("name").alias("header"))
     body = grid.join(blocks.select("sheet", "data_start"), "sheet").filter("row_idx >= data_start").select("sheet", F.col("col_idx").alias("column_idx"), F.col("row_idx").alias("pos"), "value")
-    return written(M.build_evidence(heads, body, M.glossary(spark), YEAR), "evidence")
+    return written(M.build_evidence(heads, body, M.glossary_rows(), YEAR), "evidence")
 
 
-query("lexical_match")(lambda spark, d: M.lexical(cells_of(spark, d).filter("row_idx = 2").select(F.col("value").alias("header")), M.glossary(spark)))
+# header phrases with a letter missing, every third with a word more: what no header of the schedules has
+_ALL_PHRASES = [p for _, _, p, _ in M.glossary_rows()]
+_MISSPELT = f"""SELECT DISTINCT concat(substr(w, 1, lost), substr(w, lost + 2), CASE WHEN p_partkey % 3 = 0 THEN ' ' || string_split(p_name, ' ')[1] ELSE '' END) AS header
+ FROM (SELECT *, CAST((p_partkey // {len(_ALL_PHRASES)}) % length(w) AS INT) AS lost FROM (SELECT *, [{", ".join(map(O.quoted, _ALL_PHRASES))}][p_partkey % {len(_ALL_PHRASES)} + 1] AS w FROM part))"""
+
+
+def misspelt(spark: SparkSession, d: str) -> DataFrame:
+    key, n = F.col("p_partkey"), len(_ALL_PHRASES)
+    part = spark.read.parquet(f"{d}/part.parquet").withColumn("w", F.get(F.array(*map(F.lit, _ALL_PHRASES)), (key % n).cast("int")))
+    at = F.expr(f"cast(p_partkey div {n} % length(w) as int)")
+    more = F.when(key % 3 == 0, F.concat(F.lit(" "), F.split("p_name", " ")[0])).otherwise("")
+    return part.select(F.concat(F.substr("w", F.lit(1), at), F.substr("w", at + 2), more).alias("header")).distinct()
+
+
+query("misspelt_headers", f"WITH hs AS ({_MISSPELT}), {SQL.LEXICAL} SELECT * FROM lx")(lambda spark, d: M.lexical(misspelt(spark, d), M.glossary_rows()))
+query("misspelt_texts")(lambda spark, d: M.match_target(misspelt(spark, d).select(F.col("header").alias("value")), M.glossary_rows()))
+query("lexical_match", f"{_GRID_DUCK}, hs AS (SELECT value AS header FROM cells WHERE row_idx = 2 AND value IS NOT NULL), {SQL.LEXICAL} SELECT * FROM lx")(lambda spark, d: M.lexical(cells_of(spark, d).filter("row_idx = 2").select(F.col("value").alias("header")), M.glossary_rows()))
 query("assign", f"WITH {_SHEETS} SELECT CAST(n AS VARCHAR) AS sheet, col_idx AS column_idx, target FROM k UNION ALL SELECT CAST(n AS VARCHAR), 9, NULL FROM s")(lambda spark, d: M.assign(_evidence(spark, d)).select("sheet", "column_idx", "target"))
 query("map_columns", f"WITH {_SHEETS} SELECT CAST(n AS VARCHAR) AS sheet, col_idx AS column_idx, target, CASE WHEN composite AND k IN (5, 6) THEN 'fused' ELSE 'exact' END AS method FROM k UNION ALL SELECT CAST(n AS VARCHAR), 9, NULL, 'unresolved' FROM s")(
     lambda spark, d: M.map_columns(_evidence(spark, d)).select("sheet", "column_idx", "target", "method")

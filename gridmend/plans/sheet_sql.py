@@ -26,6 +26,22 @@ def matches(scan: str) -> str:
  m AS (SELECT value, target FROM (SELECT *, row_number() OVER (PARTITION BY value ORDER BY s DESC, ordinal, rank) AS k FROM sc WHERE s IS NOT NULL) WHERE k = 1)"""
 
 
+_LONG = "MAP {" + ", ".join(f"{O.quoted(k)}: {O.quoted(v)}" for k, v in M.ABBREVIATIONS.items()) + "}"
+_MASKS = "list_transform(string_split(wl, ''), lambda c: CAST(list_sum(list_transform(range(length(wr)), lambda i: CASE WHEN wr[i + 1] = c THEN CAST(1 AS BIGINT) << CAST(i AS BIGINT) ELSE CAST(0 AS BIGINT) END)) AS BIGINT))"
+#: lx: (header, target, ordinal, lexical, phrase, exact) of all pairs of a header of hs and a phrase; a subsequence's length by rows of bits
+LEXICAL = f"""gp(target, ordinal, rank, phrase, p) AS (VALUES {", ".join(f"({O.quoted(t)}, {k}, {r}, {O.quoted(p)}, {O.quoted(_plain(p))})" for t, k, p, r in M.glossary_rows())}),
+ hn AS (SELECT header, {NORMAL.replace("value", "header")} AS bare FROM (SELECT DISTINCT header FROM hs)),
+ hl AS (SELECT header, bare, array_to_string(list_transform(string_split(bare, ' '), lambda w: concat_ws(' ', w, {_LONG}[w])), ' ') AS long FROM hn),
+ pw AS (SELECT *, list_sort(list_distinct(string_split(long, ' '))) AS x, list_sort(list_distinct(string_split(p, ' '))) AS y FROM hl, gp),
+ pb AS (SELECT *, list_filter(x, lambda w: list_contains(y, w)) AS b, list_filter(x, lambda w: NOT list_contains(y, w)) AS xl, list_filter(y, lambda w: NOT list_contains(x, w)) AS yr FROM pw),
+ pt AS (SELECT *, array_to_string(b || xl, ' ') AS wl, array_to_string(b || yr, ' ') AS wr, length(array_to_string(b, ' ')) AS nb FROM pb),
+ pm AS (SELECT *, (CAST(1 AS BIGINT) << CAST(length(wr) AS BIGINT)) - 1 AS full_row, {_MASKS} AS masks FROM pt),
+ pc AS (SELECT *, length(wr) - bit_count(list_reduce(masks, lambda v, m: ((v + (v & m)) | (v - (v & m))) & full_row, full_row)) AS n FROM pm),
+ sx AS (SELECT *, bare = p AS exact, CASE WHEN bare = p THEN 1.0 WHEN long = '' THEN 0.0 WHEN nb > 0 AND (len(xl) = 0 OR len(yr) = 0) THEN 1.0
+  ELSE greatest(2 * n / (length(wl) + length(wr)), CASE WHEN nb > 0 THEN greatest(2 * nb / (nb + length(wl)), 2 * nb / (nb + length(wr))) ELSE 0.0 END) END AS s FROM pc),
+ lx AS (SELECT header, target, ordinal, round(s, 4) AS lexical, phrase, exact FROM (SELECT *, row_number() OVER (PARTITION BY header, target ORDER BY exact DESC, s DESC, rank) AS k FROM sx) WHERE k = 1)"""
+
+
 #: ca: each candidate's factors; needs g and m
 CANDIDATES = f"""rw AS (SELECT sheet, row_idx, n_cols, count(*) AS filled, count(DISTINCT {NORMAL}) AS different FROM g WHERE row_idx < {SH.SCAN} GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT {NORMAL}) / count(*) >= {SH.MIN_UNIQUE}),
  ce AS (SELECT sheet, row_idx, {NORMAL} AS t, arg_min({KIND}, col_idx) AS kind, max(target) AS target FROM g LEFT JOIN m USING (value) WHERE row_idx < {SH.SCAN} GROUP BY ALL),

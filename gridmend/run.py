@@ -217,7 +217,7 @@ def take(r: Run, cells: DataFrame) -> Run:
 def find_sheets(r: Run) -> None:
     """The manifest: each sheet's header block, scores and class, one Primary a file; and the names of the Primary sheets' columns."""
     spark = r.cells.sparkSession
-    matches = written(mapping.match_target(r.cells.filter(F.col("row_idx") <= sheets.SCAN).select("value"), mapping.glossary(spark)), "matches")
+    matches = written(mapping.match_target(r.cells.filter(F.col("row_idx") <= sheets.SCAN).select("value"), mapping.glossary_rows()), "matches")
     candidates = written(sheets.header_candidates(r.cells, matches), "candidates")
     blocks = written(sheets.header_blocks(r.cells, candidates, matches, r.spans), "blocks")
     scores = sheets.sheet_scores(r.cells, blocks.select("sheet", "header_row", "score"), matches).join(r.sheet_names, "sheet", "left")
@@ -238,7 +238,7 @@ def _body(r: Run) -> DataFrame:
 @stage("mapping")
 def map_columns(r: Run, extra: dict[str, list[str]] | None = None) -> None:
     cells = _body(r).select("sheet", F.col("col_idx").alias("column_idx"), F.col("row_idx").alias("pos"), "value", "type")
-    phrases = mapping.glossary(r.cells.sparkSession, extra if extra is not None else mapping.MORE_PHRASES)
+    phrases = mapping.glossary_rows(extra if extra is not None else mapping.MORE_PHRASES)
     columns = _of_files(r.columns, r)
     evidence = written(mapping.build_evidence(columns.drop(FILE), cells, phrases, r.year), "evidence")
     r.keep("mappings", mapping.map_columns(evidence).join(_primary(r).select("sheet", FILE), "sheet"))

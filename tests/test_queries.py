@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ["clean_amount", "dq07", "dq11", "dq12", "reconcile", "recommendations", "completeness", "quality_score", "audit_diff", "profile_column", "nearest_decisions"]
+NAMES = ["clean_amount", "dq07", "dq11", "dq12", "reconcile", "recommendations", "completeness", "quality_score", "audit_diff", "profile_column", "nearest_decisions", "lexical_match", "misspelt_headers"]
 
 
 def rounded(rows):

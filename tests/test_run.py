@@ -49,7 +49,7 @@ def test_contracts(spark, tmp_path):
 def blocks(spark, rows, spans=()):
     cells = [("s", r, c, v) for r, row in enumerate(rows) for c, v in enumerate(row) if v]
     g = sheets.trim_grid(spark.createDataFrame(cells, "sheet string, row_idx int, col_idx int, value string"))
-    matches = mapping.match_target(g.select("value"), mapping.glossary(spark))
+    matches = mapping.match_target(g.select("value"), mapping.glossary_rows())
     merged = spark.createDataFrame(list(spans), "sheet string, r0 int, c0 int, r1 int, c1 int") if spans else None
     found = sheets.header_blocks(g, sheets.header_candidates(g, matches), matches, merged)
     return found.first(), [x["name"] for x in sheets.header_names(g, found).orderBy("col_idx").collect()]

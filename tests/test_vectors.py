@@ -69,7 +69,7 @@ def test_semantic_channel(spark):
     scores = mapping.semantic_scores(columns, said)
     have = {(r["header"], r["target"]): r["semantic"] for r in scores.collect()}
     assert len(have) == 6 and have["Bldg Repl Cost", "Building Value"] > have["Bldg Repl Cost", "City"] and have["zzz", "City"] == 0
-    phrases = mapping.glossary(spark)
+    phrases = mapping.glossary_rows()
     plain = {(r["header"], r["target"]): r for r in mapping.build_evidence(columns, cells, phrases, 2026).collect()}
     fused = {(r["header"], r["target"]): r for r in mapping.build_evidence(columns, cells, phrases, 2026, scores).collect()}
     for key, r in fused.items():
