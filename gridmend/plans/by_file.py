@@ -17,8 +17,9 @@ from gridmend.operators.frame import FILE
 from gridmend.plans import oracle as O
 from gridmend.plans import registry as R
 from gridmend.plans.fixture import frame
-from gridmend.scratch import written
+from gridmend.scratch import scratch, written
 from gridmend.sources import grid
+from gridmend.streaming import files as arriving
 
 #: The customers are dealt to so many files; the last one has no columns of storeys and zips.
 FILES = 2
@@ -66,6 +67,25 @@ _COLS = "rule, sheet_row, field, severity, before, after, op"
 by_file("findings_by_file", _alone(f"SELECT {_COLS} FROM f", _COLS))(lambda df: rules.run_rules(df, O.YEAR))
 
 
+
+def _in_pieces(df: DataFrame) -> DataFrame:
+    """The findings of files that a stream brings in three pieces, each row in one of them; marks are in the second."""
+    spark = df.sparkSession
+    folder, landing = scratch(spark, "judged"), scratch(spark, "landing")
+    none = F.lit(None).cast("long")
+    for k in range(3):
+        piece = df.filter(F.col("sheet_row") % 3 == k).withColumn(arriving.MARK, none)
+        if k == 1:
+            piece = piece.unionByName(df.groupBy(FILE).agg(F.count("*").alias(arriving.MARK)), allowMissingColumns=True)
+        piece.write.parquet(f"{landing}/{k}")
+        stream = spark.readStream.schema(piece.schema).parquet(f"{landing}/*")
+        arriving.judge_files(stream, O.YEAR, folder, f"{folder}-offsets", lambda whole: rules.run_rules(whole, O.YEAR))
+    return arriving.judged(spark, folder)
+
+
+by_file("findings_of_arriving_files", R._sql["findings_by_file"])(_in_pieces)
+
+
 def _found(df: DataFrame) -> DataFrame:
     return written(rules.run_rules(df, O.YEAR, reconciled=True), "findings")
 

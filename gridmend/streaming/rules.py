@@ -1,4 +1,4 @@
-"""The rules that read one row, over a stream of schedule rows. Rules across rows need a whole file and run per batch of files."""
+"""The rules that read one row, over a stream of schedule rows. Rules across rows need whole files: `files` waits for those that arrive in pieces."""
 
 from __future__ import annotations
 
