@@ -20,6 +20,7 @@ from gridmend import schema as S
 from gridmend.functions.clean import normalise
 from gridmend.operators import profile
 from gridmend.operators.memory import FLOOR, FULL
+from gridmend.scratch import dealt
 
 WEIGHTS = {"lexical": 0.30, "semantic": 0.35, "fingerprint": 0.35}
 MIN_SCORE, ADMISSIBLE_LEXICAL, ADMISSIBLE_SEMANTIC, LOW_MARGIN = 0.25, 0.90, 0.70, 0.15
@@ -254,20 +255,24 @@ def match_target(cells: DataFrame, phrases: list[tuple[str, int, str, int]]) ->
     Each text meets phrases by an equal join on keys: itself, its words, its letter pairs. Only what has the lengths and pairs of a likeness is compared.
     """
     longest = max([len(_plain(p)) for _, _, p, _ in phrases], default=0)
-    own = cells.select("value").distinct().withColumn("_text", normalise(F.col("value"))).filter("_text != ''")
+    own = dealt(cells.select("value").distinct(), "value").withColumn("_text", normalise(F.col("value"))).filter("_text != ''")
     own = own.withColumn("_own", F.array_distinct(F.split("_text", " "))).withColumn("_n", F.size("_own"))
     near = (F.col("_n") <= MAX_TOKENS) & F.length("_text").between(2, math.ceil(longest * (2 - FUZZY) / FUZZY))
     pairs = F.when(near, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text") - 1, F.lit(1))), lambda k: F.substr("_text", k, F.lit(2))))).otherwise(F.array())
     mark = lambda kind, found: F.transform(found, lambda x: F.concat(F.lit(kind), x))
     keys = F.concat(F.array(F.concat(F.lit("="), "_text")), mark("w", F.when(F.col("_n") <= MAX_TOKENS, F.col("_own")).otherwise(F.array())), mark("g", F.col("_pairs")))
-    met = own.withColumn("_pairs", pairs).withColumn("_key", F.explode(keys)).join(_index(cells.sparkSession, phrases), "_key")
+    keyed = own.withColumn("_pairs", pairs).withColumn("_key", F.explode(keys)).withColumn("_chars", F.length("_text"))
+    index = _index(cells.sparkSession, phrases).withColumnRenamed("_key", "_met")
+    # by letter pairs only phrases of like length are met, by a word only those of enough words: what else is alike meets by another key
+    share = F.size("_words") / F.col("_n")
+    shorter, both = F.least(F.col("_chars"), F.length("_phrase")), F.col("_chars") + F.length("_phrase")
+    fits = F.when(F.col("_key").startswith("g"), 2 * shorter >= FUZZY * both).when(F.col("_key").startswith("w"), share >= MIN_SHARE).otherwise(True)
+    met = keyed.join(index, (F.col("_key") == F.col("_met")) & fits)
     exact = F.col("_text") == F.col("_phrase")
     inside = F.size(F.array_except("_words", "_own")) == 0
-    share = F.size("_words") / F.col("_n")
     met = met.withColumn("_plain", F.when(exact, 2.0).when(inside & (F.col("_n") <= MAX_TOKENS) & (share >= MIN_SHARE), 0.9 + 0.1 * share))
-    shorter, both = F.least(F.length("_text"), F.length("_phrase")), F.length("_text") + F.length("_phrase")
     common = F.size(F.filter("_grams", lambda g: F.array_contains("_pairs", g)))
-    alike = F.col("_key").startswith("g") & ~inside & (2 * shorter >= FUZZY * both) & (common >= (1.5 * FUZZY - 1) * both - 1 - 1e-9)
+    alike = F.col("_key").startswith("g") & ~inside & (common >= (1.5 * FUZZY - 1) * both - 1 - 1e-9)
     found = met.filter(F.col("_plain").isNotNull() | alike).withColumn("_score", F.coalesce("_plain", _sequence_ratio(F.when(F.col("_plain").isNull(), F.col("_text")), "_phrase")))
     return found.filter(F.col("_plain").isNotNull() | (F.col("_score") >= FUZZY)).groupBy("value").agg(F.max_by("target", F.struct("_score", -F.col("ordinal"), -F.col("rank"))).alias("target"))
 

@@ -17,7 +17,7 @@ from gridmend.operators.frame import FILE
 from gridmend.plans import oracle as O
 from gridmend.plans import registry as R
 from gridmend.plans.fixture import frame
-from gridmend.scratch import scratch, written
+from gridmend.scratch import dealt, scratch, written
 from gridmend.sources import grid
 from gridmend.streaming import files as arriving
 
@@ -174,7 +174,7 @@ def typed_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"path": [f"mem:/book-{int(pdf['part'].iloc[0])}.xlsx"], "content": [grid.write_xlsx(rows)]})
 
     keyed = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.floor(F.col("c_custkey") / ROWS).alias("part"))
-    return keyed.groupBy("part").applyInPandas(book, "path string, content binary")
+    return dealt(keyed, "part").groupBy("part").applyInPandas(book, "path string, content binary")
 
 
 _PLACED = f"p AS (SELECT c_custkey AS k, 1950 + c_custkey % 60 AS y, 'mem:/book-' || (c_custkey // {ROWS}) || '.xlsx' AS file_id, CAST(1 + row_number() OVER (PARTITION BY c_custkey // {ROWS} ORDER BY c_custkey) AS BIGINT) AS sheet_row FROM customer)"

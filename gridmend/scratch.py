@@ -55,3 +55,11 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores if its files are fewer than those; larger inputs stay as they are, with no shuffle."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df by the hash of `by` in a fixed number of parts, a few a core, for work whose cost isn't in its rows' bytes.
+
+    Adaptive execution joins small partitions by their bytes, and would give few bytes with much work to one task; it leaves a number that is asked for.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
