@@ -27,6 +27,8 @@ from gridmend.scratch import written
 
 #: Lists at most; rows of the sample for each of them; rounds of fitting; partitions by key; rows or queries of a block
 MAX_LISTS, SAMPLE_PER_LIST, ROUNDS, KEY_PARTS, BLOCK = 1024, 64, 8, 64, 2048
+#: Queries of a block that are multiplied at once, and bytes of blocks that reach a task's Python at once: about four pairs
+SLICE, BATCH_BYTES = 256, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -153,12 +155,13 @@ def _multiply(width: int, k: int):
                     fine, unit = _matrix(own.field("v"), width)
                     sides.append((own.field("id").filter(pa.array(fine)), unit))
                 (q_ids, q), (r_ids, r) = sides
-                scores = np.round(q @ r.T, 6)
                 ids = r_ids.to_numpy(zero_copy_only=False)
-                top = [np.lexsort((ids, -row))[:k] if len(row) <= 4 * k else _top(row, ids, k) for row in scores]
-                at = np.concatenate(top) if top else np.zeros(0, np.int64)
-                which = np.repeat(np.arange(len(q)), [len(x) for x in top])
-                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(which)), r_ids.take(pa.array(at)), pa.array(scores[which, at].astype(np.float64))], names=["query_id", "vec_id", "similarity"])
+                for start in range(0, len(q), SLICE):
+                    scores = np.round(q[start : start + SLICE] @ r.T, 6)
+                    top = [np.lexsort((ids, -row))[:k] if len(row) <= 4 * k else _top(row, ids, k) for row in scores]
+                    at = np.concatenate(top)
+                    which = np.repeat(np.arange(len(scores)), [len(x) for x in top])
+                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(start + which)), r_ids.take(pa.array(at)), pa.array(scores[which, at].astype(np.float64))], names=["query_id", "vec_id", "similarity"])
 
     return run
 
@@ -171,7 +174,11 @@ def _top(row: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _ranked(rows: DataFrame, queries: DataFrame, width: int, k: int) -> DataFrame:
-    """The k best rows (key, vector, list) of each query (query_id, query, list), of those in one of its lists."""
+    """The k best rows (key, vector, list) of each query (query_id, query, list), of those in one of its lists.
+
+    A pair of blocks is a row of about a MB. Batches are bounded by bytes, so what a worker holds doesn't grow with the table.
+    """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     blocks = _packed(rows, "key", "vector", "rows").join(_packed(queries, "query_id", "query", "queries"), "list")
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {rows.schema['key'].dataType.simpleString()}, similarity double"
     found = blocks.select("queries", "rows").mapInArrow(_multiply(width, k), kinds)

@@ -1,7 +1,10 @@
 """Steps whose cost has to grow no faster than their input: how work is dealt and compiled, read off plans and partitions."""
 
+import numpy as np
+import pyarrow as pa
+
 from gridmend.operators import mapping as M
-from gridmend.operators import rules
+from gridmend.operators import rules, vectors
 from gridmend.plans import by_file
 from gridmend.plans.fixture import frame
 
@@ -21,3 +24,17 @@ def test_texts_meet_the_glossary_on_all_cores(spark):
     found = M.match_target(texts, M.glossary_rows())
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
     assert ("bulding value", "Building Value") in [tuple(r) for r in found.collect()]
+
+
+def test_vectors_are_multiplied_in_slices(spark):
+    n, width, k = 2 * vectors.SLICE + 1, 4, 3
+    x = np.random.default_rng(3).normal(size=(n, width)).astype(np.float32)
+    block = pa.array([[{"id": i, "v": v.tolist()} for i, v in enumerate(x)]], pa.list_(pa.struct([("id", pa.int64()), ("v", pa.list_(pa.float32()))])))
+    out = list(vectors._multiply(width, k)(iter([pa.RecordBatch.from_arrays([block, block], names=["queries", "rows"])])))
+    assert max(b.num_rows for b in out) <= vectors.SLICE * k
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    best = np.argsort(-np.round(unit @ unit.T, 6), axis=1, kind="stable")[:, :k]
+    assert [tuple(r.values())[:2] for b in out for r in b.to_pylist()] == [(i, j) for i in range(n) for j in best[i]]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:5])], "vec_id long, embedding array<float>")
+    vectors.exact(rows, rows.selectExpr("vec_id as query_id", "embedding as query"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= vectors.BATCH_BYTES
