@@ -425,9 +425,9 @@ def build_evidence(columns: DataFrame, cells: DataFrame, phrases: list[tuple[str
 
     semantic: (header, target, semantic) of `semantic_scores` or another model; where it has none the channel is left out.
     """
-    key = F.to_json(F.struct("sheet", "column_idx"))
+    key = F.struct("sheet", "column_idx")
     fits = profile.fingerprint(profile.profile(cells.select(key.alias("column"), "pos", "value", *[c for c in ("type",) if c in cells.columns]), year))
-    fits = fits.withColumn("x", F.from_json("column", "sheet string, column_idx int")).select("x.*", "target", "fingerprint", "abstained")
+    fits = fits.select("column.*", "target", "fingerprint", "abstained")
     named = lexical(columns, phrases).select("header", "target", "ordinal", "lexical", "exact")
     out = columns.join(named, "header").join(fits, ["sheet", "column_idx", "target"], "left").fillna({"fingerprint": 0.0, "abstained": True})
     out = out.withColumn("semantic", F.lit(None).cast("double")) if semantic is None else out.join(semantic, ["header", "target"], "left")

@@ -33,16 +33,39 @@ def as_number(text: Column) -> Column:
     return F.when(text.rlike(r"^\(|\)$|^-"), -value).otherwise(value)
 
 
+def has_value(c: Column, kind: Column | None = None) -> Column:
+    """Whether a cell has a shape: it holds something, and no word for nothing unless the source knows better."""
+    text = strip(c)
+    named = ~F.lower(text).isin(S.PROFILE_NULL_TOKENS)
+    told = named if kind is None else named | F.coalesce(kind.isin("date", "boolean"), F.lit(False))
+    return c.isNotNull() & (text != "") & told
+
+
+def _marked(text: Column) -> Column:
+    return text.rlike(r"[$£€,]|\.[0-9]")
+
+
 def classify_value(c: Column, year: int, kind: Column | None = None) -> Column:
     """The most telling shape of a cell; `digits` where only the column can tell a zip from an amount; null for no value.
 
-    kind: what the source knows of the cell; a date reads as a year, a boolean as such.
+    kind: what the source knows of the cell; a date reads as a year, a boolean as such. One expression for a cell here and there, which
+    reads the text again at each mention; `classified` reads whole columns.
     """
     text = strip(c)
+    return _shape(c, text, as_number(text), _marked(text), year, kind)
+
+
+def classified(df: DataFrame, year: int) -> DataFrame:
+    """df with the `shape` of its value (and type). The readings of a text are plain columns, so that each is worked out once a row."""
+    read = df.withColumn("_text", strip(F.col("value"))).withColumns({"_n": as_number(F.col("_text")), "_marked": _marked(F.col("_text"))})
+    shape = _shape(F.col("value"), F.col("_text"), F.col("_n"), F.col("_marked"), year, F.col("type") if "type" in df.columns else None)
+    return read.withColumn("shape", shape).drop("_text", "_n", "_marked")
+
+
+def _shape(c: Column, text: Column, n: Column, marked: Column, year: int, kind: Column | None) -> Column:
     told = F.when(c.isNull() | (text == ""), None)
     told = told if kind is None else told.when(kind == "date", "year").when(kind == "boolean", "boolean")
-    n = as_number(text)
-    whole, marked = n == F.floor(n), text.rlike(r"[$£€,]|\.[0-9]")
+    whole = n == F.floor(n)
     numeric = (
         F.when(whole & ~marked & n.between(1700, year + 2) & (F.length(text) == 4), "year")
         .when(marked | ~whole | (n < 0) | (n >= 100_000), "currency")
@@ -69,10 +92,15 @@ def cells(df: DataFrame, columns: list[str], order: str = "sheet_row", sample: i
 
 
 def _shaped(values: DataFrame, year: int) -> DataFrame:
-    """(column, shape, v, n, first_pos): the different texts of each column, with how many cells have them; the one shuffle of cells."""
-    shape = classify_value(F.col("value"), year, F.col("type") if "type" in values.columns else None)
-    rows = values.select("column", shape.alias("shape"), F.lower(strip(F.col("value"))).alias("v"), "pos").filter("shape is not null")
-    return rows.groupBy("column", "shape", "v").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    """(column, shape, v, n, first_pos): the different texts of each column, with how many cells have them.
+
+    Cells are counted by their text as it stands before texts are classified, so that each different one of a column is read once.
+    """
+    typed = [c for c in ("type",) if c in values.columns]
+    filled = values.filter(has_value(F.col("value"), F.col("type") if typed else None))
+    texts = filled.groupBy("column", "value", *typed).agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    rows = classified(texts, year).withColumn("v", F.lower(strip(F.col("value"))))
+    return rows.groupBy("column", "shape", "v").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
 
 
 def _digits(shaped: DataFrame) -> DataFrame:
@@ -91,7 +119,7 @@ def resolve_digits(values: DataFrame, year: int) -> DataFrame:
 def profile(values: DataFrame, year: int) -> DataFrame:
     """(column, shape, n, share, non_empty, distinct_ratio): the shapes of each column, after columns have settled what digits are.
 
-    Cells are counted by column, shape and text before anything is joined; the rest works on those counts.
+    Cells are counted by column and text before anything is classified or joined; the rest works on those counts.
     """
     shaped = written(_shaped(values, year), "shapes")  # read three times
     whole = shaped.groupBy("column", "v").agg(F.sum("n").alias("n")).groupBy("column").agg(F.sum("n").alias("non_empty"), F.count("*").alias("_different"))

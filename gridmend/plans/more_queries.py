@@ -46,7 +46,7 @@ def _cells(df: DataFrame) -> DataFrame:
 
 
 on_frame("classify_value", O.with_(f'SELECT "column", pos, {CLASS} AS shape FROM cells', _ALL))(
-    lambda df: df.select(F.col("sheet_row").alias("pos"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in FIELDS])).alias("x")).select("x.column", "pos", profile.classify_value(F.col("x.value"), YEAR).alias("shape"))
+    lambda df: profile.classified(_cells(df), YEAR).select("column", "pos", "shape")
 )
 on_frame("resolve_digits", O.with_("SELECT * FROM dig", _FIRST, _DIGITS))(lambda df: profile.resolve_digits(_cells(df), YEAR))
 on_frame("profile_column", O.with_("SELECT * FROM prof", _FIRST, _DIGITS, _PROFILE))(lambda df: profile.profile(_cells(df), YEAR))
